@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secret_scan, sharding, warc
+from . import packing, quality, secret_scan, sharding, warc
 from .common import Scratch
 
 
@@ -58,13 +58,31 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN t USING (doc_id)"""
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"), lambda doc_id: ~quality.held_out(doc_id))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shuffled_shards(_table(spark, sf_dir, "documents").select("doc_id", "text"), shards=40)
     crc = F.crc32(F.coalesce(F.col("record.text"), F.lit("")).cast("binary"))
     return placed.select("record.doc_id", "size", crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_secret_scan": op2_secret_scan, "op10_sharding": op10_sharding}
+QUERIES = {"op1_warc": op1_warc, "op2_secret_scan": op2_secret_scan, "op3_packing": op3_packing, "op5_quality": op5_quality, "op10_sharding": op10_sharding}
 ORACLE_SQL = {"op1_warc": OP1_SQL, "op2_secret_scan": OP2_SQL}
 
 
