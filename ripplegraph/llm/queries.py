@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, secret_scan, sharding, warc
+from . import decontaminate, license_scan, near_dedup, packing, quality, secret_scan, sharding, warc
 from .common import Scratch
 
 
@@ -76,14 +76,52 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, hash(w[i:i+4]) AS h FROM d, unnest(range(1, greatest(len(w) - 3, 2))) AS u(i) WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM s x JOIN s y ON x.h = y.h AND x.doc_id <> y.doc_id GROUP BY ALL)
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * both >= 75 * (na.n + nb.n - both)),
+r AS (SELECT doc_id AS node, doc_id AS reach FROM d UNION SELECT r.node, l.b FROM r JOIN links l ON l.a = r.reach),
+c AS (SELECT node AS doc_id, min(reach) AS component_id FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)"""
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+_TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in pair)) for pair in sorted(license_scan.TEMPLATES.items()))
+_WORDS_SQL = f"string_split(trim(regexp_replace(translate({{}}, '{license_scan.UPPER}', '{license_scan.LOWER}'), '[^a-z0-9]+', ' ', 'g')), ' ')"
+
+OP7_SQL = f"""
+WITH t AS (SELECT license, {_WORDS_SQL.format("body")} AS w FROM (VALUES {_TEMPLATE_ROWS}) AS v(license, body)),
+ts AS (SELECT DISTINCT license, array_to_string(w[i:i+4], ' ') AS shingle FROM t, unnest(range(1, len(w) - 3)) AS u(i)),
+d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS_SQL.format("text")} AS w FROM documents WHERE text IS NOT NULL),
+ds AS (SELECT DISTINCT doc_id, r, array_to_string(w[i:i+4], ' ') AS shingle FROM d, unnest(range(1, len(w) - 3)) AS u(i)),
+n AS (SELECT license, count(*) AS n_template FROM ts GROUP BY license)
+SELECT doc_id, license, count(*) AS n_found, any_value(n_template) AS n_template, count(*) / any_value(n_template) AS containment
+FROM ds JOIN ts USING (shingle) JOIN n USING (license) GROUP BY r, doc_id, license HAVING count(*) >= 0.75 * any_value(n_template)"""
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "covered", "item_words", "tiles", "coverage")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shuffled_shards(_table(spark, sf_dir, "documents").select("doc_id", "text"), shards=40)
     crc = F.crc32(F.coalesce(F.col("record.text"), F.lit("")).cast("binary"))
     return placed.select("record.doc_id", "size", crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_secret_scan": op2_secret_scan, "op3_packing": op3_packing, "op5_quality": op5_quality, "op10_sharding": op10_sharding}
-ORACLE_SQL = {"op1_warc": OP1_SQL, "op2_secret_scan": OP2_SQL}
+QUERIES = {"op1_warc": op1_warc, "op2_secret_scan": op2_secret_scan, "op3_packing": op3_packing, "op5_quality": op5_quality, "op6_near_dedup": op6_near_dedup, "op7_license_scan": op7_license_scan, "op8_decontamination": op8_decontamination, "op10_sharding": op10_sharding}
+ORACLE_SQL = {"op1_warc": OP1_SQL, "op2_secret_scan": OP2_SQL, "op6_near_dedup": OP6_SQL, "op7_license_scan": OP7_SQL}
 
 
 def queries() -> dict:
