@@ -11,6 +11,10 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import array
+import re
+import sys
+import types
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,18 +29,33 @@ _OUT = "doc_id long, start long, length long, ids binary, doc_tokens long"
 class PieceCache(dict):
     """Chunk between white space -> its ids as little-endian uint32 bytes.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its chunks.  Beyond
-    ``limit`` chunks are encoded each time, so that memory stays bounded.
+    The tokenizer drops white space and never joins across it, so a text's ids are those of its chunks; nor does it
+    join Latin letters, whose case it drops, and ASCII punctuation behind them.  Beyond ``limit`` chunks are encoded
+    each time, so that memory stays bounded.
     """
 
-    def __init__(self, encode, limit: int = 500_000):
+    _PARTS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\\[-`{-~]*)")
+
+    @classmethod
+    def of_worker(cls, tokenizer_path: str) -> PieceCache:
+        """One cache for each worker process, which outlives a task."""
+        held = sys.modules.setdefault("_ripplegraph_packing", types.ModuleType("_ripplegraph_packing")).__dict__
+        if tokenizer_path not in held:
+            from tokenizers import Tokenizer
+
+            held[tokenizer_path] = cls(Tokenizer.from_file(tokenizer_path).encode)
+        return held[tokenizer_path]
+
+    def __init__(self, encode, limit: int = 800_000):
         super().__init__()
         self.encode, self.limit = encode, limit
 
     def __missing__(self, chunk: str) -> bytes:
-        import array
-
-        value = array.array("I", self.encode(chunk, add_special_tokens=False).ids).tobytes()
+        parts = self._PARTS.fullmatch(chunk)
+        if parts and (parts[2] or chunk.lower() != chunk):
+            value = self[parts[1].lower()] + (self[parts[2]] if parts[2] else b"")
+        else:
+            value = array.array("I", self.encode(chunk, add_special_tokens=False).ids).tobytes()
         if len(self) < self.limit and len(chunk) < 100:
             self[chunk] = value
         return value
@@ -55,9 +74,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_len: int = 2048, end_id: int
     bound_batches(docs.sparkSession)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        ids_of = PieceCache(Tokenizer.from_file(tokenizer_path).encode).__getitem__
+        ids_of = PieceCache.of_worker(tokenizer_path).__getitem__
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             doc, start, length, ids, tokens = [], [], [], [], []
