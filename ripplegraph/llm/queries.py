@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, near_dedup, packing, quality, secret_scan, sharding, warc
+from . import ann, decontaminate, license_scan, near_dedup, packing, quality, secret_scan, sharding, warc
 from .common import Scratch
 
 
@@ -69,6 +69,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ann.search(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, k=20)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.train(docs, _table(spark, sf_dir, "labels"), lambda doc_id: ~quality.held_out(doc_id))
@@ -85,8 +90,8 @@ OP6_SQL = r"""
 WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS MATERIALIZED (SELECT DISTINCT doc_id, hash(w[i:i+4]) AS h FROM d, unnest(range(1, greatest(len(w) - 3, 2))) AS u(i) WHERE len(w) > 0),
 n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-links AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM s x JOIN s y ON x.h = y.h AND x.doc_id <> y.doc_id GROUP BY ALL)
-  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * both >= 75 * (na.n + nb.n - both)),
+links AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.h = y.h AND x.doc_id <> y.doc_id GROUP BY ALL)
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 75 * (na.n + nb.n - shared)),
 r AS (SELECT doc_id AS node, doc_id AS reach FROM d UNION SELECT r.node, l.b FROM r JOIN links l ON l.a = r.reach),
 c AS (SELECT node AS doc_id, min(reach) AS component_id FROM r GROUP BY node)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)"""
@@ -120,7 +125,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("record.doc_id", "size", crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_secret_scan": op2_secret_scan, "op3_packing": op3_packing, "op5_quality": op5_quality, "op6_near_dedup": op6_near_dedup, "op7_license_scan": op7_license_scan, "op8_decontamination": op8_decontamination, "op10_sharding": op10_sharding}
+QUERIES = {"op1_warc": op1_warc, "op2_secret_scan": op2_secret_scan, "op3_packing": op3_packing, "op4_ann": op4_ann, "op5_quality": op5_quality, "op6_near_dedup": op6_near_dedup, "op7_license_scan": op7_license_scan, "op8_decontamination": op8_decontamination, "op10_sharding": op10_sharding}
 ORACLE_SQL = {"op1_warc": OP1_SQL, "op2_secret_scan": OP2_SQL, "op6_near_dedup": OP6_SQL, "op7_license_scan": OP7_SQL}
 
 
