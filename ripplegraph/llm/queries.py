@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, license_scan, near_dedup, packing, quality, secret_scan, sharding, warc
+from . import ann, decontaminate, license_scan, near_dedup, packing, quality, secret_scan, sharding, suffix_dedup, warc
 from .common import Scratch
 
 
@@ -119,13 +119,17 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "covered", "item_words", "tiles", "coverage")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(_table(spark, sf_dir, "documents")).select("doc_id", F.col("start").alias("start_word"), F.col("stop").alias("stop_word"), "n_words")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shuffled_shards(_table(spark, sf_dir, "documents").select("doc_id", "text"), shards=40)
     crc = F.crc32(F.coalesce(F.col("record.text"), F.lit("")).cast("binary"))
     return placed.select("record.doc_id", "size", crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_secret_scan": op2_secret_scan, "op3_packing": op3_packing, "op4_ann": op4_ann, "op5_quality": op5_quality, "op6_near_dedup": op6_near_dedup, "op7_license_scan": op7_license_scan, "op8_decontamination": op8_decontamination, "op10_sharding": op10_sharding}
+QUERIES = {"op1_warc": op1_warc, "op2_secret_scan": op2_secret_scan, "op3_packing": op3_packing, "op4_ann": op4_ann, "op5_quality": op5_quality, "op6_near_dedup": op6_near_dedup, "op7_license_scan": op7_license_scan, "op8_decontamination": op8_decontamination, "op9_suffix_dedup": op9_suffix_dedup, "op10_sharding": op10_sharding}
 ORACLE_SQL = {"op1_warc": OP1_SQL, "op2_secret_scan": OP2_SQL, "op6_near_dedup": OP6_SQL, "op7_license_scan": OP7_SQL}
 
 
