@@ -173,3 +173,16 @@ def score(docs: DataFrame, model: Trees) -> DataFrame:
 def held_out(doc_id):
     """A third of the ids, by CRC; labels of these are never learnt from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+
+
+def keep(docs: DataFrame, model: Trees, least: float = 0.5) -> DataFrame:
+    """The documents, columns as they are, with a score of at least ``least``."""
+    bound_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(model.score(matrix(b.column(at).to_pylist())) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
