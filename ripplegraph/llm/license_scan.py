@@ -43,21 +43,35 @@ def _words(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), "[^a-z0-9]+", " ")), " ")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once: a column that a lambda refers to is otherwise computed in each step."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _shingles(words: Column) -> Column:
     """The five-word shingles in order; none if there are fewer words."""
-    at = F.when(F.size(words) >= WORDS, F.sequence(F.lit(1), F.size(words) - WORDS + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(words, i, WORDS), " "))
+
+    def cut(w: Column) -> Column:
+        at = F.when(F.size(w) >= WORDS, F.sequence(F.lit(1), F.size(w) - WORDS + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.array_join(F.slice(w, i, WORDS), " "))
+
+    return _let(words, cut)
 
 
 def _band_keys(hashes: Column) -> Column:
     """(band, minhash) of all windows; under WINDOW shingles make one window."""
-    at = F.when(F.size(hashes) > 0, F.sequence(F.lit(1), F.greatest(F.size(hashes) - WINDOW + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
 
-    def band(b: int) -> Column:
-        own = F.transform(hashes, lambda h: F.xxhash64(h, F.lit(b)))
-        return F.transform(at, lambda i: F.struct(F.lit(b).alias("band"), F.array_min(F.slice(own, i, WINDOW)).alias("minhash")))
+    def permuted(hashes: Column, b: int) -> Column:
+        return F.transform(hashes, lambda x: F.xxhash64(x, F.lit(b)))
+
+    def band(b: int):
+        def keys(own: Column) -> Column:
+            at = F.when(F.size(own) > 0, F.sequence(F.lit(1), F.greatest(F.size(own) - WINDOW + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+            return F.transform(at, lambda i: F.struct(F.lit(b).alias("band"), F.array_min(F.slice(own, i, WINDOW)).alias("minhash")))
+
+        return keys
 
-    return F.flatten(F.array(*[band(b) for b in range(BANDS)]))
+    return _let(hashes, lambda h: F.flatten(F.array(*[_let(permuted(h, b), band(b)) for b in range(BANDS)])))
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
