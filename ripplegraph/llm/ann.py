@@ -3,7 +3,8 @@
 On a bounded sample, the neighbour graph is cut into balanced partitions, and a small network learns which partitions
 the neighbours of a vector lie in.  Every vector is indexed in its most probable partition; a query is routed to its
 several most probable partitions, all members of which are ranked by the exact inner product in double precision.  How
-many partitions a query visits is set on the sample, so that ``target`` of the true neighbours lie in them.
+many partitions a query visits is set on the sample, so that ``target`` of the true neighbours lie in them.  The rows
+of the sample are ranked for every query as well; the partitions then need only give what beats the best of these.
 
 Equal vectors are one point of the index, which keeps the ``k`` + 1 smallest ids: no other of them can be among the k
 nearest of any query.  Partitions are searched in blocks of bounded size.
@@ -168,15 +169,15 @@ def points_of(vectors: DataFrame, id_col: str, vector_col: str, keep: int) -> Da
     return ranked.groupBy("x", "y").agg(F.first("v").alias("v"), F.array_sort(F.collect_list("id")).alias("ids"))
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 8192, target: float = 0.98, block: int = 2048) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 8192, target: float = 0.95, block: int = 2048) -> DataFrame:
     """query_id, rank (from 1), id, score: the k nearest found of every row for which ``is_query(id)`` holds."""
     spark = vectors.sparkSession
     bound_batches(spark)
     scratch = Scratch(spark, "ann")
     points = scratch.write(points_of(vectors, id_col, vector_col, k + 1), "points")
     n = points.count()
-    sample = points.select("v", "x", "y").orderBy("x", "y").limit(sample_rows).toPandas()
-    x = np.array(sample["v"].to_list(), dtype=np.float64)
+    sample = points.select("v", "ids", "x", "y").orderBy("x", "y").limit(sample_rows).toPandas()
+    x, x_ids = np.array(sample["v"].to_list(), dtype=np.float64), [list(map(int, i)) for i in sample["ids"]]
     index = fit_index(x, n, k, target)
 
     asked = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & is_query(F.col("id")))
@@ -184,22 +185,26 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     asked = scratch.write(asked, "asked")
     queries = points.select("x", "y", "v").join(asked.select("x", "y").distinct(), ["x", "y"], "left_semi")
 
-    def route(visits: int):
+    def route(visits: int, with_floor: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if not b.num_rows:
                     continue
                 v = np.array(b.column(2).to_pylist(), dtype=np.float64)
-                to = index.assign(v, visits)
+                to, floor = index.assign(v, visits), np.full(len(v), -np.inf)
+                if with_floor and len(x) > k:
+                    # at least k + 1 rows of the sample reach it, so none below can be among the nearest
+                    s = np.partition(v @ x.T, len(x) - k - 1, axis=1)[:, len(x) - k - 1]
+                    floor = s - 1e-9 * (1 + np.abs(s))
                 each = np.repeat(np.arange(len(v)), to.shape[1])
                 rows = b.take(pa.array(each))
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(3), pa.array(to.ravel()), pa.array([v[i].tobytes() for i in each], pa.binary())], names=["x", "y", "ids", "part", "v"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(3), pa.array(to.ravel()), pa.array([v[i].tobytes() for i in each], pa.binary()), pa.array(floor[each])], names=["x", "y", "ids", "part", "v", "floor"])
 
         return run
 
-    schema = "x long, y long, ids array<long>, part long, v binary"
-    homes = points.select("x", "y", "v", "ids").mapInArrow(route(1), schema)
-    visits = queries.select("x", "y", "v", F.array().cast("array<long>").alias("ids")).mapInArrow(route(index.visits), schema)
+    schema = "x long, y long, ids array<long>, part long, v binary, floor double"
+    homes = points.select("x", "y", "v", "ids").mapInArrow(route(1, False), schema)
+    visits = queries.select("x", "y", "v", F.array().cast("array<long>").alias("ids")).mapInArrow(route(index.visits, True), schema)
 
     def blocks(rows: DataFrame, name: str, size: int) -> DataFrame:
         """part and lists of about ``size`` of its rows."""
@@ -207,27 +212,44 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
         chunks = rows.groupBy("part").agg(F.ceil(F.count("*") / size).alias("chunks"))
         chunk = F.pmod(F.xxhash64("x", "y"), F.col("chunks")).alias("chunk")
         dealt = rows.join(F.broadcast(chunks), "part")  # most_parts rows at most
-        return dealt.groupBy("part", chunk).agg(F.collect_list(F.struct("x", "y", "ids", "v")).alias(name)).drop("chunk")
+        return dealt.groupBy("part", chunk).agg(F.collect_list(F.struct("x", "y", "ids", "v", "floor")).alias(name)).drop("chunk")
 
     pairs = blocks(visits, "query", block // 4).join(blocks(homes, "member", block), "part")
 
+    def nearest(asked: tuple[int, int], q: np.ndarray, own: np.ndarray, c: np.ndarray, ids: list[list[int]]) -> list[tuple]:
+        # one fixed order of summation, so that a score does not depend on the block
+        exact = np.einsum("ij,ij->i", np.broadcast_to(q, (len(own), len(q))), c[own])
+        found = sorted((-s, m) for s, j in zip(exact.tolist(), own.tolist(), strict=True) for m in ids[j])
+        return [(*asked, m, -s) for s, m in found[: k + 1]]
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(z, t) for z, t in zip(zip(*out, strict=True) if out else [[]] * 4, types, strict=True)], names=["x", "y", "id", "score"])
+
+    def top(scores: np.ndarray) -> np.ndarray:
+        most = min(k + 9, scores.shape[1])
+        return np.argpartition(-scores, most - 1, axis=1)[:, :most]
+
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):
                 asked, members = b.column(0)[row].as_py(), b.column(1)[row].as_py()
                 q = np.frombuffer(b"".join(a["v"] for a in asked)).reshape(len(asked), -1)
                 c = np.frombuffer(b"".join(a["v"] for a in members)).reshape(len(members), -1)
-                most = min(k + 9, len(c))
-                near = np.argpartition(-(q @ c.T), most - 1, axis=1)[:, :most]
-                out = []
-                for i, a in enumerate(asked):
-                    # one fixed order of summation, so that a score does not depend on the block
-                    exact = np.einsum("ij,ij->i", np.broadcast_to(q[i], (most, q.shape[1])), c[near[i]])
-                    found = sorted((-s, m) for s, j in zip(exact.tolist(), near[i].tolist(), strict=True) for m in members[j]["ids"])
-                    out += [(a["x"], a["y"], m, -s) for s, m in found[: k + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(z, t) for z, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["x", "y", "id", "score"])
+                scores, ids = q @ c.T, [m["ids"] for m in members]
+                near = top(scores)
+                yield batch([r for i, a in enumerate(asked) for r in nearest((a["x"], a["y"]), q[i], near[i][scores[i, near[i]] >= a["floor"]], c, ids)])
+
+    def rank_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            q = np.array(b.column(2).to_pylist(), dtype=np.float64).reshape(b.num_rows, -1)
+            near = top(q @ x.T) if b.num_rows else []
+            keys = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+            yield batch([r for i, key in enumerate(keys) for r in nearest(key, q[i], near[i], x, x_ids)])
 
     scored = pairs.select("query", "member").mapInArrow(rank, "x long, y long, id long, score double")
+    if len(x):
+        scored = scored.unionByName(queries.select("x", "y", "v").mapInArrow(rank_sample, scored.schema)).dropDuplicates(["x", "y", "id"])
     order = Window.partitionBy("x", "y").orderBy(F.desc("score"), "id")
     best = scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1)
     best = scratch.write(best.groupBy("x", "y").agg(F.array_sort(F.collect_list(F.struct("place", "id", "score"))).alias("found")), "best")
