@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 
-def queries() -> dict:
-    from . import core
+def _load():
+    from . import behavior, core  # noqa: F401  each registers its queries with core
 
-    return dict(core.QUERIES)
+    return core
 
 
-def oracle_sql() -> dict[str, str]:
-    from . import core
+def queries() -> dict:
+    return dict(_load().QUERIES)
 
-    return dict(core.ORACLE_SQL)
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_load().ORACLE_SQL)
