@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,9 +36,8 @@ class FactStore:
         self.spark, self.path = spark, path.rstrip("/")
 
     def write(self, table: str, repository: str, version: str, rows: DataFrame) -> None:
-        keyed = rows.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in SCHEMAS[table].split(", ")])
-        keyed = keyed.withColumns({"repository_id": F.lit(repository), "version_id": F.lit(version)})
-        keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repository_id", "version_id").parquet(f"{self.path}/{table}")
+        own = rows.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in SCHEMAS[table].split(", ")])
+        own.write.mode("overwrite").parquet(f"{self.path}/{table}/repository_id={quote(repository, safe='')}/version_id={quote(version, safe='')}")
 
     def read(self, table: str, repository: str, version: str) -> DataFrame:
         rows = self.spark.read.schema(f"{SCHEMAS[table]}, {_KEYS}").parquet(f"{self.path}/{table}")
