@@ -58,7 +58,7 @@ def hadoop_fs(spark: SparkSession, uri: str):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
-def bound_batches(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) -> None:
+def bound_batches(spark: SparkSession, rows: int = 256, size: int = 2 << 20) -> None:
     """Hold Arrow batches to few enough rows and bytes that batches of very long texts fit a worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
@@ -79,7 +79,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word -> 64-bit hash; words beyond ``limit`` are hashed each time, so that memory stays bounded."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 120_000):
         super().__init__()
         self.limit = limit
 
