@@ -6,8 +6,9 @@ leading values in some order (a region).
 
 1. In each order, a class is compared with its neighbours of longest common prefix: how deep that goes is up to the
    region.  The best of these candidates are confirmed on the full sets, which joins nearly all copies.
-2. Regions that still hold several components are compared whole, in blocks, across components; the candidates are
-   confirmed as well.  Regions inside one component need no further look, for links within it change nothing.
+2. Regions that still hold several components are compared whole, in blocks, across components; candidates are
+   confirmed where they meet, on the full sets.  Regions inside one component need no further look, for links within
+   it change nothing.
 
 Sharing no region at a similarity of s has the probability (1 - s**DEPTH)**TREES: 2e-6 at 0.75.  A candidate whose
 signature agrees in under AGREE of its VALUES values (4 standard deviations below what 0.75 gives) is not confirmed.
@@ -37,7 +38,7 @@ AGREE = 39
 #: Candidates of each class that step 1 confirms; step 2 covers the rest.
 BEST = 3
 #: Classes of a region that one task compares with as many others.
-BLOCK = 4096
+BLOCK = 2048
 _RNG = np.random.default_rng(6)
 _A = _RNG.integers(1, 2**32, VALUES, dtype=np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 2**32, VALUES, dtype=np.uint32)
@@ -122,59 +123,106 @@ def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary, agree int")
 
 
-def _across(rows: DataFrame) -> DataFrame:
-    """(a, b) of classes of one region and of different components whose signatures agree well enough.
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[list[dict]]:
+    """The rows of sorted batches, in lists of equal keys."""
+    held: list[dict] = []
+    for b in batches:
+        for r in b.to_pylist():
+            if held and any(held[0][k] != r[k] for k in keys):
+                yield held
+                held = []
+            held.append(r)
+    if held:
+        yield held
 
-    rows: group, block, left, right, node, label, sig; a group compares the blocks left and right.
-    """
 
-    def compare(rows: list[dict]) -> Iterator[tuple[bytes, bytes]]:
-        label = np.array([r["label"] for r in rows])
-        block = np.array([r["block"] for r in rows])
-        sig = np.frombuffer(b"".join(r["sig"] for r in rows), "<u2").reshape(len(rows), VALUES)
-        names, sizes = np.unique(label, return_counts=True)
-        main = names[sizes.argmax()]
-        cross = rows[0]["left"] != rows[0]["right"]
-        # every pair across components has an end outside the largest one
-        for i in np.flatnonzero(label != main):
-            other = (label != label[i]) & ((label == main) | (np.arange(len(rows)) > i)) & ((block != block[i]) if cross else True)
-            at = np.flatnonzero(other)
-            for j in at[(sig[at] == sig[i]).sum(axis=1) >= AGREE]:
-                x, y = rows[i]["node"], rows[j]["node"]
-                yield min(x, y), max(x, y)
+_GROUP = ("region", "left", "right")
+
+
+class _Block:
+    """Classes of one region (or of two blocks of it), and which of them may be linked across components."""
+
+    def __init__(self, rows: list[dict]):
+        self.rows, self.tree, self.cross = rows, rows[0]["tree"], rows[0]["left"] != rows[0]["right"]
+        names, self.label = np.unique([r["label"] for r in rows], return_inverse=True)
+        self.main = np.bincount(self.label).argmax()
+        self.block = np.array([r["block"] for r in rows])
+        self.n = np.array([r["n"] for r in rows])
+        self.sig = np.frombuffer(b"".join(r["sig"] for r in rows), "<u2").reshape(len(rows), VALUES)
+
+    def partners(self, label: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(i, others): every pair across components has an end outside the largest one.
+
+        Left out are pairs whose sizes or signatures rule a link out, and those that share a region of a tree before.
+        """
+        at = np.arange(len(self.rows))
+        for i in np.flatnonzero(self.label != self.main):
+            other = (label != label[i]) & ((self.label == self.main) | (at > i))
+            other &= 100 * np.minimum(self.n, self.n[i]) >= 75 * np.maximum(self.n, self.n[i])
+            if self.cross:
+                other &= self.block != self.block[i]
+            j = np.flatnonzero(other)
+            same = self.sig[j] == self.sig[i]
+            first = same.reshape(len(j), TREES, DEPTH).all(axis=2).argmax(axis=1)
+            j = j[(same.sum(axis=1) >= AGREE) & (first == self.tree)]
+            if len(j):
+                yield int(i), j
+
+
+def _participants(rows: DataFrame) -> DataFrame:
+    """region, left, right, node of the classes that have a partner in some group of ``rows``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        for held in _groups(batches, _GROUP):
+            block, found = _Block(held), set()
+            for i, j in block.partners(block.label):
+                found.update((i, *j.tolist()))
+            out = [held[k] for k in sorted(found)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in zip((*_GROUP, "node"), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=[*_GROUP, "node"])
 
-        def flush() -> pa.RecordBatch:
-            found = list(compare(held)) if len(held) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+    dealt = rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "node")
+    return dealt.select(*_GROUP, "tree", "block", "node", "label", "n", "sig").mapInArrow(run, "region long, left int, right int, node binary")
 
-        for b in batches:
-            for r in b.to_pylist():
-                if held and (held[0]["region"], held[0]["left"], held[0]["right"]) != (r["region"], r["left"], r["right"]):
-                    yield flush()
-                    held = []
-                held.append(r)
-        if held:
-            yield flush()
 
-    dealt = rows.repartition("region", "left", "right").sortWithinPartitions("region", "left", "right", "node")
-    return dealt.select("region", "left", "right", "block", "node", "label", "sig").mapInArrow(run, "a binary, b binary").distinct()
+def _links_across(rows: DataFrame) -> DataFrame:
+    """(a, b): links on full sets that join the components of each group; rows as before, with the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for held in _groups(batches, _GROUP):
+            block, out = _Block(held), []
+            sets = [shingle_set(r.pop("text"), hashes) for r in held]
+            codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+            ends = np.cumsum([0, *map(len, sets)])
+            mark, label = np.zeros(codes.max() + 1, bool), block.label.copy()
+            for i, j in block.partners(label):
+                mark[codes[ends[i] : ends[i + 1]]] = True
+                for k in j:
+                    both = int(np.count_nonzero(mark[codes[ends[k] : ends[k + 1]]]))
+                    # a link inside what other links have joined meanwhile changes nothing
+                    if label[k] != label[i] and 100 * both >= 75 * (len(sets[i]) + len(sets[k]) - both):
+                        out.append((held[i]["node"], held[k]["node"]))
+                        label[label == label[k]] = label[i]
+                mark[codes[ends[i] : ends[i + 1]]] = False
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    dealt = rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "node")
+    return dealt.select(*_GROUP, "tree", "block", "node", "label", "n", "sig", "text").mapInArrow(run, "a binary, b binary").distinct()
 
 
 def _mixed_regions(classes: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows for _across: members of regions that hold several components, dealt to pairs of blocks."""
-    labelled = classes.join(roots, "node", "left").select("node", "sig", F.xxhash64(F.coalesce("root", "node")).alias("label"))
+    """Members of regions that hold several components, dealt to pairs of blocks of about BLOCK classes."""
+    labelled = classes.join(roots, "node", "left").select("node", "sig", "n", F.xxhash64(F.coalesce("root", "node")).alias("label"))
     labelled = scratch.write(labelled, "labelled")
-    region = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.substring("sig", t * 2 * DEPTH + 1, F.lit(2 * DEPTH)))))
-    members = labelled.select(region.alias("region"), "node", "label")
+    trees = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.substring("sig", t * 2 * DEPTH + 1, F.lit(2 * DEPTH)))))
+    members = labelled.select(trees.alias("tree", "region"), "node", "label")
     mixed = members.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).filter("low != high")
     mixed = scratch.write(mixed.select("region", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed")
-    rows = members.join(mixed, "region").join(labelled.select("node", "sig"), "node")
+    rows = members.join(mixed, "region").join(labelled.select("node", "sig", "n"), "node")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return rows.withColumn("other", other).withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
+    rows = rows.withColumn("other", other).withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
+    return scratch.write(rows.select(*_GROUP, "tree", "block", "node", "label", "n", "sig"), "members")
 
 
 def _texts(docs: DataFrame, need: DataFrame, classes: DataFrame, scratch: Scratch, table: str) -> DataFrame:
@@ -182,14 +230,15 @@ def _texts(docs: DataFrame, need: DataFrame, classes: DataFrame, scratch: Scratc
     keys = scratch.write(need.join(classes.select("node", "rep", "rep_key"), "node"), f"{table}-keys")
     own = docs.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64("text").alias("rep_key"), "text")
     same = own["rep"].eqNullSafe(keys["rep"]) & (own["rep_key"] == keys["rep_key"])
-    found = own.join(keys, same).select("node", "text")
+    # a merge join at any size: the plan does not flip between small and large inputs
+    found = own.join(keys.hint("merge"), same).select("node", "text")
     return scratch.write(found.dropDuplicates(["node"]), table)
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets have an intersection of at least 75 % of their union."""
-    with_b = pairs.select("a", "b").join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
-    both = with_b.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").select("a", "b", "text_a", "text_b")
+    with_b = pairs.select("a", "b").hint("merge").join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
+    both = with_b.hint("merge").join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held = WordHashes(), OrderedDict()
@@ -219,8 +268,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "near-dedup")
     rows = scratch.write(sketches(docs), "sketches")
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key")))
-    grouped = rows.filter("node is not null").groupBy("node").agg(first.alias("r"), F.min("text_key").alias("some_key"), F.first("sig").alias("sig"))
-    classes = grouped.select("node", F.col("r.doc_id").alias("rep"), F.coalesce("r.text_key", "some_key").alias("rep_key"), "sig")
+    grouped = rows.filter("node is not null").groupBy("node").agg(first.alias("r"), F.min("text_key").alias("some_key"), F.first("sig").alias("sig"), F.first("n").alias("n"))
+    classes = grouped.select("node", F.col("r.doc_id").alias("rep"), F.coalesce("r.text_key", "some_key").alias("rep_key"), "sig", "n")
     classes = scratch.write(classes, "classes")
 
     near = scratch.write(_agreeing(_neighbours(classes), classes), "neighbours")
@@ -232,9 +281,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = scratch.write(_confirmed(best, texts), "links")
     roots = components(links, scratch, "first")
 
-    rest = scratch.write(_across(_mixed_regions(classes, roots, scratch)).join(best, ["a", "b"], "left_anti"), "rest")
-    more = _texts(docs, nodes(rest).join(texts.select("node"), "node", "left_anti"), classes, scratch, "more-texts")
-    links_2 = scratch.write(_confirmed(rest, texts.unionByName(more)), "links-2")
+    members = _mixed_regions(classes, roots, scratch)
+    rest = scratch.write(_participants(members), "rest")
+    more = _texts(docs, rest.select("node").distinct().join(texts.select("node"), "node", "left_anti"), classes, scratch, "more-texts")
+    texts = texts.unionByName(more)
+    links_2 = scratch.write(_links_across(rest.hint("merge").join(members, [*_GROUP, "node"]).hint("merge").join(texts, "node")), "links-2")
     of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
     lifted = links_2.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
     roots_2 = components(lifted, scratch, "second").select(F.col("node").alias("root"), F.col("root").alias("top"))
@@ -243,7 +294,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = scratch.write(final.groupBy("top").agg(F.min("rep").alias("component_id")), "least")
     named = scratch.write(final.join(least, "top").select("node", "component_id"), "named")
     out = rows.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "node").join(named, "node", "left")
-    scratch.drop("labelled", "mixed", "texts", "more-texts", "neighbours")
+    scratch.drop("labelled", "mixed", "members", "texts", "more-texts", "neighbours")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"))
 
