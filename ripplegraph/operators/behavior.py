@@ -30,7 +30,7 @@ def graph_nodes(edges: DataFrame, roots: DataFrame, max_depth: int | None = None
     seeds = roots.select(F.col("id").alias("behavior_id"), "id").distinct()
     nodes = bfs(edges, seeds, max_depth, keys=("behavior_id",))
     place = F.row_number().over(Window.partitionBy("behavior_id").orderBy("depth", "id")) - 1
-    return nodes.select("behavior_id", F.col("id").alias("symbol_id"), "depth", place.alias("place"))
+    return nodes.select("behavior_id", F.col("id").alias("symbol_id"), "depth", place.cast("long").alias("place"))
 
 
 def graph_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def top_references(references: DataFrame, k: int = 10) -> DataFrame:
     """Of each group (group, kind, ref_id, seq): distinct ids, the first of each, the k of best tier, by id."""
     first = references.withColumn("n", F.row_number().over(Window.partitionBy("group", "ref_id").orderBy("seq"))).filter("n = 1")
     place = F.row_number().over(Window.partitionBy("group").orderBy(tier(F.col("kind")), "ref_id"))
-    return first.withColumn("place", place).filter(F.col("place") <= k).select("group", "place", "kind", "ref_id")
+    return first.withColumn("place", place.cast("long")).filter(F.col("place") <= k).select("group", "place", "kind", "ref_id")
 
 
 def pruned_symbols(symbols: DataFrame, files: DataFrame, changed: DataFrame) -> DataFrame:

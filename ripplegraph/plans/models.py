@@ -40,7 +40,7 @@ def _(f: Facts) -> DataFrame:
     return models.state_mutation(f.db_rels, f.changed)
 
 
-@query("model_public_interface_change", "endpoints symbols", "SELECT 'public_interface_change' AS kind, method || ' ' || path AS subject, CAST(min(symbol_id) AS VARCHAR) AS members, 1 AS n FROM endpoints WHERE symbol_id IN (SELECT id FROM symbols WHERE id % 3 = 0) GROUP BY method, path")
+@query("model_public_interface_change", "endpoints symbols", "SELECT 'public_interface_change' AS kind, method || ' ' || path AS subject, CAST(min(symbol_id) AS VARCHAR) AS members, CAST(1 AS BIGINT) AS n FROM endpoints WHERE symbol_id IN (SELECT id FROM symbols WHERE id % 3 = 0) GROUP BY method, path")
 def _(f: Facts) -> DataFrame:
     return models.public_interface_change(f.endpoints, f.symbols.filter("id % 3 = 0"))
 
@@ -75,7 +75,7 @@ def _(f: Facts) -> DataFrame:
 
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
     text = F.when(F.col("l_returnflag") == "A", "  }").otherwise("if (x) { while (y) {")
-    return models.block_depths(f.lineitem.filter("l_orderkey % 20 = 0").select(F.concat(F.lit("o"), "l_orderkey").alias("path"), F.row_number().over(order).alias("line"), text.alias("text")))
+    return models.block_depths(f.lineitem.filter("l_orderkey % 20 = 0").select(F.concat(F.lit("o"), "l_orderkey").alias("path"), F.row_number().over(order).cast("long").alias("line"), text.alias("text")))
 
 
 _ENTRY = "SELECT id, CASE id // 20 % 4 WHEN 0 THEN 'rest' WHEN 1 THEN 'graphql' WHEN 2 THEN 'rpc' ELSE 'cron' END AS entry_kind, method, path FROM endpoints"
