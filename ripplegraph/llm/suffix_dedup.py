@@ -1,10 +1,11 @@
 """Repeated passages by sparse suffix arrays.
 
 Each text keeps the suffixes at its minimisers: the K-word positions with the least hash in some stretch of
-``min_words`` words, so that two copies of a passage of ``min_words`` words keep a suffix at the same place of it.
-Suffixes whose first K words occur once only are let go.  The others are sorted by what follows, and once more by what
-precedes; neighbours in either order are compared and their matches extended right and left, by as many words as decide
-whether the match has ``min_words``.  What the suffixes of a text cover is merged into spans.
+``min_words`` words, so that every run of ``min_words`` words keeps a suffix, and copies of a run keep it at the same
+place.  Suffixes whose first K words occur once only are let go.  Those with the same first K words are sorted by the
+words behind and before them, once for each way to extend K words to ``min_words`` to the right and left; neighbours
+that are equal belong to copies.  A suffix covers the union of its copies, a text's spans are the union of its suffixes.
+Texts of any length are covered whole, for each run of ``min_words`` words in a longer passage has a suffix of its own.
 
 Equal texts are looked at once; if there are several, all their words are repeated.
 
@@ -76,7 +77,7 @@ def _sketch(docs: DataFrame, min_words: int) -> DataFrame:
     return own.mapInArrow(run, "doc_id long, text_key long, digest binary, n_words int, at array<int>, hash array<long>")
 
 
-def _contexts(texts: DataFrame, min_words: int, backwards: bool) -> DataFrame:
+def _contexts(texts: DataFrame, min_words: int) -> DataFrame:
     """h, ahead, behind (hashes of as many words as can matter, 4 bytes each; those behind from the nearest on), node, pos."""
     reach = min_words - K
 
@@ -86,13 +87,13 @@ def _contexts(texts: DataFrame, min_words: int, backwards: bool) -> DataFrame:
             rows = []
             for node, text, places in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 words = hashes.array(words_of(text))
-                short = (mix(words) >> np.uint64(32)).astype(">u4")
+                short = (mix(words) >> np.uint64(32)).astype("<u4")
                 turned = short[::-1]
-                own = windows(words, K)
+                own = windows(words, K).view(np.int64)
                 for at in places:
                     back = len(words) - at
-                    rows.append((int(own[at].view(np.int64)), short[at + K : at + K + reach].tobytes(), turned[back : back + reach].tobytes(), node, at))
-                if len(rows) > 20_000:
+                    rows.append((int(own[at]), short[at + K : at + K + reach].tobytes(), turned[back : back + reach].tobytes(), node, at))
+                if len(rows) > 5_000:
                     yield batch(rows)
                     rows = []
             yield batch(rows)
@@ -101,55 +102,99 @@ def _contexts(texts: DataFrame, min_words: int, backwards: bool) -> DataFrame:
         types = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], names=["h", "ahead", "behind", "node", "pos"])
 
-    found = texts.select("node", "text", "places").mapInArrow(run, "h long, ahead binary, behind binary, node binary, pos int")
-    order = ["h", "behind", "ahead", "node", "pos"] if backwards else ["h", "ahead", "behind", "node", "pos"]
-    return found.repartitionByRange(*order).sortWithinPartitions(*order)
+    return texts.select("node", "text", "places").mapInArrow(run, "h long, ahead binary, behind binary, node binary, pos int")
 
 
-def _common(x: bytes, y: bytes) -> int:
-    """Leading words in common."""
-    n = min(len(x), len(y))
-    if x[:n] == y[:n]:
-        return n // 4
-    a, b = np.frombuffer(x[:n], "<u4"), np.frombuffer(y[:n], "<u4")
-    return int((a != b).argmax())
+def _chained(sides: list[bytes], reach: int, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first 0, 1, ... reach words of each side (a row each), chained from ``start``; and how many there are."""
+    held = np.array([len(s) // 4 for s in sides])
+    words = np.frombuffer(b"".join(s.ljust(4 * reach, b"\0") for s in sides), "<u4").reshape(len(sides), reach).astype(np.uint64)
+    out = np.empty((len(sides), reach + 1), np.uint64)
+    out[:, 0] = start
+    for k in range(reach):
+        out[:, k + 1] = mix(out[:, k] + words[:, k] + np.uint64(k + 1))
+    return out, held
 
 
-_FOUND = "edge int, h long, ahead binary, behind binary, node binary, pos int, start int, stop int"
-_FOUND_TYPES = pa.schema([("edge", pa.int32()), ("h", pa.int64()), ("ahead", pa.binary()), ("behind", pa.binary()), ("node", pa.binary()), ("pos", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
+def extensions(rows: list[tuple], min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for every row (h, ahead, behind, node, pos) and number o of words taken from behind, the rest from ahead.
 
+    The second array says where both sides have so many words.
+    """
+    reach = min_words - K
+    h = np.array([r[0] for r in rows], np.int64).view(np.uint64)
+    ahead, n_ahead = _chained([r[1] for r in rows], reach, mix(h))
+    behind, n_behind = _chained([r[2] for r in rows], reach, mix(h + np.uint64(1)))
+    o = np.arange(reach + 1)
+    return mix(ahead[:, ::-1] + mix(behind)), (o <= n_behind[:, None]) & (reach - o <= n_ahead[:, None])
+
+
+def copies(rows: list[tuple], min_words: int) -> Iterator[tuple]:
+    """(node, start, stop): what each row covers of runs that a row of another node has as well."""
+    keys, there = extensions(rows, min_words)
+    node = np.unique(np.array([r[3] for r in rows], dtype="S16").view("V16"), return_inverse=True)[1].ravel()
+    least, most = np.full(len(rows), min_words), np.full(len(rows), -1)
+    for o in range(keys.shape[1]):
+        own = np.flatnonzero(there[:, o])
+        order = own[np.lexsort((node[own], keys[own, o]))]
+        if len(order) < 2:
+            continue
+        fresh = np.r_[True, keys[order[1:], o] != keys[order[:-1], o]]
+        first = np.flatnonzero(fresh)
+        last = np.r_[first[1:], len(order)] - 1
+        found = order[np.repeat(node[order[first]] != node[order[last]], last - first + 1)]
+        least[found], most[found] = np.minimum(least[found], o), o
+    for k in np.flatnonzero(most >= 0):
+        yield rows[k][3], int(rows[k][4] - most[k]), int(rows[k][4] - least[k] + min_words)
+
+
+_SPAN = pa.schema([("node", pa.binary()), ("start", pa.int32()), ("stop", pa.int32())])
+
+
+def _spans_in_groups(rows: DataFrame, min_words: int, chunk: int = 8192) -> DataFrame:
+    """Spans of suffixes, the suffixes of one h in one task; about ``chunk`` rows, and always whole groups, at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(held: list[tuple]) -> pa.RecordBatch:
+            found = list(copies(held, min_words)) if held else []
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t.type) for k, t in enumerate(_SPAN)], schema=_SPAN)
+
+        held: list[tuple] = []
+        for b in batches:
+            for row in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                if len(held) >= chunk and held[-1][0] != row[0]:
+                    yield out(held)
+                    held = []
+                held.append(row)
+        yield out(held)
 
-def _matched(x: tuple, y: tuple, min_words: int) -> Iterator[tuple]:
-    """The span of each of two neighbours (h, ahead, behind, node, pos), if their match is long enough."""
-    if x[0] == y[0] and x[3] != y[3]:
-        right, left = _common(x[1], y[1]), _common(x[2], y[2])
-        if right + left + K >= min_words:
-            for node, pos in (x[3:], y[3:]):
-                yield node, pos, pos - left, pos + K + right
+    dealt = rows.repartition("h").sortWithinPartitions("h")
+    return dealt.select("h", "ahead", "behind", "node", "pos").mapInArrow(run, "node binary, start int, stop int")
 
 
-def _compared(rows: DataFrame, min_words: int, edges: bool = True) -> DataFrame:
-    """Spans from neighbouring rows, and (edge = 1) the first and last row of each task, whose neighbours lie elsewhere."""
+def _spans_by_key(rows: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
+    """Spans of suffixes whose group is too large for one task: each extension is a row, equal ones meet in a join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None
         for b in batches:
-            out = []
-            for row in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                if before is None:
-                    out += [(1, *row, None, None)] if edges else []
-                else:
-                    out += [(0, None, None, None, node, pos, start, stop) for node, pos, start, stop in _matched(before, row, min_words)]
-                before = row
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 8, _FOUND_TYPES, strict=True)], schema=_FOUND_TYPES)
-        if before is not None and edges:
-            yield pa.RecordBatch.from_pylist([dict(zip(_FOUND_TYPES.names, (1, *before, None, None), strict=True))], schema=_FOUND_TYPES)
+            held = list(zip(*(b.column(k).to_pylist() for k in range(5)), strict=True))
+            if held:
+                keys, there = extensions(held, min_words)
+                at, o = np.nonzero(there)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at, o].view(np.int64)), pa.array([held[k][3] for k in at], pa.binary()), pa.array(np.array([r[4] for r in held], np.int32)[at]), pa.array(o.astype(np.int32))], names=["key", "node", "pos", "o"])
+
+    each = scratch.write(rows.select("h", "ahead", "behind", "node", "pos").mapInArrow(run, "key long, node binary, pos int, o int"), "extensions")
+    shared = each.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low != high").select("key")
+    shared = scratch.write(shared, "shared-keys")
+    found = each.join(shared, "key", "left_semi").groupBy("node", "pos").agg(F.min("o").alias("least"), F.max("o").alias("most"))
+    return found.select("node", (F.col("pos") - F.col("most")).alias("start"), (F.col("pos") - F.col("least") + min_words).alias("stop"))
 
-    return rows.select("h", "ahead", "behind", "node", "pos").mapInArrow(run, _FOUND)
 
+def repeated_spans(docs: DataFrame, min_words: int = 50, most: int = 50_000) -> DataFrame:
+    """doc_id, text_key, start, stop (words, stop exclusive), n_words: the merged spans of each row, in rows of their own.
 
-def repeated_spans(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """doc_id, text_key, start, stop (words, stop exclusive), n_words: the merged spans of each row, in rows of their own."""
+    Suffixes with the same first words are compared in one task, if there are ``most`` at most, and else by a join.
+    """
     spark = docs.sparkSession
     bound_batches(spark)
     scratch = Scratch(spark, "suffixes")
@@ -160,22 +205,20 @@ def repeated_spans(docs: DataFrame, min_words: int = 50) -> DataFrame:
     one = rows.join(classes.select("digest", "doc_id", "text_key"), [rows["digest"] == classes["digest"], rows["doc_id"].eqNullSafe(classes["doc_id"]), rows["text_key"] == classes["text_key"]], "left_semi")
     suffixes = one.dropDuplicates(["digest"]).select(F.col("digest").alias("node"), F.explode(F.arrays_zip("at", "hash")).alias("s")).select("node", "s.at", "s.hash")
     suffixes = scratch.write(suffixes, "kept")
-    often = scratch.write(suffixes.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "often")
-    places = suffixes.join(often, "hash").groupBy("node").agg(F.array_sort(F.collect_set("at")).alias("places"))
+    often = scratch.write(suffixes.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1"), "often")
+    places = suffixes.join(often.select("hash"), "hash").groupBy("node").agg(F.array_sort(F.collect_set("at")).alias("places"))
     wanted = scratch.write(places.join(classes.select(F.col("digest").alias("node"), "doc_id", "text_key"), "node"), "places")
+    large = scratch.write(often.filter(F.col("n") > most).select(F.col("hash").alias("h")), "large")
     scratch.drop("kept", "often")
     own = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     same = own["doc_id"].eqNullSafe(wanted["doc_id"]) & (own["text_key"] == wanted["text_key"])
     texts = scratch.write(own.join(wanted, same).select("node", "text", "places"), "texts")
 
-    for k, backwards in enumerate((False, True)):
-        found = scratch.write(_compared(_contexts(texts, min_words, backwards), min_words), f"order-{k}")
-        # two rows for each task of the pass before
-        order = ["h", "behind", "ahead", "node", "pos"] if backwards else ["h", "ahead", "behind", "node", "pos"]
-        ends = found.filter("edge = 1").coalesce(1).sortWithinPartitions(*order)
-        scratch.write(_compared(ends, min_words, edges=False), f"ends-{k}")
-    parts = [scratch.read(f"{name}-{k}", found.schema).filter("edge = 0").select("node", "start", "stop") for name in ("order", "ends") for k in (0, 1)]
-    spans = parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3]).distinct()
+    rows_of = _contexts(texts, min_words)
+    spans = scratch.write(_spans_in_groups(rows_of.join(large, "h", "left_anti"), min_words), "in-groups")
+    if not large.isEmpty():
+        spans = spans.unionByName(scratch.write(_spans_by_key(rows_of.join(large, "h", "left_semi"), min_words, scratch), "by-key"))
+    spans = spans.distinct()
 
     behind = Window.partitionBy("node").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
     marked = spans.withColumn("fresh", F.coalesce(F.col("start") > F.max("stop").over(behind), F.lit(True)).cast("int"))

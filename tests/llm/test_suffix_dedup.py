@@ -29,8 +29,8 @@ def brute(rows, n=50):
     return sorted(out)
 
 
-def found(df):
-    return sorted((str(r["doc_id"]), r["start"], r["stop"]) for r in S.repeated_spans(df).collect())
+def found(df, **options):
+    return sorted((str(r["doc_id"]), r["start"], r["stop"]) for r in S.repeated_spans(df, **options).collect())
 
 
 def test_minimisers_are_the_least_of_each_window():
@@ -50,7 +50,18 @@ def test_passages(make):
         r = random.Random(d)
         rows.append((d, " ".join(x for k in range(3) for x in (prose(1000 + 10 * d + k, r.randrange(0, 60)), r.choice(p)))))
     rows += [(70, p[3].upper()), (71, " ".join(p[3].split()[10:100])), (72, p[0]), (73, prose(900, 80)), (74, prose(900, 80))]
-    assert found(make(rows)) == brute(rows)
+    assert found(make(rows)) == found(make(rows), most=3) == brute(rows)
+
+
+def test_copies_parted_by_one_sided_matches(make):
+    """What precedes and what follows a suffix come from different neighbours; only others hold both."""
+    r = random.Random(1)
+    left, right = prose(800, 60).split(), prose(801, 60).split()
+    rows = []
+    for d in range(60):
+        a, b = r.randrange(0, 60), r.randrange(0, 60)
+        rows.append((d, prose(2000 + d, 20) + " " + " ".join(left[60 - a :] + right[:b]) + " " + prose(3000 + d, 20)))
+    assert found(make(rows)) == found(make(rows), most=1) == brute(rows)
 
 
 def test_odd_rows(make, odd_rows):
