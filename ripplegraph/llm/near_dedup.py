@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, WordHashes, bound_batches, windows, words_of
@@ -80,14 +80,25 @@ def _fixed(column: pa.Array, width: int, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=dtype).reshape(len(column), width // np.dtype(dtype).itemsize)
 
 
-def _order_rows(classes: DataFrame) -> DataFrame:
-    """tree, key (8 values from the tree's place on, round the end), node."""
-    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
-    rows = classes.select("node", F.concat("sig", "sig").alias("twice"), trees.alias("tree"))
-    return rows.select("tree", F.expr(f"substring(twice, tree * {2 * DEPTH} + 1, 16)").alias("key"), "node")
+def _regions() -> Column:
+    """The region of a class in each tree, an array."""
+    return F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.substring("sig", t * 2 * DEPTH + 1, F.lit(2 * DEPTH))))
 
 
-def _neighbours(classes: DataFrame, reach: int = 2) -> DataFrame:
+def _shared_regions(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(region, node) of the regions with several classes; all else goes no further than this."""
+    rows = classes.select("node", F.explode(_regions()).alias("region"))
+    several = rows.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1").select("region")
+    several = scratch.write(several, "several")
+    return scratch.write(rows.join(several.hint("merge"), "region", "left_semi").select("region", "node"), "shared")
+
+
+def _tree() -> Column:
+    """The tree of a region, from the class's signature."""
+    return (F.array_position(_regions(), F.col("region")) - 1).cast("int")
+
+
+def _neighbours(classes: DataFrame, shared: DataFrame, reach: int = 2) -> DataFrame:
     """(a, b) of classes at most ``reach`` places apart in some order that share DEPTH values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +116,10 @@ def _neighbours(classes: DataFrame, reach: int = 2) -> DataFrame:
             tail_t, tail_k, tail_n = tree[-reach:], key[-reach:], node[-reach:]
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
 
-    rows = _order_rows(classes).repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node")
+    # the key: 8 values of the signature from the tree's place on, round its end
+    rows = shared.join(classes.select("node", "sig"), "node").withColumns({"tree": _tree(), "twice": F.concat("sig", "sig")})
+    rows = rows.select("tree", F.expr(f"substring(twice, tree * {2 * DEPTH} + 1, 16)").alias("key"), "node")
+    rows = rows.repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node")
     return rows.mapInArrow(run, "a binary, b binary").distinct()
 
 
@@ -210,16 +224,15 @@ def _links_across(rows: DataFrame) -> DataFrame:
     return dealt.select(*_GROUP, "tree", "block", "node", "label", "n", "sig", "text").mapInArrow(run, "a binary, b binary").distinct()
 
 
-def _mixed_regions(classes: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+def _mixed_regions(classes: DataFrame, shared: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
     """Members of regions that hold several components, dealt to pairs of blocks of about BLOCK classes."""
     labelled = classes.join(roots, "node", "left").select("node", "sig", "n", F.xxhash64(F.coalesce("root", "node")).alias("label"))
     labelled = scratch.write(labelled, "labelled")
-    trees = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.substring("sig", t * 2 * DEPTH + 1, F.lit(2 * DEPTH)))))
-    members = labelled.select(trees.alias("tree", "region"), "node", "label")
+    members = scratch.write(shared.join(labelled.select("node", "label"), "node"), "labels")
     mixed = members.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).filter("low != high")
     mixed = scratch.write(mixed.select("region", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed")
     rows = members.join(mixed, "region").join(labelled.select("node", "sig", "n"), "node")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumns({"block": F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), "tree": _tree()})
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.withColumn("other", other).withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
     return scratch.write(rows.select(*_GROUP, "tree", "block", "node", "label", "n", "sig"), "members")
@@ -272,7 +285,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = grouped.select("node", F.col("r.doc_id").alias("rep"), F.coalesce("r.text_key", "some_key").alias("rep_key"), "sig", "n")
     classes = scratch.write(classes, "classes")
 
-    near = scratch.write(_agreeing(_neighbours(classes), classes), "neighbours")
+    shared = _shared_regions(classes, scratch)
+    near = scratch.write(_agreeing(_neighbours(classes, shared), classes), "neighbours")
     ends = near.select(F.explode(F.array(F.struct(F.col("a").alias("end")), F.struct(F.col("b").alias("end")))).alias("x"), "a", "b", "agree").select("x.end", "a", "b", "agree")
     ranked = ends.withColumn("place", F.row_number().over(Window.partitionBy("end").orderBy(F.desc("agree"), "a", "b")))
     best = scratch.write(ranked.filter(F.col("place") <= BEST).select("a", "b").distinct(), "best")
@@ -281,7 +295,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = scratch.write(_confirmed(best, texts), "links")
     roots = components(links, scratch, "first")
 
-    members = _mixed_regions(classes, roots, scratch)
+    members = _mixed_regions(classes, shared, roots, scratch)
     rest = scratch.write(_participants(members), "rest")
     more = _texts(docs, rest.select("node").distinct().join(texts.select("node"), "node", "left_anti"), classes, scratch, "more-texts")
     texts = texts.unionByName(more)
@@ -294,7 +308,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = scratch.write(final.groupBy("top").agg(F.min("rep").alias("component_id")), "least")
     named = scratch.write(final.join(least, "top").select("node", "component_id"), "named")
     out = rows.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "node").join(named, "node", "left")
-    scratch.drop("labelled", "mixed", "members", "texts", "more-texts", "neighbours")
+    scratch.drop("shared", "labels", "labelled", "mixed", "members", "texts", "more-texts", "neighbours")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"))
 
