@@ -137,10 +137,13 @@ def histogram(discoveries: DataFrame) -> DataFrame:
 
 
 def behavior_pairs(executions: DataFrame) -> DataFrame:
-    """Distinct pairs of behaviours that share a symbol; executions: behavior_id, symbol_id."""
-    own = executions.select("symbol_id", F.col("behavior_id").alias("left"))
-    other = executions.select("symbol_id", F.col("behavior_id").alias("right"))
-    return own.join(other, "symbol_id").filter("left < right").select("left", "right").distinct()
+    """Distinct pairs of behaviours that share a symbol; executions: behavior_id, symbol_id.
+
+    Symbols with the same behaviours give the same pairs, so each set of behaviours is taken apart once.
+    """
+    sets = executions.groupBy("symbol_id").agg(F.array_sort(F.collect_set("behavior_id")).alias("own")).select("own").distinct()
+    left = sets.select("own", F.posexplode("own").alias("at", "left"))
+    return left.select("left", F.explode(F.slice("own", F.col("at") + 2, F.size("own"))).alias("right")).distinct()
 
 
 def deep_executions(chains: DataFrame) -> DataFrame:

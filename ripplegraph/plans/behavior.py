@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import keywords as K
 from ..functions import names as N
 from ..operators import behavior, discovery, graph, operational, review
+from ..operators.impact import MAX_DEPTH
 from ..scratch import Tables
 from ..sources.testdata import Facts
 from .core import CHANGED_FILES, DOWN, UP, _changed_files, holds, query
@@ -153,13 +154,13 @@ def _(f: Facts) -> DataFrame:
     return behavior.changed_of_behaviors(_enclosing(f)).select("behavior_id", F.array_join(F.col("changed_ids").cast("array<string>"), ",").alias("changed_ids"))
 
 
-# Graphs of the entry points at every hundredth symbol, four calls deep.
-_NODES = "@ nw AS (SELECT symbol_id AS behavior_id, symbol_id AS id, 0 AS depth FROM endpoints WHERE symbol_id % 100 = 0 UNION SELECT w.behavior_id, c.callee_id, depth + 1 FROM nw w JOIN calls c ON c.caller_id = w.id WHERE depth < 4), nodes AS (SELECT behavior_id, id AS symbol_id, min(depth) AS depth, row_number() OVER (PARTITION BY behavior_id ORDER BY min(depth), id) - 1 AS place FROM nw GROUP BY behavior_id, id), ge AS (SELECT behavior_id, caller_id AS src, callee_id AS dst FROM nodes JOIN calls ON caller_id = symbol_id) "
+# Graphs of all entry points, as deep as the impact search goes.
+_NODES = "@ nw AS (SELECT symbol_id AS behavior_id, symbol_id AS id, 0 AS depth FROM endpoints UNION SELECT w.behavior_id, c.callee_id, depth + 1 FROM nw w JOIN calls c ON c.caller_id = w.id WHERE depth < 15), nodes AS (SELECT behavior_id, id AS symbol_id, min(depth) AS depth, row_number() OVER (PARTITION BY behavior_id ORDER BY min(depth), id) - 1 AS place FROM nw GROUP BY behavior_id, id), ge AS (SELECT behavior_id, caller_id AS src, callee_id AS dst FROM nodes JOIN calls ON caller_id = symbol_id) "
 _NF = "endpoints calls changed"
 
 
 def _nodes(f: Facts) -> DataFrame:
-    return Tables(f.spark, "nodes").put(behavior.graph_nodes(f.edges, f.entries.filter("symbol_id % 100 = 0").select(F.col("symbol_id").alias("id")), 4), "nodes")
+    return Tables(f.spark, "nodes").put(behavior.graph_nodes(f.edges, f.entries.select(F.col("symbol_id").alias("id")), MAX_DEPTH), "nodes")
 
 
 @query("execution_graph_nodes", _NF, _NODES + "SELECT behavior_id, symbol_id, depth, place FROM nodes")
@@ -194,9 +195,9 @@ def _(f: Facts) -> DataFrame:
     return behavior.shared_executions(_nodes(f)).select("symbol_id", F.array_join(F.col("used_by").cast("array<string>"), ",").alias("used_by"))
 
 
-@query("reachable_units", _NF, _NODES + ", ru AS (SELECT behavior_id, symbol_id AS id, 0 AS d FROM nodes WHERE symbol_id IN (SELECT id FROM changed) UNION SELECT r.behavior_id, c.callee_id, d + 1 FROM ru r JOIN calls c ON c.caller_id = r.id WHERE d < 4) SELECT DISTINCT ru.behavior_id, ru.id AS symbol_id FROM ru JOIN nodes n ON n.behavior_id = ru.behavior_id AND n.symbol_id = ru.id")
+@query("reachable_units", _NF, _NODES + ", ru AS (SELECT behavior_id, symbol_id AS id, 0 AS d FROM nodes WHERE symbol_id IN (SELECT id FROM changed) UNION SELECT r.behavior_id, c.callee_id, d + 1 FROM ru r JOIN calls c ON c.caller_id = r.id WHERE d < 15) SELECT DISTINCT ru.behavior_id, ru.id AS symbol_id FROM ru JOIN nodes n ON n.behavior_id = ru.behavior_id AND n.symbol_id = ru.id")
 def _(f: Facts) -> DataFrame:
-    return behavior.reachable_units(_nodes(f), f.edges, f.changed, 4)
+    return behavior.reachable_units(_nodes(f), f.edges, f.changed, MAX_DEPTH)
 
 
 # --- discoveries ------------------------------------------------------------------------------------------------------
@@ -208,7 +209,7 @@ def _plural(n: str, word: str) -> str:
     return f"{n} || ' {word}' || CASE WHEN {n} <> 1 THEN 's' ELSE '' END"
 
 
-_FANS = ", fans AS (SELECT s.id, s.name, (SELECT count(*) FROM calls WHERE callee_id = s.id) AS fan_in, (SELECT count(*) FROM calls WHERE caller_id = s.id) AS fan_out FROM symbols s), counts AS (SELECT (SELECT count(*) FROM changed) AS changed, (SELECT count(*) FROM endpoints WHERE symbol_id % 7 = 99) AS apis, 0 AS cross_service, 4 AS depth), tests AS (SELECT count(*) FILTER (WHERE relationship_type = 'unit') AS unit, 0 AS integration, 0 AS e2e FROM test_rels) "
+_FANS = ", fans AS (SELECT s.id, s.name, (SELECT count(*) FROM calls WHERE callee_id = s.id) AS fan_in, (SELECT count(*) FROM calls WHERE caller_id = s.id) AS fan_out FROM symbols s), counts AS (SELECT (SELECT count(*) FROM changed) AS changed, (SELECT count(*) FROM endpoints WHERE symbol_id IN (SELECT id FROM changed)) AS apis, 0 AS cross_service, 4 AS depth), tests AS (SELECT count(*) FILTER (WHERE relationship_type = 'unit') AS unit, 0 AS integration, 0 AS e2e FROM test_rels) "
 
 
 def _support(**own: str) -> str:
@@ -248,7 +249,7 @@ def _fans(f: Facts) -> DataFrame:
 
 
 def _counts(f: Facts) -> DataFrame:
-    return operational.metrics(changed=f.changed, apis=f.endpoints.filter("symbol_id % 7 = 99")).withColumns({"cross_service": F.lit(0), "depth": F.lit(4)})
+    return operational.metrics(changed=f.changed, apis=f.endpoints.join(f.changed.select(F.col("id").alias("symbol_id")), "symbol_id", "left_semi")).withColumns({"cross_service": F.lit(0), "depth": F.lit(4)})
 
 
 def _chains(nodes: DataFrame) -> DataFrame:

@@ -40,9 +40,9 @@ def _(f: Facts) -> DataFrame:
     return models.state_mutation(f.db_rels, f.changed)
 
 
-@query("model_public_interface_change", "endpoints symbols", "SELECT 'public_interface_change' AS kind, method || ' ' || path AS subject, CAST(min(symbol_id) AS VARCHAR) AS members, CAST(1 AS BIGINT) AS n FROM endpoints WHERE symbol_id IN (SELECT id FROM symbols WHERE id % 3 = 0) GROUP BY method, path")
+@query("model_public_interface_change", "endpoints changed", "SELECT 'public_interface_change' AS kind, method || ' ' || path AS subject, CAST(min(symbol_id) AS VARCHAR) AS members, CAST(1 AS BIGINT) AS n FROM endpoints WHERE symbol_id IN (SELECT id FROM changed) GROUP BY method, path")
 def _(f: Facts) -> DataFrame:
-    return models.public_interface_change(f.endpoints, f.symbols.filter("id % 3 = 0"))
+    return models.public_interface_change(f.endpoints, f.changed)
 
 
 @query("change_classification", "base_symbols head_symbols endpoints db_rels event_pubs", CHANGES.replace("b.visibility AS bv", "b.body_hash AS bb, h.body_hash AS hb, b.visibility AS bv") + "SELECT id, 'api' AS class FROM ch WHERE id IN (SELECT symbol_id FROM endpoints) UNION ALL SELECT id, 'database' FROM ch WHERE id IN (SELECT symbol_id FROM db_rels) UNION ALL SELECT id, 'event' FROM ch WHERE id IN (SELECT symbol_id FROM event_pubs) UNION ALL SELECT id, 'visibility' FROM ch WHERE bv <> hv UNION ALL SELECT id, 'body' FROM ch WHERE bs <> hs OR be <> he OR bb <> hb UNION ALL SELECT id, 'symbol' FROM ch WHERE change <> 'MODIFIED'")
@@ -69,13 +69,13 @@ def _(f: Facts) -> DataFrame:
     return models.tokens_by_section(f.documents.select(F.col("source").alias("section"), plain.alias("text")))
 
 
-@query("block_depths", "", "SELECT 'o' || l_orderkey AS path, row_number() OVER w AS line, CAST(sum(CASE WHEN l_returnflag = 'A' THEN -1 ELSE 2 END) OVER w AS BIGINT) AS depth FROM lineitem WHERE l_orderkey % 20 = 0 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity ROWS UNBOUNDED PRECEDING)")
+@query("block_depths", "", "SELECT 'o' || l_orderkey AS path, row_number() OVER w AS line, CAST(sum(CASE WHEN l_returnflag = 'A' THEN -1 ELSE 2 END) OVER w AS BIGINT) AS depth FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity ROWS UNBOUNDED PRECEDING)")
 def _(f: Facts) -> DataFrame:
     from pyspark.sql import Window
 
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
     text = F.when(F.col("l_returnflag") == "A", "  }").otherwise("if (x) { while (y) {")
-    return models.block_depths(f.lineitem.filter("l_orderkey % 20 = 0").select(F.concat(F.lit("o"), "l_orderkey").alias("path"), F.row_number().over(order).cast("long").alias("line"), text.alias("text")))
+    return models.block_depths(f.lineitem.select(F.concat(F.lit("o"), "l_orderkey").alias("path"), F.row_number().over(order).cast("long").alias("line"), text.alias("text")))
 
 
 _ENTRY = "SELECT id, CASE id // 20 % 4 WHEN 0 THEN 'rest' WHEN 1 THEN 'graphql' WHEN 2 THEN 'rpc' ELSE 'cron' END AS entry_kind, method, path FROM endpoints"

@@ -128,9 +128,9 @@ def _(f: Facts) -> DataFrame:
     return f.symbols.select("id", F.coalesce(F.element_at(table, F.col("kind")), F.lit(0)).alias("code"))
 
 
-@query("metadata_strings", "files", "SELECT path FROM tree WHERE regexp_matches(lower(path), '^(unit|ref|node|edge)://|graph') OR regexp_matches(blob_sha, '^[0-9a-fA-F]{32,}$') AND doc_id % 10 = 0".replace("FROM tree", "FROM (SELECT source || '/' || doc_id AS path, sha256(text) AS blob_sha, doc_id FROM documents)"))
+@query("metadata_strings", "files", "SELECT path FROM tree WHERE regexp_matches(lower(path), '^(unit|ref|node|edge)://|graph') OR regexp_matches(blob_sha, '^[0-9a-fA-F]{32,}$')".replace("FROM tree", "FROM (SELECT source || '/' || doc_id AS path, sha256(text) AS blob_sha, doc_id FROM documents)"))
 def _(f: Facts) -> DataFrame:
-    return f.tree.filter(K.is_compiler_metadata(F.col("path")) | (K.is_compiler_metadata(F.col("blob_sha")) & (F.col("doc_id") % 10 == 0))).select("path")
+    return f.tree.filter(K.is_compiler_metadata(F.col("path")) | K.is_compiler_metadata(F.col("blob_sha"))).select("path")
 
 
 @query("locations", "symbols files", "SELECT s.id, f.path AS file, s.start_line AS first_line, s.end_line AS last_line FROM symbols s JOIN files f ON f.id = s.file_id")
