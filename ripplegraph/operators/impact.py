@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -34,8 +35,11 @@ def impact(calls: DataFrame, endpoints: DataFrame, db_rels: DataFrame, event_pub
 
     Without a call graph (a language whose calls are not known), the seeds alone count.
     """
-    zero = seeds.select("id").distinct()
-    up = upstream(calls, seeds).select("id") if has_calls else zero
-    down = downstream(calls, seeds).select("id") if has_calls else zero
+    up = down = seeds.select("id").distinct()
+    if has_calls:
+        # the two searches are independent chains of short jobs
+        with ThreadPoolExecutor(2) as pool:
+            both = [pool.submit(search, calls, seeds) for search in (upstream, downstream)]
+            up, down = (b.result().select("id") for b in both)
     of = lambda facts, ids: facts.join(ids.select(F.col("id").alias("symbol_id")), "symbol_id", "left_semi").select(facts.columns)
     return ImpactSurface(up.union(down).distinct(), of(endpoints, up), of(db_rels, down), of(event_pubs, down))
