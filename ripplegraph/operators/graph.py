@@ -69,3 +69,12 @@ def statistics(edges: DataFrame) -> DataFrame:
     out = degree.agg(F.count("*").alias("nodes"), F.coalesce(F.max("degree"), F.lit(0)).alias("max_degree"), F.coalesce(F.sum("degree"), F.lit(0)).alias("ends"))
     average = F.when(F.col("nodes") > 0, F.col("ends") / F.col("nodes")).otherwise(0.0)
     return out.select("nodes", (F.col("ends") / 2).cast("long").alias("edges"), "max_degree", average.alias("avg_degree"))
+
+
+def reachable_files(names: DataFrame, symbols: DataFrame, calls: DataFrame, refs: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """file_id of files one step from symbols of these names: their callers', referrers' and entry points' files."""
+    own = symbols.join(names.select("name"), "name", "left_semi").select("id")
+    of = lambda ends, key: ends.join(own.select(F.col("id").alias(key)), key, "left_semi")
+    near = of(calls, "callee_id").select(F.col("caller_id").alias("id")).union(of(refs, "target_id").select(F.col("source_id").alias("id")))
+    files = symbols.join(near.distinct(), "id", "left_semi").select("file_id")
+    return files.union(of(endpoints, "symbol_id").select("file_id")).distinct()

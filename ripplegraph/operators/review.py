@@ -93,3 +93,9 @@ def live_strings(strings: DataFrame, used: DataFrame) -> DataFrame:
     """old_code, new_code of the strings in use, in the old order."""
     live = strings.join(used.select("code").distinct(), "code", "left_semi").select(F.col("code").alias("old_code"))
     return dense_codes(live, "old_code", ["old_code"]).withColumnRenamed("code", "new_code")
+
+
+def capped_per_group(rows: DataFrame, group: str, order: list[str], most: int = 50) -> DataFrame:
+    """The first ``most`` rows of each group; Spark cuts each task's rows before they are dealt out."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    return rows.withColumn("_place", place).filter(F.col("_place") <= most).drop("_place")

@@ -242,3 +242,19 @@ def _(f: Facts) -> DataFrame:
 @query("languages", "files", "SELECT DISTINCT language FROM files")
 def _(f: Facts) -> DataFrame:
     return f.files.select("language").distinct()
+
+
+@query("symbols_capped_per_file", "symbols", "SELECT id, file_id FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY start_line, id) AS n FROM symbols) WHERE n <= 50")
+def _(f: Facts) -> DataFrame:
+    return review.capped_per_group(f.symbols.select("id", "file_id", "start_line"), "file_id", ["start_line", "id"]).select("id", "file_id")
+
+
+_NAMED = "SELECT id FROM symbols WHERE name IN (SELECT name FROM symbols WHERE id IN (SELECT id FROM changed))"
+
+
+@query("reachable_files", "symbols calls refs endpoints changed", f"SELECT DISTINCT file_id FROM (SELECT file_id FROM symbols WHERE id IN (SELECT caller_id FROM calls WHERE callee_id IN ({_NAMED}) UNION SELECT source_id FROM refs WHERE target_id IN ({_NAMED})) UNION SELECT file_id FROM endpoints WHERE symbol_id IN ({_NAMED}))")
+def _(f: Facts) -> DataFrame:
+    from ..operators import graph
+
+    names = f.symbols.join(f.changed, "id", "left_semi").select("name").distinct()
+    return graph.reachable_files(names, f.symbols, f.calls, f.refs, f.endpoints)

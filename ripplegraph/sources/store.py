@@ -87,3 +87,19 @@ class FactStore:
             pass
         last = own.groupBy("path").agg(F.max_by(F.struct("blob_sha", "indexed_status", "indexed_at"), F.struct("indexed_at", "indexed_status")).alias("s")).select("path", "s.*")
         self.write("materialization", repository, version, Tables(self.spark, "status").put(last, "rows"))
+
+    def register(self, repository: str, commit: str, parent: str | None = None) -> str:
+        """The version id of a commit (repository@commit); it is recorded once, with its parent's version."""
+        from pyspark.errors import AnalysisException
+
+        version = f"{repository}@{commit}"
+        row = self.spark.createDataFrame([(version, repository, commit, f"{repository}@{parent}" if parent else None)], "id string, repository string, commit_sha string, parent_version_id string")
+        try:
+            row = row.join(self.versions().select("id"), "id", "left_anti")
+        except AnalysisException:
+            pass
+        row.write.mode("append").parquet(f"{self.path}/versions")
+        return version
+
+    def versions(self) -> DataFrame:
+        return self.spark.read.schema("id string, repository string, commit_sha string, parent_version_id string").parquet(f"{self.path}/versions")

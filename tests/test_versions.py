@@ -92,3 +92,10 @@ def test_repoint_unresolved(spark):
     edges = spark.createDataFrame([(1, None, "f"), (1, 7, "f"), (2, None, "nobody")], "src long, dst long, callee_name string")
     symbols = spark.createDataFrame([(7, "f"), (9, "f")], "id long, name string")
     assert [tuple(r) for r in versions.repoint_unresolved(edges, symbols).collect()] == [(1, 7)]
+
+
+def test_versions_are_registered_once(spark, tmp_path):
+    store = FactStore(spark, f"file://{tmp_path}")
+    assert store.register("r", "a") == store.register("r", "a") == "r@a"
+    store.register("r", "b", "a")
+    assert sorted((r["id"], r["parent_version_id"]) for r in store.versions().collect()) == [("r@a", None), ("r@b", "r@a")]
