@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from ripplegraph.llm import decontaminate, packing, quality
+from ripplegraph.llm import decontaminate
 from ripplegraph.llm.common import WordHashes
 
 from .conftest import prose
