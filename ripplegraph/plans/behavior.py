@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import keywords as K
 from ..functions import names as N
-from ..operators import behavior, discovery, graph, operational, review
+from ..operators import behavior, discovery, graph, operational
 from ..operators.impact import MAX_DEPTH
 from ..scratch import Tables
 from ..sources.testdata import Facts
-from .core import CHANGED_FILES, DOWN, UP, _changed_files, holds, query
+from .core import UP, holds, query
 
 # --- operational ------------------------------------------------------------------------------------------------------
 
@@ -202,9 +202,6 @@ def _(f: Facts) -> DataFrame:
 
 # --- discoveries ------------------------------------------------------------------------------------------------------
 
-_S = "n(c, w)"
-
-
 def _plural(n: str, word: str) -> str:
     return f"{n} || ' {word}' || CASE WHEN {n} <> 1 THEN 's' ELSE '' END"
 

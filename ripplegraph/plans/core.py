@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import keywords as K
-from ..functions import names as N
-from ..operators import behavior, change, discovery, graph, impact, operational, review, versions
+from ..operators import change, impact, operational, versions
 from ..sources.testdata import Facts, duckdb_with
 
 QUERIES: dict = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import change, graph, impact, models
+from ..operators import change, impact, models
 from ..sources.testdata import Facts
 from .behavior import _NF, _NODES, _nodes
 from .core import CHANGES, UP, _changes, query

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keywords as K
 from ..functions import names as N
-from ..operators import change, planner, resolve, review
+from ..operators import planner, resolve, review
 from ..sources.testdata import Facts
 from .behavior import _NF, _NODES, _nodes
 from .core import CHANGED_FILES, CHANGES, _changed_files, _changes, holds, query

@@ -2,8 +2,6 @@
 
 import datetime
 
-from pyspark.sql import functions as F
-
 from ripplegraph.operators import change, versions
 from ripplegraph.sources.store import FactStore
 
