@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..scratch import Tables
 
+#: So many levels are read one by one; more are written as one table, as each adds to every later plan.
+MERGED = 8
+
 
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = 15, cap: int | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """(*keys, id, depth) of everything that the seeds (*keys, id) reach along edges (src, dst); seeds have depth 0.
@@ -35,6 +38,8 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = 15, cap: int
             break
         levels.append(level)
         total += n
+        if len(levels) > MERGED:
+            levels = [tables.put(reduce(DataFrame.unionAll, levels), f"levels-{depth}")]
     return reduce(DataFrame.unionAll, levels)
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import keywords as K
 from ..functions import names as N
 from ..operators import behavior, discovery, graph, operational
-from ..operators.impact import MAX_DEPTH
 from ..scratch import Tables
 from ..sources.testdata import Facts
 from .core import UP, holds, query
@@ -141,7 +140,7 @@ _ENCLOSING = "@ bw AS (SELECT id AS changed_id, id, 0 AS depth FROM changed UNIO
 
 
 def _enclosing(f: Facts) -> DataFrame:
-    return behavior.enclosing(f.edges, f.changed, f.entries, 10, 15)
+    return behavior.enclosing(f.edges, f.changed, f.entries, 10)
 
 
 @query("enclosing_behaviors", "changed calls endpoints", _ENCLOSING + "SELECT changed_id, entry_id FROM enc")
@@ -154,13 +153,13 @@ def _(f: Facts) -> DataFrame:
     return behavior.changed_of_behaviors(_enclosing(f)).select("behavior_id", F.array_join(F.col("changed_ids").cast("array<string>"), ",").alias("changed_ids"))
 
 
-# Graphs of all entry points, as deep as the impact search goes.
+# Graphs of all entry points, however deep; the SQL stops at 15 calls.
 _NODES = "@ nw AS (SELECT symbol_id AS behavior_id, symbol_id AS id, 0 AS depth FROM endpoints UNION SELECT w.behavior_id, c.callee_id, depth + 1 FROM nw w JOIN calls c ON c.caller_id = w.id WHERE depth < 15), nodes AS (SELECT behavior_id, id AS symbol_id, min(depth) AS depth, row_number() OVER (PARTITION BY behavior_id ORDER BY min(depth), id) - 1 AS place FROM nw GROUP BY behavior_id, id), ge AS (SELECT behavior_id, caller_id AS src, callee_id AS dst FROM nodes JOIN calls ON caller_id = symbol_id) "
 _NF = "endpoints calls changed"
 
 
 def _nodes(f: Facts) -> DataFrame:
-    return Tables(f.spark, "nodes").put(behavior.graph_nodes(f.edges, f.entries.select(F.col("symbol_id").alias("id")), MAX_DEPTH), "nodes")
+    return Tables(f.spark, "nodes").put(behavior.graph_nodes(f.edges, f.entries.select(F.col("symbol_id").alias("id"))), "nodes")
 
 
 @query("execution_graph_nodes", _NF, _NODES + "SELECT behavior_id, symbol_id, depth, place FROM nodes")
@@ -197,7 +196,7 @@ def _(f: Facts) -> DataFrame:
 
 @query("reachable_units", _NF, _NODES + ", ru AS (SELECT behavior_id, symbol_id AS id, 0 AS d FROM nodes WHERE symbol_id IN (SELECT id FROM changed) UNION SELECT r.behavior_id, c.callee_id, d + 1 FROM ru r JOIN calls c ON c.caller_id = r.id WHERE d < 15) SELECT DISTINCT ru.behavior_id, ru.id AS symbol_id FROM ru JOIN nodes n ON n.behavior_id = ru.behavior_id AND n.symbol_id = ru.id")
 def _(f: Facts) -> DataFrame:
-    return behavior.reachable_units(_nodes(f), f.edges, f.changed, MAX_DEPTH)
+    return behavior.reachable_units(_nodes(f), f.edges, f.changed)
 
 
 # --- discoveries ------------------------------------------------------------------------------------------------------
