@@ -3,8 +3,9 @@
 On a bounded sample, the neighbour graph is cut into balanced partitions, and a small network learns which partitions
 the neighbours of a vector lie in.  Every vector is indexed in its most probable partition; a query is routed to its
 several most probable partitions, all members of which are ranked by the exact inner product in double precision.  How
-many partitions a query visits is set on the sample, so that ``target`` of the true neighbours lie in them.  The rows
-of the sample are ranked for every query as well; the partitions then need only give what beats the best of these.
+many partitions a query visits is set on rows of the sample that the fit has not seen, so that ``target`` of their true
+neighbours in the sample lie in them.  Rows of the sample that lie in a query's own partitions give a floor, below which
+its partitions need not answer; nothing outside these partitions is ranked.
 
 Equal vectors are one point of the index, which keeps the ``k`` + 1 smallest ids: no other of them can be among the k
 nearest of any query.  Partitions are searched in blocks of bounded size.
@@ -134,14 +135,15 @@ def fit_index(x: np.ndarray, rows: int, k: int, target: float, part_rows: int =
     if parts < 2:
         return Index(None, 1, 1, 1.0)
     scale = float(np.sqrt((x**2).sum(axis=1).mean())) or 1.0
-    graph = neighbour_graph(x, min(graph_k, len(x) - 1))
-    label = balanced_partition(x, graph, parts)
-    soft = np.zeros((len(x), parts))
-    np.add.at(soft, (np.repeat(np.arange(len(x)), graph.shape[1]), label[graph.ravel()]), 1 / (graph.shape[1] + 1))
-    soft[np.arange(len(x)), label] += 1 / (graph.shape[1] + 1)
-    index = Index(Router.fit(x / scale, soft), parts, parts, scale)
-    # visits: on rows of the sample, with their true neighbours in it
-    probe = np.random.default_rng(6).permutation(len(x))[:1000]
+    # visits: on rows of the sample that the fit leaves out, with their true neighbours in it
+    probe, seen = np.split(np.random.default_rng(6).permutation(len(x)), [min(1000, len(x) // 5)])
+    y = x[np.sort(seen)]
+    graph = neighbour_graph(y, min(graph_k, len(y) - 1))
+    label = balanced_partition(y, graph, parts)
+    soft = np.zeros((len(y), parts))
+    np.add.at(soft, (np.repeat(np.arange(len(y)), graph.shape[1]), label[graph.ravel()]), 1 / (graph.shape[1] + 1))
+    soft[np.arange(len(y)), label] += 1 / (graph.shape[1] + 1)
+    index = Index(Router.fit(y / scale, soft), parts, parts, scale)
     s = x[probe] @ x.T
     s[np.arange(len(probe)), probe] = -np.inf
     true = np.argpartition(-s, min(k, len(x) - 1) - 1, axis=1)[:, : min(k, len(x) - 1)]
@@ -149,7 +151,7 @@ def fit_index(x: np.ndarray, rows: int, k: int, target: float, part_rows: int =
     place = np.empty_like(order)
     place[np.arange(len(probe))[:, None], order] = np.arange(parts)
     found = np.cumsum(np.bincount(place[np.arange(len(probe))[:, None], home[true]].ravel(), minlength=parts)) / true.size
-    index.visits = int(np.searchsorted(found, target) + 1)
+    index.visits = min(parts, int(np.searchsorted(found, target) + 1))
     return index
 
 
@@ -169,16 +171,17 @@ def points_of(vectors: DataFrame, id_col: str, vector_col: str, keep: int) -> Da
     return ranked.groupBy("x", "y").agg(F.first("v").alias("v"), F.array_sort(F.collect_list("id")).alias("ids"))
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 8192, target: float = 0.95, block: int = 2048) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 8192, target: float = 0.98, block: int = 2048) -> DataFrame:
     """query_id, rank (from 1), id, score: the k nearest found of every row for which ``is_query(id)`` holds."""
     spark = vectors.sparkSession
     bound_batches(spark)
     scratch = Scratch(spark, "ann")
     points = scratch.write(points_of(vectors, id_col, vector_col, k + 1), "points")
     n = points.count()
-    sample = points.select("v", "ids", "x", "y").orderBy("x", "y").limit(sample_rows).toPandas()
-    x, x_ids = np.array(sample["v"].to_list(), dtype=np.float64), [list(map(int, i)) for i in sample["ids"]]
+    sample = points.select("v", "x", "y").orderBy("x", "y").limit(sample_rows).toPandas()
+    x = np.array(sample["v"].to_list(), dtype=np.float64)
     index = fit_index(x, n, k, target)
+    x_home = index.assign(x, 1)[:, 0] if len(x) else np.zeros(0, dtype=np.int64)
 
     asked = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & is_query(F.col("id")))
     asked = asked.select("id", F.xxhash64("v").alias("x"), F.xxhash64(F.lit(1), "v").alias("y")).distinct()
@@ -192,10 +195,14 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
                     continue
                 v = np.array(b.column(2).to_pylist(), dtype=np.float64)
                 to, floor = index.assign(v, visits), np.full(len(v), -np.inf)
-                if with_floor and len(x) > k:
-                    # at least k + 1 rows of the sample reach it, so none below can be among the nearest
-                    s = np.partition(v @ x.T, len(x) - k - 1, axis=1)[:, len(x) - k - 1]
-                    floor = s - 1e-9 * (1 + np.abs(s))
+                if with_floor and len(x) > k + 1:
+                    # k + 1 rows in the visited partitions reach it, so none below can be among the nearest there; one
+                    # more is asked for, as rounding may put a row on the edge of two partitions into the other
+                    visited = np.zeros((len(v), index.parts), dtype=bool)
+                    visited[np.arange(len(v))[:, None], to] = True
+                    s = np.where(visited[:, x_home], v @ x.T, -np.inf)
+                    s = np.partition(s, len(x) - k - 2, axis=1)[:, len(x) - k - 2]
+                    floor = np.where(np.isfinite(s), s - 1e-9 * (1 + np.abs(s)), -np.inf)
                 each = np.repeat(np.arange(len(v)), to.shape[1])
                 rows = b.take(pa.array(each))
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(3), pa.array(to.ravel()), pa.array([v[i].tobytes() for i in each], pa.binary()), pa.array(floor[each])], names=["x", "y", "ids", "part", "v", "floor"])
@@ -240,16 +247,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
                 near = top(scores)
                 yield batch([r for i, a in enumerate(asked) for r in nearest((a["x"], a["y"]), q[i], near[i][scores[i, near[i]] >= a["floor"]], c, ids)])
 
-    def rank_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            q = np.array(b.column(2).to_pylist(), dtype=np.float64).reshape(b.num_rows, -1)
-            near = top(q @ x.T) if b.num_rows else []
-            keys = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
-            yield batch([r for i, key in enumerate(keys) for r in nearest(key, q[i], near[i], x, x_ids)])
-
     scored = pairs.select("query", "member").mapInArrow(rank, "x long, y long, id long, score double")
-    if len(x):
-        scored = scored.unionByName(queries.select("x", "y", "v").mapInArrow(rank_sample, scored.schema)).dropDuplicates(["x", "y", "id"])
     order = Window.partitionBy("x", "y").orderBy(F.desc("score"), "id")
     best = scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1)
     best = scratch.write(best.groupBy("x", "y").agg(F.array_sort(F.collect_list(F.struct("place", "id", "score"))).alias("found")), "best")

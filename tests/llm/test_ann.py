@@ -55,3 +55,23 @@ def test_balanced_partition():
     x = np.random.default_rng(1).normal(size=(500, 8))
     label = ann.balanced_partition(x, ann.neighbour_graph(x, 6), 7)
     assert np.bincount(label, minlength=7).max() <= np.ceil(1.1 * 500 / 7) and len(np.unique(label)) == 7
+
+
+def test_only_visited_partitions_answer(spark, monkeypatch):
+    """With one of two partitions visited, what lies in the other is not found, though the sample holds all rows."""
+
+    class Sign:
+        def logits(self, x):
+            return np.stack([x[:, 0], -x[:, 0]], axis=1)
+
+    monkeypatch.setattr(ann, "fit_index", lambda *a, **b: ann.Index(Sign(), 2, 1, 1.0))
+    rows = [(0, [1.0, 3.0])] + [(i, [1.0, i / 100]) for i in range(1, 7)] + [(i, [-1.0, 9.0 + i]) for i in range(30, 40)]
+    assert [i for _, i, _ in results(spark, rows)[0]] == [6, 5, 4, 3, 2]
+
+
+def test_visits_reach_the_target_on_rows_not_fitted():
+    x = np.random.default_rng(3).normal(size=(4000, 16))
+    new = np.random.default_rng(4).normal(size=(500, 16))
+    index = ann.fit_index(x, 8000, 20, 0.98)
+    true, home, to = np.argsort(-(new @ x.T), axis=1)[:, :20], index.assign(x, 1)[:, 0], index.assign(new, index.visits)
+    assert np.mean([np.isin(home[t], v).mean() for t, v in zip(true, to, strict=True)]) >= 0.96
