@@ -42,6 +42,14 @@ def largest_reach(units: DataFrame) -> DataFrame:
     return _rows(n, 4, F.lit(1), F.concat(F.lit("dominant-execution://reach/"), "behavior_id"), "dominant_execution", F.concat(F.lit("behavior "), "behavior_id", F.lit(" reaches "), plural(F.col("n"), "execution unit"), F.lit(".")), F.least(40 + 2 * F.col("n"), F.lit(95)), execution_reach=F.col("n"))
 
 
+def longest_chain(nodes: DataFrame) -> DataFrame:
+    """The behaviour with most units, the smallest id of equals, where any graph is deeper than its root."""
+    deepest = nodes.agg(F.max("depth").alias("depth")).filter("depth > 0")
+    n = nodes.groupBy("behavior_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "behavior_id").limit(1).crossJoin(deepest)  # single rows
+    statement = F.concat(F.lit("The deepest execution path spans "), plural(F.col("n"), "call"), F.lit(" (behavior "), "behavior_id", F.lit(")."))
+    return _rows(n, 4, F.lit(2), F.concat(F.lit("dominant-execution://depth/"), "behavior_id"), "execution_depth", statement, F.lit(60), execution_reach=F.col("n"), propagation_depth=F.col("depth"))
+
+
 def several_routes(entries: DataFrame) -> DataFrame:
     """Behaviours with two routes or more; entries: behavior_id, route. Five routes are named."""
     grouped = entries.groupBy("behavior_id").agg(F.array_sort(F.collect_list("route")).alias("routes"))
@@ -93,6 +101,14 @@ def validation_gaps(chains: DataFrame, fans: DataFrame, tests: DataFrame, k: int
     )
 
 
+def own_fan_in(discoveries: DataFrame, fans: DataFrame) -> DataFrame:
+    """A fan_in of zero is filled from the symbol that the discovery is about, if it is about one; fans: id, fan_in."""
+    symbol = F.regexp_extract("id", "(?:/fan-in/|/fan-out/|^shared-execution://)([0-9]+)$", 1)
+    own = fans.select(F.col("id").cast("string").alias("symbol"), F.col("fan_in").alias("own"))
+    joined = discoveries.withColumn("symbol", symbol).join(own, "symbol", "left")
+    return joined.withColumn("fan_in", F.when(F.col("fan_in") != 0, F.col("fan_in")).otherwise(F.coalesce("own", F.lit(0))).cast("long")).select(*COLUMNS)
+
+
 def fill_support(discoveries: DataFrame, counts: DataFrame) -> DataFrame:
     """Zeros of the support are filled from the one row of model counts that has columns of those names."""
     own = [c for c in SUPPORT if c in counts.columns]

@@ -237,7 +237,7 @@ _COLUMNS = ", ".join(discovery.COLUMNS)
 
 
 def _tests(f: Facts) -> DataFrame:
-    return f.test_rels.agg(F.count_if(F.col("relationship_type") == "unit").alias("unit")).withColumns({"integration": F.lit(0), "e2e": F.lit(0)})
+    return f.test_rels.agg(*[F.count_if(F.col("relationship_type") == kind).alias(kind) for kind in ("unit", "integration", "e2e")])
 
 
 def _fans(f: Facts) -> DataFrame:
@@ -245,19 +245,18 @@ def _fans(f: Facts) -> DataFrame:
 
 
 def _counts(f: Facts) -> DataFrame:
-    return operational.metrics(changed=f.changed, apis=f.endpoints.join(f.changed.select(F.col("id").alias("symbol_id")), "symbol_id", "left_semi")).withColumns({"cross_service": F.lit(0), "depth": F.lit(4)})
+    return operational.metrics(changed=f.changed, apis=f.endpoints.join(f.changed.select(F.col("id").alias("symbol_id")), "symbol_id", "left_semi"), cross_service=operational.cross_service_edges(f.edges, f.symbol_services)).crossJoin(operational.dependency_depth(f.edges, f.changed).withColumnRenamed("dependency_depth", "depth"))  # single rows
 
 
 def _chains(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("behavior_id").agg(F.count("*").alias("n"))
 
 
-def _discoveries(f: Facts) -> DataFrame:
+def _discoveries(f: Facts, nodes: DataFrame, fans: DataFrame) -> DataFrame:
     from functools import reduce
 
-    nodes, fans = _nodes(f), Tables(f.spark, "fans").put(_fans(f), "fans")
     parts = [
-        discovery.top_fans(fans, f.symbols.select("id", "name")), discovery.largest_reach(nodes), discovery.boundaries(_counts(f)),
+        discovery.top_fans(fans, f.symbols.select("id", "name")), discovery.largest_reach(nodes), discovery.longest_chain(nodes), discovery.boundaries(_counts(f)),
         discovery.validation_gaps(_chains(nodes), fans, _tests(f)), discovery.indirect_changes(nodes, f.changed), discovery.shared(behavior.shared_executions(nodes)),
     ]
     return Tables(f.spark, "discoveries").put(reduce(DataFrame.unionByName, parts), "found")
@@ -293,6 +292,11 @@ def _(f: Facts) -> DataFrame:
     return discovery.largest_reach(_nodes(f))
 
 
+@query("discoveries_depth")
+def _(f: Facts) -> DataFrame:
+    return discovery.longest_chain(_nodes(f))
+
+
 @query("discoveries_routes", "endpoints", f"@ found{_NAMES} AS (SELECT 0, b, 'hidden-relationship://reachable/' || b, 'hidden_relationship', 'behavior ' || b || ' is reachable from ' || {_plural('n', 'endpoint')} || ': ' || array_to_string(list_sort(r)[1:5], ', ') || CASE WHEN n > 5 THEN ' and ' || (n - 5) || ' more' ELSE '' END || '.', CAST(least(50 + 10 * n, 95) AS BIGINT), {_support(execution_reach='n')} FROM (SELECT symbol_id % 7 AS b, list(path) AS r, count(*) AS n FROM endpoints GROUP BY 1) WHERE n >= 2) SELECT {_COLUMNS} FROM found")
 def _(f: Facts) -> DataFrame:
     return discovery.several_routes(f.endpoints.select((F.col("symbol_id") % 7).alias("behavior_id"), F.col("path").alias("route")))
@@ -301,8 +305,16 @@ def _(f: Facts) -> DataFrame:
 _FILLED = ", filled AS (SELECT pass_no, row_no, id, kind, statement, importance, CASE WHEN fan_in <> 0 THEN fan_in ELSE 3 END AS fan_in, fan_out, execution_reach, propagation_depth, CASE WHEN behaviors <> 0 THEN behaviors ELSE 2 END AS behaviors, CASE WHEN services <> 0 THEN services ELSE 1 END AS services, validation FROM found) "
 
 
+def _model_counts(f: Facts, nodes: DataFrame) -> DataFrame:
+    """One row: the behaviours, and the services that their graphs touch."""
+    services = nodes.select(F.col("symbol_id").alias("id")).join(f.symbol_services, "id").select("service").distinct()
+    return operational.metrics(behaviors=nodes.select("behavior_id").distinct(), services=services)
+
+
 def _filled(f: Facts) -> DataFrame:
-    return discovery.fill_support(_discoveries(f), f.spark.range(1).selectExpr("3L as fan_in", "2L as behaviors", "1L as services"))
+    nodes, fans = _nodes(f), Tables(f.spark, "fans").put(_fans(f), "fans")
+    own = discovery.own_fan_in(_discoveries(f, nodes, fans), fans)
+    return discovery.fill_support(own, _model_counts(f, nodes))
 
 
 @query("discovery_significance", _DF, _ALL + _FILLED + f"SELECT {_COLUMNS} FROM filled")
