@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import posixpath
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: What marks entry points and consumers in source text.
-ENTRY_MARKS = ("@app.", "@router.", "@RequestMapping", "@GetMapping", "app.get(")
+ENTRY_MARKS = ("@app.", "FastAPI", "Blueprint", "def main", "if __name__", "@router.", "@RequestMapping", "@GetMapping", "app.get(")
 CONSUMER_MARKS = ("subscribe", "consumer")
+KINDS = ("file", "symbol", "importers", "event", "entry_points")
 LANGUAGES = (("python", (".py",)), ("java", (".java",)), ("typescript", (".ts", ".tsx")))
 
 
@@ -42,13 +45,33 @@ def within_budget(plan: DataFrame, budget: Budget) -> DataFrame:
     return first.withColumn("total", F.sum("size").over(order)).filter(F.col("total") <= budget.bytes).select("path", "size")
 
 
+def _words(kind: str, key: str) -> tuple[str, ...]:
+    """What a file that answers the requirement holds, any of them."""
+    if kind == "symbol":
+        return (key,)
+    if kind == "importers":
+        return tuple(w for w in (posixpath.splitext(posixpath.basename(key))[0],) if w)
+    return (key, *CONSUMER_MARKS) if kind == "event" else ENTRY_MARKS
+
+
 def candidates(requirements: list[tuple[str, str]], tree: DataFrame, status: DataFrame) -> DataFrame:
-    """kind, key, path: what may answer each requirement (file or symbol, key) and isn't indexed yet."""
+    """kind, key, path: what may answer each requirement (one of KINDS, key) and isn't indexed yet.
+
+    The key of file and importers is a path, of symbol a name, of event an id; entry_points has any. Importers are found
+    by the module's name, the path's last part without its ending.
+    """
+    if unknown := sorted({kind for kind, _ in requirements} - set(KINDS)):
+        raise ValueError(f"unknown kinds of requirements: {', '.join(unknown)}")
     todo = tree.filter("type = 'blob'").join(status.filter("indexed_status = 'indexed'").select("path"), "path", "left_anti")
-    of = lambda kind: [key for k, key in requirements if k == kind]
-    by_file = todo.filter(F.col("path").isin(of("file"))).select(F.lit("file").alias("kind"), F.col("path").alias("key"), "path")
-    by_text = content_scan(todo, of("symbol")).select(F.lit("symbol").alias("kind"), F.col("keyword").alias("key"), "path") if of("symbol") else None
-    return by_file if by_text is None else by_file.unionByName(by_text)
+    files = [key for kind, key in requirements if kind == "file"]
+    by_file = todo.filter(F.col("path").isin(files)).select(F.lit("file").alias("kind"), F.col("path").alias("key"), "path")
+    scans = [(kind, key, words) for kind, key in dict.fromkeys(requirements) if kind != "file" and (words := _words(kind, key))]
+    if not scans:
+        return by_file
+    held = lambda words: reduce(lambda a, b: a | b, [F.contains(F.col("text"), F.lit(w)) for w in words])
+    met = F.array(*[F.when(held(words), F.struct(F.lit(kind).alias("kind"), F.lit(key).alias("key"))) for kind, key, words in scans])
+    by_text = todo.select("path", F.explode(met).alias("met")).filter("met is not null").select("met.kind", "met.key", "path")
+    return by_file.unionByName(by_text)
 
 
 def language_vote(paths: DataFrame) -> DataFrame:

@@ -224,6 +224,15 @@ def _(f: Facts) -> DataFrame:
     return planner.candidates([("file", "src1/21"), ("file", "src3/3"), ("symbol", "token")], f.tree, f.materialization)
 
 
+def _any(words) -> str:
+    return "(" + " OR ".join(f"contains(text, '{w}')" for w in words) + ")"
+
+
+@query("candidates_by_content", "tree materialization", f"@ todo AS (SELECT * FROM tree WHERE type = 'blob' AND path NOT IN (SELECT path FROM materialization WHERE indexed_status = 'indexed')) SELECT 'importers' AS kind, 'lib/token.py' AS key, path FROM todo WHERE contains(text, 'token') UNION ALL SELECT 'event', '17', path FROM todo WHERE {_any(('17', *planner.CONSUMER_MARKS))} UNION ALL SELECT 'entry_points', '', path FROM todo WHERE {_any(planner.ENTRY_MARKS)}")
+def _(f: Facts) -> DataFrame:
+    return planner.candidates([("importers", "lib/token.py"), ("event", "17"), ("entry_points", "")], f.tree, f.materialization)
+
+
 @query("budget_decision", "tree", "SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, CASE WHEN count(*) > 500 THEN 'files' WHEN sum(size) > 50000000 THEN 'bytes' END AS exceeded FROM tree WHERE type = 'blob'")
 def _(f: Facts) -> DataFrame:
     return planner.budget_decision(f.tree.filter("type = 'blob'"), planner.Budget())
