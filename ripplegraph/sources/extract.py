@@ -1,6 +1,7 @@
 """Facts from source text: one walk of each file gives all of its facts, as rows of one schema.
 
-Columns: path, language, fact (symbol, import, call, type, endpoint, event, model, config, test), name, owner (the
+Columns: path, language, fact (symbol, import, call, type, endpoint, event, model, field,
+relationship, repository, config, test, fixture), name, owner (the
 enclosing class, or class.function for what happens inside a function), target, detail, line, end_line.  A file that
 doesn't parse has no facts.
 """

@@ -16,6 +16,11 @@ LISTENER = re.compile(r"@(?:EventListener|KafkaListener|RabbitListener|SqsListen
 VALUE = re.compile(r"@Value\(\s*\"\$\{([^}:\"]+)")
 GETENV = re.compile(r"System\.get(?:env|Property)\(\s*\"([^\"]+)\"")
 PUBLISH = re.compile(r"\.(publish|publishEvent|emit|dispatch|send|broadcast)\(\s*(?:\"([^\"]*)\"|new\s+(\w+))")
+FIELD = re.compile(r"(?:\b(?:public|protected|private|static|final|transient|volatile)\s+)*\b([A-Z][\w.]*)(?:<([^;={}()]*)>)?(?:\[\])?\s+(\w+)\s*[;=]")
+RELATION = re.compile(r"@(OneToOne|OneToMany|ManyToOne|ManyToMany)\b")
+COLUMN = re.compile(r"@(?:Column|JoinColumn)\s*\([^)]*?\bname\s*=\s*\"([^\"]*)\"")
+REPOSITORY = re.compile(r"\b(\w*Repository)\s*<\s*(\w+)")
+PLAIN = {"String", "Integer", "Long", "Short", "Byte", "Double", "Float", "Boolean", "Character", "Object"}
 KEYWORDS = {"if", "for", "while", "switch", "catch", "return", "new", "throw", "else", "super", "this", "synchronized", "try", "do", "assert"}
 
 
@@ -23,6 +28,7 @@ def facts(source: str) -> Iterator[dict]:
     text = blanked(source)
     code, line, scopes = blanked(text, strings=True), Lines(source), Scopes()
     names = lambda s: [re.sub(r"<.*", "", x).strip() for x in s.split(",") if x.strip()] if s else []
+    models = set()
     for m in IMPORT.finditer(code):
         yield {"fact": "import", "name": m[2].rsplit(".", 1)[-1], "target": m[2], "detail": "static" if m[1] else "standard", "line": line.of(m.start(2))}
     for m in CLASS.finditer(code):
@@ -32,8 +38,11 @@ def facts(source: str) -> Iterator[dict]:
         scopes.add(m.end() - 1, end, "class", m[2])
         yield from ({"fact": "type", "name": m[2], "target": t, "detail": "extends", "line": line.of(m.start(1))} for t in names(m[3]))
         yield from ({"fact": "type", "name": m[2], "target": t, "detail": "implements", "line": line.of(m.start(1))} for t in names(m[4]))
+        if a := REPOSITORY.search(m[3] or ""):
+            yield {"fact": "repository", "name": m[2], "target": a[2], "detail": a[1], "line": line.of(m.start(1))}
         before = code[max(0, m.start() - 200) : m.start()].rsplit("}", 1)[-1]
         if re.search(r"@(Entity|Document|Table)\b", before):
+            models.add(m[2])
             yield {"fact": "model", "name": m[2], "target": next(iter(re.findall(r"@Table\([^)]*name\s*=\s*\"([^\"]*)\"", text[max(0, m.start() - 200) : m.start()])), None), "line": line.of(m.start(1))}
     starts = set()
     for m in METHOD.finditer(code):
@@ -52,6 +61,17 @@ def facts(source: str) -> Iterator[dict]:
             yield {"fact": "event", "name": a[1] or m[2], "owner": own, "detail": "subscribe", "line": line.of(m.start(2))}
         if re.search(r"@(Test|ParameterizedTest)\b", head):
             yield {"fact": "test", "name": m[2], "owner": cls, "detail": str(len(re.findall(r"\bassert\w*\s*\(", code[m.end() : end]))), "line": line.of(m.start(2)), "end_line": line.of(end)}
+    for m in FIELD.finditer(code):
+        cls = scopes.owner(m.start(1), "class")
+        if not cls or scopes.owner(m.start(1), "method"):
+            continue
+        first = max(code.rfind(c, 0, m.start()) for c in "};{") + 1
+        head, target = text[first : m.start(1)], (m[2] or m[1]).rsplit(",", 1)[-1].strip()
+        if target not in PLAIN:
+            yield {"fact": "type", "name": cls, "target": target, "detail": "composes", "line": line.of(m.start(3))}
+        if cls.rsplit(".", 1)[-1] in models:
+            yield {"fact": "field", "name": m[3], "owner": cls, "target": next(iter(COLUMN.findall(head)), None), "detail": m[1], "line": line.of(m.start(3))}
+            yield from ({"fact": "relationship", "name": m[3], "owner": cls, "target": target, "detail": r, "line": line.of(m.start(3))} for r in RELATION.findall(head))
     for m in CALL.finditer(code):
         owner = scopes.owner(m.start(2), "class", "method")
         inside = scopes.owner(m.start(2), "method")
