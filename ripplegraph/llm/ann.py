@@ -233,9 +233,12 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
         types = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
         return pa.RecordBatch.from_arrays([pa.array(z, t) for z, t in zip(zip(*out, strict=True) if out else [[]] * 4, types, strict=True)], names=["x", "y", "id", "score"])
 
-    def top(scores: np.ndarray) -> np.ndarray:
-        most = min(k + 9, scores.shape[1])
-        return np.argpartition(-scores, most - 1, axis=1)[:, :most]
+    def near(scores: np.ndarray, floor: float) -> np.ndarray:
+        """All points that may be among the k + 1 best of one query: equals at the edge are settled by id later."""
+        if len(scores) > k + 1:
+            edge = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
+            floor = max(floor, edge - 1e-9 * (1 + abs(edge)))
+        return np.flatnonzero(scores >= floor)
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -244,8 +247,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
                 q = np.frombuffer(b"".join(a["v"] for a in asked)).reshape(len(asked), -1)
                 c = np.frombuffer(b"".join(a["v"] for a in members)).reshape(len(members), -1)
                 scores, ids = q @ c.T, [m["ids"] for m in members]
-                near = top(scores)
-                yield batch([r for i, a in enumerate(asked) for r in nearest((a["x"], a["y"]), q[i], near[i][scores[i, near[i]] >= a["floor"]], c, ids)])
+                yield batch([r for i, a in enumerate(asked) for r in nearest((a["x"], a["y"]), q[i], near(scores[i], a["floor"]), c, ids)])
 
     scored = pairs.select("query", "member").mapInArrow(rank, "x long, y long, id long, score double")
     order = Window.partitionBy("x", "y").orderBy(F.desc("score"), "id")

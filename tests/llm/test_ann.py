@@ -75,3 +75,9 @@ def test_visits_reach_the_target_on_rows_not_fitted():
     index = ann.fit_index(x, 8000, 20, 0.98)
     true, home, to = np.argsort(-(new @ x.T), axis=1)[:, :20], index.assign(x, 1)[:, 0], index.assign(new, index.visits)
     assert np.mean([np.isin(home[t], v).mean() for t, v in zip(true, to, strict=True)]) >= 0.96
+
+
+def test_many_different_vectors_tie_at_the_edge(spark):
+    """60 different vectors of one score: the smallest ids are the nearest."""
+    rows = [(0, [1.0] + [0.0] * 60)] + [(i, [0.5] + [float(j == i) for j in range(1, 61)]) for i in range(1, 61) if i != 20]
+    assert [i for _, i, _ in results(spark, rows)[0]] == [1, 2, 3, 4, 5]
