@@ -4,8 +4,8 @@ Documents with equal shingle sets form a class, and one signature stands for it.
 classes, each sorted by the signature rotated to start at another place; classes are candidates if they share DEPTH
 leading values in some order (a region).
 
-1. In each order, a class is compared with its neighbours of longest common prefix: how deep that goes is up to the
-   region.  The best of these candidates are confirmed on the full sets, which joins nearly all copies.
+1. In each order, a class is compared with its neighbours of longest common prefix: their prefix
+   has DEPTH values at least, the same depth in every region.  The best of these candidates are confirmed on the full sets, which joins nearly all copies.
 2. Regions that still hold several components are compared whole, in blocks, across components; candidates are
    confirmed where they meet, on the full sets.  Regions inside one component need no further look, for links within
    it change nothing.
