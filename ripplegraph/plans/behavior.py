@@ -136,7 +136,12 @@ def _(f: Facts) -> DataFrame:
 
 # --- behaviours -------------------------------------------------------------------------------------------------------
 
-_ENCLOSING = "@ bw AS (SELECT id AS changed_id, id, 0 AS depth FROM changed UNION SELECT w.changed_id, c.caller_id, depth + 1 FROM bw w JOIN calls c ON c.callee_id = w.id WHERE depth < 15), bm AS (SELECT changed_id, id, min(depth) AS depth FROM bw GROUP BY ALL), enc AS (SELECT changed_id, id AS entry_id FROM (SELECT *, row_number() OVER (PARTITION BY changed_id ORDER BY depth, id) AS n FROM bm WHERE id IN (SELECT symbol_id FROM endpoints)) WHERE n <= 10) "
+def _walk(name: str, key: str, seeds: str, src: str, dst: str) -> str:
+    """A breadth-first search in DuckDB: (key, id, depth), of each pair its least depth, however deep."""
+    return f"{name}({key}, id, depth) USING KEY ({key}, id) AS ({seeds} UNION SELECT w.{key}, c.{dst}, min(w.depth) + 1 FROM {name} w JOIN calls c ON c.{src} = w.id LEFT JOIN recurring.{name} r ON r.{key} = w.{key} AND r.id = c.{dst} WHERE r.id IS NULL GROUP BY ALL)"
+
+
+_ENCLOSING = "@ " + _walk("bm", "changed_id", "SELECT id, id, 0 FROM changed", "callee_id", "caller_id") + ", enc AS (SELECT changed_id, id AS entry_id FROM (SELECT *, row_number() OVER (PARTITION BY changed_id ORDER BY depth, id) AS n FROM bm WHERE id IN (SELECT symbol_id FROM endpoints)) WHERE n <= 10) "
 
 
 def _enclosing(f: Facts) -> DataFrame:
@@ -153,8 +158,8 @@ def _(f: Facts) -> DataFrame:
     return behavior.changed_of_behaviors(_enclosing(f)).select("behavior_id", F.array_join(F.col("changed_ids").cast("array<string>"), ",").alias("changed_ids"))
 
 
-# Graphs of all entry points, however deep; the SQL stops at 15 calls.
-_NODES = "@ nw AS (SELECT symbol_id AS behavior_id, symbol_id AS id, 0 AS depth FROM endpoints UNION SELECT w.behavior_id, c.callee_id, depth + 1 FROM nw w JOIN calls c ON c.caller_id = w.id WHERE depth < 15), nodes AS (SELECT behavior_id, id AS symbol_id, min(depth) AS depth, row_number() OVER (PARTITION BY behavior_id ORDER BY min(depth), id) - 1 AS place FROM nw GROUP BY behavior_id, id), ge AS (SELECT behavior_id, caller_id AS src, callee_id AS dst FROM nodes JOIN calls ON caller_id = symbol_id) "
+# Graphs of all entry points, however deep.
+_NODES = "@ " + _walk("nw", "behavior_id", "SELECT DISTINCT symbol_id, symbol_id, 0 FROM endpoints", "caller_id", "callee_id") + ", nodes AS MATERIALIZED (SELECT behavior_id, id AS symbol_id, depth, row_number() OVER (PARTITION BY behavior_id ORDER BY depth, id) - 1 AS place FROM nw), ge AS (SELECT behavior_id, caller_id AS src, callee_id AS dst FROM nodes JOIN calls ON caller_id = symbol_id) "
 _NF = "endpoints calls changed"
 
 
@@ -194,7 +199,7 @@ def _(f: Facts) -> DataFrame:
     return behavior.shared_executions(_nodes(f)).select("symbol_id", F.array_join(F.col("used_by").cast("array<string>"), ",").alias("used_by"))
 
 
-@query("reachable_units", _NF, _NODES + ", ru AS (SELECT behavior_id, symbol_id AS id, 0 AS d FROM nodes WHERE symbol_id IN (SELECT id FROM changed) UNION SELECT r.behavior_id, c.callee_id, d + 1 FROM ru r JOIN calls c ON c.caller_id = r.id WHERE d < 15) SELECT DISTINCT ru.behavior_id, ru.id AS symbol_id FROM ru JOIN nodes n ON n.behavior_id = ru.behavior_id AND n.symbol_id = ru.id")
+@query("reachable_units", _NF, _NODES + ", ru AS (SELECT behavior_id, symbol_id AS id FROM nodes WHERE symbol_id IN (SELECT id FROM changed) UNION SELECT r.behavior_id, c.callee_id FROM ru r JOIN calls c ON c.caller_id = r.id) SELECT DISTINCT ru.behavior_id, ru.id AS symbol_id FROM ru JOIN nodes n ON n.behavior_id = ru.behavior_id AND n.symbol_id = ru.id")
 def _(f: Facts) -> DataFrame:
     return behavior.reachable_units(_nodes(f), f.edges, f.changed)
 
@@ -205,7 +210,12 @@ def _plural(n: str, word: str) -> str:
     return f"{n} || ' {word}' || CASE WHEN {n} <> 1 THEN 's' ELSE '' END"
 
 
-_FANS = ", fans AS (SELECT s.id, s.name, (SELECT count(*) FROM calls WHERE callee_id = s.id) AS fan_in, (SELECT count(*) FROM calls WHERE caller_id = s.id) AS fan_out FROM symbols s), counts AS (SELECT (SELECT count(*) FROM changed) AS changed, (SELECT count(*) FROM endpoints WHERE symbol_id IN (SELECT id FROM changed)) AS apis, 0 AS cross_service, 4 AS depth), tests AS (SELECT count(*) FILTER (WHERE relationship_type = 'unit') AS unit, 0 AS integration, 0 AS e2e FROM test_rels) "
+_FANS = (
+    ", fans AS (SELECT s.id, s.name, (SELECT count(*) FROM calls WHERE callee_id = s.id) AS fan_in, (SELECT count(*) FROM calls WHERE caller_id = s.id) AS fan_out FROM symbols s), "
+    + _walk("dw", "one", "SELECT 1, id, 0 FROM changed", "caller_id", "callee_id")
+    + ", counts AS (SELECT (SELECT count(*) FROM changed) AS changed, (SELECT count(*) FROM endpoints WHERE symbol_id IN (SELECT id FROM changed)) AS apis, (SELECT count(*) FROM (SELECT DISTINCT c.* FROM calls c JOIN symbols s ON s.id = c.caller_id JOIN files a ON a.id = s.file_id JOIN symbols t ON t.id = c.callee_id JOIN files b ON b.id = t.file_id WHERE a.service <> b.service)) AS cross_service, (SELECT coalesce(max(depth), 0) FROM dw) AS depth)"
+    + ", tests AS (SELECT count(*) FILTER (WHERE relationship_type = 'unit') AS unit, count(*) FILTER (WHERE relationship_type = 'integration') AS integration, count(*) FILTER (WHERE relationship_type = 'e2e') AS e2e FROM test_rels) "
+)
 
 
 def _support(**own: str) -> str:
@@ -230,9 +240,10 @@ _INDIRECT = f"""SELECT 1, c.behavior_id, 'hidden-relationship://indirect/' || c.
  FROM {_CHAIN} c JOIN (SELECT behavior_id, max_by(symbol_id, place) AS deepest FROM nodes WHERE symbol_id IN (SELECT id FROM changed) GROUP BY 1) d USING (behavior_id) WHERE n >= 2 AND deepest <> behavior_id"""
 _SHARED = f"SELECT 7, symbol_id, 'shared-execution://' || symbol_id, 'shared_execution', 'symbol ' || symbol_id || ' is shared by ' || {_plural('n', 'behavior')} || '.', CAST(least(40 + 10 * n, 95) AS BIGINT), {_support(behaviors='n')} FROM (SELECT symbol_id, count(*) AS n FROM nodes GROUP BY 1) WHERE n >= 2"
 _REACH = f"SELECT 4, CAST(1 AS BIGINT), 'dominant-execution://reach/' || behavior_id, 'dominant_execution', 'behavior ' || behavior_id || ' reaches ' || {_plural('n', 'execution unit')} || '.', CAST(least(40 + 2 * n, 95) AS BIGINT), {_support(execution_reach='n')} FROM (SELECT * FROM {_CHAIN} ORDER BY n DESC, behavior_id LIMIT 1)"
+_DEPTH = f"SELECT 4, CAST(2 AS BIGINT), 'dominant-execution://depth/' || behavior_id, 'execution_depth', 'The deepest execution path spans ' || {_plural('n', 'call')} || ' (behavior ' || behavior_id || ').', CAST(60 AS BIGINT), {_support(execution_reach='n', propagation_depth='d')} FROM (SELECT * FROM {_CHAIN} ORDER BY n DESC, behavior_id LIMIT 1), (SELECT max(depth) AS d FROM nodes) WHERE d > 0"
 _NAMES = "(pass_no, row_no, id, kind, statement, importance, " + ", ".join(discovery.SUPPORT) + ")"
-_DF = "endpoints calls changed symbols test_rels"
-_ALL = _NODES + _FANS + f", found{_NAMES} AS ({' UNION ALL '.join((_TOP, _REACH, _BOUND, _GAPS, _INDIRECT, _SHARED))}) "
+_DF = "endpoints calls changed symbols files test_rels"
+_ALL = _NODES + _FANS + f", found{_NAMES} AS ({' UNION ALL '.join((_TOP, _REACH, _DEPTH, _BOUND, _GAPS, _INDIRECT, _SHARED))}) "
 _COLUMNS = ", ".join(discovery.COLUMNS)
 
 
@@ -292,7 +303,7 @@ def _(f: Facts) -> DataFrame:
     return discovery.largest_reach(_nodes(f))
 
 
-@query("discoveries_depth")
+@query("discoveries_depth", _DF, _NODES + _FANS + f", found{_NAMES} AS ({_DEPTH}) SELECT {_COLUMNS} FROM found")
 def _(f: Facts) -> DataFrame:
     return discovery.longest_chain(_nodes(f))
 
@@ -302,7 +313,11 @@ def _(f: Facts) -> DataFrame:
     return discovery.several_routes(f.endpoints.select((F.col("symbol_id") % 7).alias("behavior_id"), F.col("path").alias("route")))
 
 
-_FILLED = ", filled AS (SELECT pass_no, row_no, id, kind, statement, importance, CASE WHEN fan_in <> 0 THEN fan_in ELSE 3 END AS fan_in, fan_out, execution_reach, propagation_depth, CASE WHEN behaviors <> 0 THEN behaviors ELSE 2 END AS behaviors, CASE WHEN services <> 0 THEN services ELSE 1 END AS services, validation FROM found) "
+_FILLED = (
+    ", mc AS (SELECT (SELECT count(DISTINCT behavior_id) FROM nodes) AS behaviors, (SELECT count(DISTINCT f.service) FROM nodes n JOIN symbols s ON s.id = n.symbol_id JOIN files f ON f.id = s.file_id) AS services)"
+    ", own AS (SELECT found.* REPLACE (CASE WHEN found.fan_in <> 0 THEN found.fan_in ELSE coalesce(fans.fan_in, 0) END AS fan_in) FROM found LEFT JOIN fans ON CAST(fans.id AS VARCHAR) = regexp_extract(found.id, '(/fan-in/|/fan-out/|^shared-execution://)([0-9]+)$', 2))"
+    ", filled AS (SELECT own.* REPLACE (CASE WHEN own.behaviors <> 0 THEN own.behaviors ELSE mc.behaviors END AS behaviors, CASE WHEN own.services <> 0 THEN own.services ELSE mc.services END AS services) FROM own, mc) "
+)
 
 
 def _model_counts(f: Facts, nodes: DataFrame) -> DataFrame:
