@@ -1,46 +1,129 @@
-"""Breadth-first search over edge tables, a join for each level."""
+"""Breadth-first search over edge tables.
+
+Edges of at most ``SMALL`` rows (counted, not estimated) travel to the tasks as one compact array, and each task works off
+the searches dealt to it; beyond that, a search is one join for each level.  Both give the same rows.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..scratch import Tables
 
-#: So many levels are read one by one; more are written as one table, as each adds to every later plan.
-MERGED = 8
-
-
-def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = 15, cap: int | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+#: Edges that a task may hold: 16 bytes each, and as many again while they are sorted.
+SMALL = 1_000_000
+
+
+class Adjacency:
+    """The edges of a bounded table by their source, as arrays."""
+
+    def __init__(self, src: pd.Series, dst: pd.Series):
+        codes, names = pd.factorize(pd.concat([src, dst], ignore_index=True))
+        self.names = pd.Index(names)
+        start, end = np.split(codes, 2)
+        order = np.argsort(start, kind="stable")
+        self.ends = end[order]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(start, minlength=len(names)))])
+
+    def codes(self, ids: list) -> np.ndarray:
+        """The nodes among the ids."""
+        at = self.names.get_indexer(pd.Index(ids, dtype=self.names.dtype)) if len(self.names) and ids else np.empty(0, np.int64)
+        return np.unique(at[at >= 0])
+
+    def levels(self, start: np.ndarray, max_depth: int | None, seen: np.ndarray) -> Iterator[np.ndarray]:
+        """The nodes first reached at depth 1, 2, ...; ``seen`` is all False, and is so again afterwards."""
+        level, touched, depth = start, [start], 0
+        seen[start] = True
+        while len(level) and (max_depth is None or depth < max_depth):
+            depth += 1
+            count = self.first[level + 1] - self.first[level]
+            at = np.repeat(self.first[level] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+            ahead = self.ends[at]
+            level = np.unique(ahead[~seen[ahead]])
+            seen[level] = True
+            touched.append(level)
+            if len(level):
+                yield level
+        seen[np.concatenate(touched)] = False
+
+
+def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = 15, cap: int | None = None, keys: tuple[str, ...] = (), small: int = SMALL) -> DataFrame:
     """(*keys, id, depth) of everything that the seeds (*keys, id) reach along edges (src, dst); seeds have depth 0.
 
     ``max_depth`` is inclusive: what lies at it is reached and not followed. With ``cap``, the search keeps that many
-    by (depth, id). A search for each value of ``keys`` runs in the same joins. Each level is written, so that no
-    plan grows with the depth and an executor's loss costs one level at most.
+    by (depth, keys, id). There is a search of its own for each value of ``keys``. Null ids are left out.
     """
-    spark = edges.sparkSession
-    tables = Tables(spark, "bfs")
+    tables = Tables(edges.sparkSession, "bfs")
+    own = [*keys, "id"]
+    links = edges.select("src", "dst").filter("src is not null and dst is not null")
+    seeds = seeds.select(*own).filter(F.col("id").isNotNull()).distinct()
+    held = links.limit(small + 1).toArrow()
+    found = _in_tasks(held, seeds, max_depth, keys, tables) if held.num_rows <= small else _by_levels(links, seeds, max_depth, cap, keys, tables)
+    return found if cap is None else found.orderBy("depth", *own).limit(cap)
+
+
+def _in_tasks(held: pa.Table, seeds: DataFrame, max_depth: int | None, keys: tuple[str, ...], tables: Tables) -> DataFrame:
+    graph = Adjacency(held.column("src").to_pandas(), held.column("dst").to_pandas())
+    schema = StructType([*seeds.schema.fields, StructField("depth", IntegerType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, held, size = np.zeros(len(graph.names), bool), [], 0
+        rows = (r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(b.num_columns)), strict=True))
+        for key, group in groupby(rows, key=lambda r: r[:-1]):
+            for depth, level in enumerate(graph.levels(graph.codes([r[-1] for r in group]), max_depth, seen), 1):
+                held.append((key, graph.names[level], depth))
+                size += len(level)
+                if size >= 50_000:
+                    yield batch(held)
+                    held, size = [], 0
+        yield batch(held)
+
+    def batch(held: list[tuple]) -> pa.RecordBatch:
+        columns = [[v for key, ids, _ in held for v in [key[k]] * len(ids)] for k in range(len(keys))]
+        columns += [[i for _, ids, _ in held for i in ids.tolist()], [d for _, ids, d in held for _ in range(len(ids))]]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    seeds = tables.put(seeds, "seeds")
+    if keys:
+        dealt = seeds.repartition(*keys).sortWithinPartitions(*keys)
+    else:
+        # one search: of its seeds only the nodes of the graph travel, and these are bounded
+        inside = lambda batches: (b.filter(pa.array(graph.names.get_indexer(pd.Index(b.column(0).to_pylist(), dtype=graph.names.dtype)) >= 0, pa.bool_())) for b in batches if b.num_rows and len(graph.names))
+        dealt = seeds.mapInArrow(inside, seeds.schema).repartition(1)
+    return tables.put(seeds.withColumn("depth", F.lit(0)).unionByName(dealt.mapInArrow(run, schema)), "found")
+
+
+def _by_levels(links: DataFrame, seeds: DataFrame, max_depth: int | None, cap: int | None, keys: tuple[str, ...], tables: Tables) -> DataFrame:
+    """Each level is one job that adds a folder to one table of what was visited, so that no plan grows with the depth."""
     own = [*keys, "id"]
-    links = tables.put(edges.select("src", "dst").filter("src is not null and dst is not null").distinct(), "links")
-    level = tables.put(seeds.select(*own).filter(F.col("id").isNotNull()).distinct().withColumn("depth", F.lit(0)), "level-0")
-    levels, total, depth = [level], level.count(), 0
-    while max_depth is None or depth < max_depth:
+    links = tables.put(links.distinct(), "links")
+    schema = StructType([*seeds.schema.fields, StructField("depth", IntegerType())])
+
+    def put(level: DataFrame, depth: int) -> tuple[DataFrame, int]:
+        rows = Observation()
+        level.observe(rows, F.count(F.lit(1)).alias("n")).write.parquet(tables.path(f"visited/depth={depth}"))
+        return tables.spark.read.schema(seeds.schema).parquet(tables.path(f"visited/depth={depth}")), rows.get["n"]
+
+    visited = lambda: tables.spark.read.schema(schema).parquet(tables.path("visited"))
+    level, n = put(seeds, 0)
+    total, depth = n, 0
+    while n and (max_depth is None or depth < max_depth) and (cap is None or total < cap):
         depth += 1
-        visited = reduce(DataFrame.unionAll, levels).select(*own)
         ahead = level.join(links, level["id"] == links["src"]).select(*keys, F.col("dst").alias("id")).distinct()
-        level = ahead.join(visited, own, "left_anti").withColumn("depth", F.lit(depth))
-        if cap is not None:
-            level = level.orderBy(*own).limit(max(0, cap - total))
-        level = tables.put(level, f"level-{depth}")
-        if not (n := level.count()):
-            break
-        levels.append(level)
+        level, n = put(ahead.join(visited().select(*own), own, "left_anti"), depth)
         total += n
-        if len(levels) > MERGED:
-            levels = [tables.put(reduce(DataFrame.unionAll, levels), f"levels-{depth}")]
-    return reduce(DataFrame.unionAll, levels)
+    return visited()
 
 
 def reverse(edges: DataFrame) -> DataFrame:

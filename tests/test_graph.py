@@ -30,12 +30,33 @@ def seeds_of(spark, *ids):
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.tuples(st.integers(0, 8), st.integers(0, 8)), max_size=20), st.sampled_from([None, 1, 3]))
-def test_bfs_against_plain(spark, rows, max_depth):
-    found = graph.bfs(edges_of(spark, rows), seeds_of(spark, 0, 3), max_depth)
+@given(st.lists(st.tuples(st.integers(0, 8), st.integers(0, 8)), max_size=20), st.sampled_from([None, 1, 3]), st.sampled_from([0, 100]))
+def test_bfs_against_plain(spark, rows, max_depth, small):
+    found = graph.bfs(edges_of(spark, rows), seeds_of(spark, 0, 3), max_depth, small=small)
     assert {r["id"]: r["depth"] for r in found.collect()} == plain_bfs(rows, [0, 3], max_depth)
 
 
+def test_keyed_searches_are_apart_and_equal_in_both_ways(spark):
+    rows = [(i, (i * 7 + 3) % 50) for i in range(50)] + [(i, (i * 11 + 1) % 50) for i in range(0, 50, 3)]
+    seeds = spark.createDataFrame([("a", 0), ("b", 5), ("b", 99), ("c", 99)], "k string, id long")
+    expected = {(k, i, d) for k, s in (("a", [0]), ("b", [5, 99]), ("c", [99])) for i, d in plain_bfs(rows, s, None).items()}
+    for small in (0, 1000):
+        found = graph.bfs(edges_of(spark, rows), seeds, None, keys=("k",), small=small)
+        assert {(r["k"], r["id"], r["depth"]) for r in found.collect()} == expected
+        assert found.count() == len(expected)
+
+
+def test_text_ids(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
+    for small in (0, 10):
+        assert {r["id"]: r["depth"] for r in graph.bfs(edges, spark.createDataFrame([("a",), ("z",)], "id string"), None, small=small).collect()} == {"a": 0, "b": 1, "c": 2, "z": 0}
+
+
+def test_the_plan_does_not_grow_with_the_depth(spark):
+    size = lambda n: len(graph.bfs(edges_of(spark, [(i, i + 1) for i in range(n)]), seeds_of(spark, 0), None, small=0)._jdf.queryExecution().optimizedPlan().toString())
+    assert size(12) <= size(3) + 50
+
+
 def test_cap_keeps_the_first_by_depth_and_id(spark):
     found = graph.bfs(edges_of(spark, [(0, 5), (0, 4), (0, 3), (3, 9)]), seeds_of(spark, 0), None, cap=3)
     assert sorted(r["id"] for r in found.collect()) == [0, 3, 4]
