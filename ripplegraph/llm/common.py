@@ -2,60 +2,58 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+import ctypes
+import sys
+import types
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: list[str] = []
+from ..scratch import Tables, hadoop_fs, shared_folder
 
+__all__ = ["Scratch", "WordHashes", "bound_batches", "hadoop_fs", "held", "mix", "released", "shared_folder", "windows", "words_of"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests), a temporary folder of this process."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="ripplegraph-"))
-        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
-    return f"file://{_LOCAL[0]}"
 
+class Scratch(Tables):
+    """Intermediate tables of one operator run."""
 
-class Scratch:
-    """Intermediate tables of one operator run, written as Parquet in the shared folder.
+    def write(self, df: DataFrame, table: str) -> DataFrame:
+        return self.put(df, table)
 
-    A written table cuts the lineage and outlives lost executors.  ``drop`` removes a table that no later plan reads.
-    """
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+_HELD = "_ripplegraph_held"
 
-    def path(self, table: str) -> str:
-        return f"{self.root}/{table}"
 
-    def write(self, df: DataFrame, table: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(table))
-        return self.read(table, df.schema)
+def held(owner: str, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept by the worker process for further tasks of one owner; another owner's is let go."""
+    box = sys.modules.setdefault(_HELD, types.ModuleType(_HELD)).__dict__
+    if box.get("owner") != owner:
+        box.pop("value", None)
+        box.update(owner=owner, value=make())
+    return box["value"]
 
-    def read(self, table: str, schema=None) -> DataFrame:
-        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
-        return reader.parquet(self.path(table))
 
-    def drop(self, *tables: str) -> None:
-        for table in tables:
-            fs, path = hadoop_fs(self.spark, self.path(table))
-            fs.delete(path, True)
+def released(run: Callable[[Iterator], Iterator], owner: str | None = None) -> Callable[[Iterator], Iterator]:
+    """The same function over batches, with a bound on what a worker that Spark keeps for later tasks holds.
 
+    What another owner has in ``held`` goes first; memory that the task has let go returns to the system at its end.
+    """
 
-def hadoop_fs(spark: SparkSession, uri: str):
-    """The Hadoop file system of a URI and the URI as its path."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(uri)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+    def task(batches: Iterator) -> Iterator:
+        if _HELD in sys.modules and sys.modules[_HELD].__dict__.get("owner") != owner:
+            del sys.modules[_HELD]
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass  # another C library
+
+    return task
 
 
 def bound_batches(spark: SparkSession, rows: int = 256, size: int = 2 << 20) -> None:

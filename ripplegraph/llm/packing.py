@@ -13,15 +13,13 @@ from __future__ import annotations
 
 import array
 import re
-import sys
-import types
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, held, released
 
 _OUT = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
@@ -30,32 +28,29 @@ class PieceCache(dict):
     """Chunk between white space -> its ids as little-endian uint32 bytes.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its chunks; nor does it
-    join Latin letters, whose case it drops, and ASCII punctuation behind them.  Beyond ``limit`` chunks are encoded
-    each time, so that memory stays bounded.
+    join Latin letters, whose case it drops, and ASCII punctuation behind them.  One letter is left out, the capital I
+    with a dot: in lower case its dot is a mark of its own, which the tokenizer does join to what follows.  Chunks with
+    capitals or punctuation are put together each time, and beyond ``limit`` others are encoded each time, so that memory
+    stays bounded (about 45 MB); a worker lets its cache go when another operator's task begins.
     """
 
-    _PARTS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\\[-`{-~]*)")
+    _PARTS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-/:-@\\[-`{-~]*)")
 
     @classmethod
-    def of_worker(cls, tokenizer_path: str) -> PieceCache:
-        """One cache for each worker process, which outlives a task."""
-        held = sys.modules.setdefault("_ripplegraph_packing", types.ModuleType("_ripplegraph_packing")).__dict__
-        if tokenizer_path not in held:
-            from tokenizers import Tokenizer
+    def of_file(cls, tokenizer_path: str) -> PieceCache:
+        from tokenizers import Tokenizer
 
-            held[tokenizer_path] = cls(Tokenizer.from_file(tokenizer_path).encode)
-        return held[tokenizer_path]
+        return cls(Tokenizer.from_file(tokenizer_path).encode)
 
-    def __init__(self, encode, limit: int = 800_000):
+    def __init__(self, encode, limit: int = 250_000):
         super().__init__()
         self.encode, self.limit = encode, limit
 
     def __missing__(self, chunk: str) -> bytes:
         parts = self._PARTS.fullmatch(chunk)
         if parts and (parts[2] or chunk.lower() != chunk):
-            value = self[parts[1].lower()] + (self[parts[2]] if parts[2] else b"")
-        else:
-            value = array.array("I", self.encode(chunk, add_special_tokens=False).ids).tobytes()
+            return self[parts[1].lower()] + (self[parts[2]] if parts[2] else b"")
+        value = array.array("I", self.encode(chunk, add_special_tokens=False).ids).tobytes()
         if len(self) < self.limit and len(chunk) < 100:
             self[chunk] = value
         return value
@@ -74,7 +69,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_len: int = 2048, end_id: int
     bound_batches(docs.sparkSession)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = PieceCache.of_worker(tokenizer_path).__getitem__
+        ids_of = held(f"packing {tokenizer_path}", lambda: PieceCache.of_file(tokenizer_path)).__getitem__
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             doc, start, length, ids, tokens = [], [], [], [], []
@@ -88,7 +83,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_len: int = 2048, end_id: int
                     at += size
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), pa.array(tokens, pa.int64())], names=["doc_id", "start", "length", "ids", "doc_tokens"])
 
-    pieces = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(split, _OUT)
+    pieces = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(split, f"packing {tokenizer_path}"), _OUT)
     return pieces.withColumns({
         "bucket": F.log2(F.col("length").cast("double")).cast("int"),
         "sequence_id": F.monotonically_increasing_id(),

@@ -33,3 +33,15 @@ def test_pieces_give_back_every_document(make, odd_rows):
 
 def test_empty(make):
     assert packing.pack(make([(1, "a")]).limit(0), PATH).count() == 0
+
+
+def test_every_letter_before_punctuation(make):
+    """A cached chunk of letters and punctuation has the ids of the whole text, for each letter that chunks are cut at."""
+    t = TOKENIZERS.Tokenizer.from_file(PATH)
+    letters = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()]
+    texts = [f"Bah{c}, {c}. x{c.upper()}y{c}! {c}{c}; {c}-{c} a{c}' z" for c in letters]
+    cache = packing.PieceCache.of_file(PATH)
+    for text in texts:
+        own = b"".join(map(cache.__getitem__, text.split(" ")))
+        assert np.frombuffer(own, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+    assert not packing.PieceCache._PARTS.fullmatch("İ,")
