@@ -10,7 +10,7 @@ from .conftest import prose
 
 def plain_tiles(text, item, least):
     """Greedy tiling, straight from its definition."""
-    used_t, used_i, covered = set(), set(), 0
+    used_t, used_i, tiles = set(), set(), []
     while True:
         best = None
         for j in range(len(item)):
@@ -21,11 +21,11 @@ def plain_tiles(text, item, least):
                 if n >= least and (best is None or n > best[0]):
                     best = (n, i, j)
         if best is None:
-            return covered
+            return tiles
         n, i, j = best
+        tiles.append((i, j, n))
         used_t.update(range(i, i + n))
         used_i.update(range(j, j + n))
-        covered += n
 
 
 @settings(max_examples=200, deadline=None)
@@ -37,8 +37,53 @@ def test_tiles_against_plain(text, item, least):
         assert n >= least and (t[a : a + n] == i[b : b + n]).all()
     assert len({x for a, _, n in tiles for x in range(a, a + n)}) == len({x for _, b, n in tiles for x in range(b, b + n)}) == sum(n for _, _, n in tiles)
     assert not D._matches(t, i, ~np.isin(np.arange(len(t)), [x for a, _, n in tiles for x in range(a, a + n)]), ~np.isin(np.arange(len(i)), [x for _, b, n in tiles for x in range(b, b + n)]), least)
-    # of equal matches either may be first, so that only a first tile's length is fixed
-    assert (max((n for *_, n in tiles), default=0) == 0) == (plain_tiles(text, item, least) == 0)
+    # of equal matches the first by place in the item, then in the text, counts on either side
+    assert tiles == plain_tiles(text, item, least)
+
+
+def test_rolling_hashes_are_those_of_the_windows():
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 2**64, 300, dtype=np.uint64)
+    for n in (1, 5, 299, 300, 301):
+        want = [sum(int(w) * D._BASE**k for k, w in enumerate(words[i : i + n])) % 2**64 for i in range(max(0, len(words) - n + 1))]
+        assert D.rolling(words, n).tolist() == want
+
+
+def test_matches_are_whole_against_plain_tiling(make, spark):
+    """Every reported pair with its tiles and coverage, over documents with shuffled, doubled and cut items."""
+    import random
+
+    r = random.Random(5)
+    bench_rows = [(k, prose(300 + k, n)) for k, n in enumerate((3, 5, 12, 25, 40))]
+    rows = []
+    for d in range(40):
+        words = prose(500 + d, 30).split()
+        for _ in range(r.randrange(3)):
+            own = r.choice(bench_rows)[1].split()
+            cut = r.randrange(len(own))
+            words[10:10] = r.choice([own, own[cut:] + own[:cut], own[cut:], own + own, own[:cut] + ["new"] + own[cut:]])
+        rows.append((d, " ".join(words)))
+    want = set()
+    for d, t in rows:
+        for k, item in bench_rows:
+            a, b = t.lower().split(), item.lower().split()
+            tiles = plain_tiles(a, b, min(5, len(b)))
+            if (covered := sum(n for *_, n in tiles)) >= 0.75 * len(b):
+                want.add((d, k, covered, len(b)))
+    for block_words in (2_000_000, 20):
+        got = D.matches(make(rows), items(spark, bench_rows), block_words=block_words).collect()
+        assert {(x["doc_id"], x["item_id"], x["covered"], x["item_words"]) for x in got} == want and len(got) == len(want)
+    assert len(want) > 15
+
+
+def test_a_very_long_item_needs_memory_in_proportion(make, spark):
+    import tracemalloc
+
+    words = np.random.default_rng(4).integers(0, 2**63, 60_000).astype(np.uint64)
+    tracemalloc.start()
+    assert D.tile(words, words, 5) == [(0, 0, 60_000)]
+    assert tracemalloc.get_traced_memory()[1] < 40e6
+    tracemalloc.stop()
 
 
 def items(spark, rows):
