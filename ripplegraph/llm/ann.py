@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound_batches
+from .common import Scratch, bound_batches, released
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -210,8 +210,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
         return run
 
     schema = "x long, y long, ids array<long>, part long, v binary, floor double"
-    homes = points.select("x", "y", "v", "ids").mapInArrow(route(1, False), schema)
-    visits = queries.select("x", "y", "v", F.array().cast("array<long>").alias("ids")).mapInArrow(route(index.visits, True), schema)
+    homes = points.select("x", "y", "v", "ids").mapInArrow(released(route(1, False)), schema)
+    visits = queries.select("x", "y", "v", F.array().cast("array<long>").alias("ids")).mapInArrow(released(route(index.visits, True)), schema)
 
     def blocks(rows: DataFrame, name: str, size: int) -> DataFrame:
         """part and lists of about ``size`` of its rows."""
@@ -249,7 +249,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
                 scores, ids = q @ c.T, [m["ids"] for m in members]
                 yield batch([r for i, a in enumerate(asked) for r in nearest((a["x"], a["y"]), q[i], near(scores[i], a["floor"]), c, ids)])
 
-    scored = pairs.select("query", "member").mapInArrow(rank, "x long, y long, id long, score double")
+    scored = pairs.select("query", "member").mapInArrow(released(rank), "x long, y long, id long, score double")
     order = Window.partitionBy("x", "y").orderBy(F.desc("score"), "id")
     best = scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1)
     best = scratch.write(best.groupBy("x", "y").agg(F.array_sort(F.collect_list(F.struct("place", "id", "score"))).alias("found")), "best")

@@ -11,7 +11,9 @@ leading values in some order (a region).
    it change nothing.
 
 Sharing no region at a similarity of s has the probability (1 - s**DEPTH)**TREES: 2e-6 at 0.75.  A candidate whose
-signature agrees in under AGREE of its VALUES values (4 standard deviations below what 0.75 gives) is not confirmed.
+signature agrees in under AGREE of its VALUES values (6.5 standard deviations below what 0.75 gives, which a link has
+with a probability of 5e-10) is not confirmed.  Blocks are bounded in classes and in shingles, so a task's memory does not
+grow with the region.
 
 Defined results: null and empty texts, and texts of white space, have no shingles and stand alone; rows without an id
 are compared like others but have no component of their own name; rows that repeat an id and its text are one document
@@ -29,16 +31,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, bound_batches, windows, words_of
+from .common import Scratch, WordHashes, bound_batches, released, windows, words_of
 from .components import components
 
 WORDS, TREES, DEPTH = 5, 24, 3
 VALUES = TREES * DEPTH
-AGREE = 39
+AGREE = 30
 #: Candidates of each class that step 1 confirms; step 2 covers the rest.
 BEST = 3
-#: Classes of a region that one task compares with as many others.
-BLOCK = 2048
+#: Classes of a region, and shingles that they have together, which one task compares with as many others.
+BLOCK, BLOCK_SHINGLES = 768, 600_000
 _RNG = np.random.default_rng(6)
 _A = _RNG.integers(1, 2**32, VALUES, dtype=np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 2**32, VALUES, dtype=np.uint32)
@@ -72,7 +74,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(len, sets), pa.int64()), pa.array(node, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "text_key", "n", "node", "sig"])
 
     own = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
-    return own.mapInArrow(run, "doc_id long, text_key long, n long, node binary, sig binary")
+    return own.mapInArrow(released(run), "doc_id long, text_key long, n long, node binary, sig binary")
 
 
 def _fixed(column: pa.Array, width: int, dtype) -> np.ndarray:
@@ -120,7 +122,7 @@ def _neighbours(classes: DataFrame, shared: DataFrame, reach: int = 2) -> DataFr
     rows = shared.join(classes.select("node", "sig"), "node").withColumns({"tree": _tree(), "twice": F.concat("sig", "sig")})
     rows = rows.select("tree", F.expr(f"substring(twice, tree * {2 * DEPTH} + 1, 16)").alias("key"), "node")
     rows = rows.repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-    return rows.mapInArrow(run, "a binary, b binary").distinct()
+    return rows.mapInArrow(released(run), "a binary, b binary").distinct()
 
 
 def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -134,7 +136,7 @@ def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(agree)], names=["a", "b", "agree"])
             yield out.filter(pa.array(agree >= AGREE))
 
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary, agree int")
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(released(run), "a binary, b binary, agree int")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[list[dict]]:
@@ -195,7 +197,7 @@ def _participants(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in zip((*_GROUP, "node"), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=[*_GROUP, "node"])
 
     dealt = rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "node")
-    return dealt.select(*_GROUP, "tree", "block", "node", "label", "n", "sig").mapInArrow(run, "region long, left int, right int, node binary")
+    return dealt.select(*_GROUP, "tree", "block", "node", "label", "n", "sig").mapInArrow(released(run), "region long, left int, right int, node binary")
 
 
 def _links_across(rows: DataFrame) -> DataFrame:
@@ -205,33 +207,40 @@ def _links_across(rows: DataFrame) -> DataFrame:
         hashes = WordHashes()
         for held in _groups(batches, _GROUP):
             block, out = _Block(held), []
-            sets = [shingle_set(r.pop("text"), hashes) for r in held]
-            codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
-            ends = np.cumsum([0, *map(len, sets)])
-            mark, label = np.zeros(codes.max() + 1, bool), block.label.copy()
+            ends = np.cumsum([0, *(r["n"] for r in held)])
+            codes = np.empty(ends[-1], np.uint64)
+            for k, r in enumerate(held):
+                codes[ends[k] : ends[k + 1]] = shingle_set(r.pop("text"), hashes)
+            names = np.unique(codes)
+            codes = np.searchsorted(names, codes).astype(np.int32)
+            mark, label = np.zeros(len(names), bool), block.label.copy()
+            del names
             for i, j in block.partners(label):
                 mark[codes[ends[i] : ends[i + 1]]] = True
                 for k in j:
-                    both = int(np.count_nonzero(mark[codes[ends[k] : ends[k + 1]]]))
                     # a link inside what other links have joined meanwhile changes nothing
-                    if label[k] != label[i] and 100 * both >= 75 * (len(sets[i]) + len(sets[k]) - both):
+                    if label[k] == label[i]:
+                        continue
+                    both = int(np.count_nonzero(mark[codes[ends[k] : ends[k + 1]]]))
+                    if 100 * both >= 75 * (block.n[i] + block.n[k] - both):
                         out.append((held[i]["node"], held[k]["node"]))
                         label[label == label[k]] = label[i]
                 mark[codes[ends[i] : ends[i + 1]]] = False
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
     dealt = rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "node")
-    return dealt.select(*_GROUP, "tree", "block", "node", "label", "n", "sig", "text").mapInArrow(run, "a binary, b binary").distinct()
+    return dealt.select(*_GROUP, "tree", "block", "node", "label", "n", "sig", "text").mapInArrow(released(run), "a binary, b binary").distinct()
 
 
 def _mixed_regions(classes: DataFrame, shared: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
     """Members of regions that hold several components, dealt to pairs of blocks of about BLOCK classes."""
     labelled = classes.join(roots, "node", "left").select("node", "sig", "n", F.xxhash64(F.coalesce("root", "node")).alias("label"))
     labelled = scratch.write(labelled, "labelled")
-    members = scratch.write(shared.join(labelled.select("node", "label"), "node"), "labels")
-    mixed = members.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).filter("low != high")
-    mixed = scratch.write(mixed.select("region", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed")
-    rows = members.join(mixed, "region").join(labelled.select("node", "sig", "n"), "node")
+    members = scratch.write(shared.join(labelled.select("node", "label", "n"), "node"), "labels")
+    mixed = members.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.sum("n").alias("shingles")).filter("low != high")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    mixed = scratch.write(mixed.select("region", blocks.alias("blocks")), "mixed")
+    rows = members.join(mixed, "region").join(labelled.select("node", "sig"), "node")
     rows = rows.withColumns({"block": F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), "tree": _tree()})
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.withColumn("other", other).withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
@@ -273,7 +282,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 ok.append(100 * both >= 75 * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(released(run), "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, released
 
 FEATURES = (
     "log_chars", "log_words", "bytes_per_word", "upper", "digit", "ascii_punct", "symbol", "non_ascii", "space", "bang", "bar", "line_bytes",
@@ -153,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, keep, max_rows: int = 20_000, labe
             x = matrix(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    rows = sample.select("doc_id", "text", F.col("y").cast("double")).mapInArrow(features, "doc_id long, y double, x array<double>").orderBy("doc_id").limit(2 * max_rows).toPandas()
+    rows = sample.select("doc_id", "text", F.col("y").cast("double")).mapInArrow(released(features), "doc_id long, y double, x array<double>").orderBy("doc_id").limit(2 * max_rows).toPandas()
     x = np.stack(rows["x"].to_list()) if len(rows) else np.zeros((0, len(FEATURES)))
     return fit(x, (rows["y"].to_numpy() > 0).astype(float) if len(rows) else np.zeros(0))
 
@@ -167,7 +167,7 @@ def score(docs: DataFrame, model: Trees) -> DataFrame:
             values = model.score(matrix(b.column(1).to_pylist())) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), "doc_id long, score double")
 
 
 def held_out(doc_id):
@@ -185,4 +185,4 @@ def keep(docs: DataFrame, model: Trees, least: float = 0.5) -> DataFrame:
             if b.num_rows:
                 yield b.filter(pa.array(model.score(matrix(b.column(at).to_pylist())) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, bound_batches, mix, windows, words_of
+from .common import Scratch, WordHashes, bound_batches, mix, released, windows, words_of
 
 #: Words of a minimiser.
 K = 8
@@ -74,7 +74,7 @@ def _sketch(docs: DataFrame, min_words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "text_key", "digest", "n_words", "at", "hash"])
 
     own = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
-    return own.mapInArrow(run, "doc_id long, text_key long, digest binary, n_words int, at array<int>, hash array<long>")
+    return own.mapInArrow(released(run), "doc_id long, text_key long, digest binary, n_words int, at array<int>, hash array<long>")
 
 
 def _contexts(texts: DataFrame, min_words: int) -> DataFrame:
@@ -102,7 +102,7 @@ def _contexts(texts: DataFrame, min_words: int) -> DataFrame:
         types = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], names=["h", "ahead", "behind", "node", "pos"])
 
-    return texts.select("node", "text", "places").mapInArrow(run, "h long, ahead binary, behind binary, node binary, pos int")
+    return texts.select("node", "text", "places").mapInArrow(released(run), "h long, ahead binary, behind binary, node binary, pos int")
 
 
 def _chained(sides: list[bytes], reach: int, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,7 +169,7 @@ def _spans_in_groups(rows: DataFrame, min_words: int, chunk: int = 8192) -> Data
         yield out(held)
 
     dealt = rows.repartition("h").sortWithinPartitions("h")
-    return dealt.select("h", "ahead", "behind", "node", "pos").mapInArrow(run, "node binary, start int, stop int")
+    return dealt.select("h", "ahead", "behind", "node", "pos").mapInArrow(released(run), "node binary, start int, stop int")
 
 
 def _spans_by_key(rows: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
@@ -183,7 +183,7 @@ def _spans_by_key(rows: DataFrame, min_words: int, scratch: Scratch) -> DataFram
                 at, o = np.nonzero(there)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[at, o].view(np.int64)), pa.array([held[k][3] for k in at], pa.binary()), pa.array(np.array([r[4] for r in held], np.int32)[at]), pa.array(o.astype(np.int32))], names=["key", "node", "pos", "o"])
 
-    each = scratch.write(rows.select("h", "ahead", "behind", "node", "pos").mapInArrow(run, "key long, node binary, pos int, o int"), "extensions")
+    each = scratch.write(rows.select("h", "ahead", "behind", "node", "pos").mapInArrow(released(run), "key long, node binary, pos int, o int"), "extensions")
     shared = each.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low != high").select("key")
     shared = scratch.write(shared, "shared-keys")
     found = each.join(shared, "key", "left_semi").groupBy("node", "pos").agg(F.min("o").alias("least"), F.max("o").alias("most"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound_batches, hadoop_fs
+from .common import Scratch, bound_batches, hadoop_fs, released
 
 #: A gzip member with nothing in it. It ends a row's bytes where these would not end in a zero byte of their own.
 _EMPTY_MEMBER = bytes.fromhex("1f8b080000000000000303000000000000000000")
@@ -82,7 +82,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], schema=_FIELDS)
 
     # The text writer puts the separator, a zero byte, after each row: the last byte of the member, which was cut off.
-    rows.mapInArrow(encode, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
+    rows.mapInArrow(released(encode), "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
 
 
 @dataclass(frozen=True)
@@ -195,4 +195,4 @@ def read_archives(spark: SparkSession, path: str, split_bytes: int = 8 << 20) ->
 
     # one range to a task
     dealt = table.repartitionByRange(max(1, len(ranges)), "k")
-    return dealt.mapInArrow(scan, "record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary, digest_ok boolean, file string, offset long")
+    return dealt.mapInArrow(released(scan), "record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary, digest_ok boolean, file string, offset long")
