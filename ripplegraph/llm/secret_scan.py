@@ -13,7 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, hadoop_fs
@@ -43,26 +43,19 @@ BASE_RULES = (
 )
 
 _SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
+_GAPS = "array<struct<start:int,end:int>>"
 
 
-def _spans(text: Column, rule: Rule, rank: int) -> Column:
-    """The spans of one rule: the gaps between matches (split) and the matches themselves give all offsets."""
+def _lengths(text: Column, rule: Rule) -> Column:
+    """For each match of one rule the lengths of the gap before it, of the match and of its value; null without matches."""
     pattern = F.lit(rule.pattern)
     parts = F.arrays_zip(
         F.split(text, rule.pattern, -1).alias("gap"),
         F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"),
         F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("value"),
     )
-
-    def step(state: Column, part: Column) -> Column:
-        start = state["at"] + F.length(part["gap"])
-        end = (start + F.length(part["hit"])).cast("int")
-        span = F.struct(start.cast("int").alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        found = F.when(F.length(part["value"]) >= rule.least, F.array(span)).otherwise(F.array().cast(_SPANS))
-        return F.when(part["hit"].isNull(), state).otherwise(F.struct(end.alias("at"), F.concat(state["spans"], found).alias("spans")))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
-    return F.when(text.rlike(rule.pattern), F.aggregate(parts, start, step, lambda s: s["spans"])).otherwise(F.array().cast(_SPANS))
+    lengths = F.transform(parts, lambda p: F.struct(F.length(p["gap"]).alias("gap"), F.length(p["hit"]).alias("hit"), F.length(p["value"]).alias("value")))
+    return F.when(text.rlike(rule.pattern), lengths)
 
 
 class BlobLedger:
@@ -97,24 +90,46 @@ class BlobLedger:
             todo = blobs.join(seen, "blob", "left").withColumn("unseen", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>"))))
             todo = todo.filter(F.size("unseen") > 0)
         scans = [
-            F.when(F.array_contains("unseen", r.key), F.struct(F.lit(r.key).alias("rule"), _spans(F.col("text"), r, k).alias("spans")))
+            F.when(F.array_contains("unseen", r.key), F.struct(F.lit(r.key).alias("rule"), F.lit(k).alias("rank"), F.lit(r.kind).alias("kind"), F.lit(r.least).alias("least"), _lengths(F.col("text"), r).alias("lengths")))
             for k, r in enumerate(self.rules)
         ]
-        scanned = todo.select("blob", F.explode(F.array_compact(F.array(*scans))).alias("pair")).select("blob", "pair.*")
-        scanned.write.mode("append").parquet(self.path)
+        pairs = todo.select("blob", F.explode(F.array_compact(F.array(*scans))).alias("pair")).select("blob", "pair.*")
+        # a row for each match; running sums of the lengths give the offsets, in time in proportion to the matches
+        each = pairs.select("blob", "rule", "rank", "kind", "least", F.posexplode_outer("lengths").alias("place", "n"))
+        order = Window.partitionBy("blob", "rule").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+        end = F.sum(F.col("n.gap") + F.col("n.hit")).over(order).cast("int")
+        each = each.withColumn("end", end)
+        span = F.struct((F.col("end") - F.col("n.hit")).alias("start"), "rank", "end", "kind")
+        spans = F.sort_array(F.collect_list(F.when(F.col("n.value") >= F.col("least"), span)))
+        each.groupBy("blob", "rule").agg(spans.cast(_SPANS).alias("spans")).write.mode("append").parquet(self.path)
 
     def findings(self) -> DataFrame:
-        """Blobs with spans under this ledger's rules: blob, spans sorted by start, then rule."""
-        spans = self.rows().filter(F.col("rule").isin([r.key for r in self.rules]) & (F.size("spans") > 0))
-        return spans.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+        """Blobs with spans under this ledger's rules: blob, spans sorted by start, then rule; and the gaps between them.
+
+        A pair that scans at one time have added twice counts once.
+        """
+        pairs = self.rows().filter(F.col("rule").isin([r.key for r in self.rules]) & (F.size("spans") > 0))
+        each = pairs.groupBy("blob", "rule").agg(F.first("spans").alias("spans")).select("blob", F.inline("spans"))
+        order = Window.partitionBy("blob").orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, -1)
+        each = each.withColumn("before", F.coalesce(F.max("end").over(order), F.lit(0)))
+        gap = F.when(F.col("start") >= F.col("before"), F.struct(F.col("before").alias("start"), F.col("start").alias("end")))
+        found = each.groupBy("blob").agg(
+            F.sort_array(F.collect_list(F.struct("start", "rank", "end", "kind"))).cast(_SPANS).alias("spans"),
+            F.sort_array(F.collect_list(gap)).cast(_GAPS).alias("gaps"), F.max("end").alias("last"),
+        )
+        rest = F.array(F.struct(F.col("last").alias("start"), F.lit(2**29 - 1).alias("end")))
+        return found.select("blob", "spans", F.concat("gaps", rest).cast(_GAPS).alias("gaps"))
 
     def join_back(self, versions: DataFrame, text_col: str = "text") -> DataFrame:
-        """The versions' own columns and ``secret_spans`` (never null)."""
-        keyed = versions.withColumn("_blob", _address(F.coalesce(F.col(text_col), F.lit(""))))
-        found = self.findings().select(F.col("blob").alias("_blob"), F.col("spans").alias("secret_spans"))
-        found = Scratch(self.spark, "findings").write(found, "spans")
-        joined = keyed.join(found, "_blob", "left").drop("_blob")
-        return joined.withColumn("secret_spans", F.coalesce("secret_spans", F.array().cast(_SPANS)))
+        """The versions' own columns, ``secret_spans`` (never null) and ``secret_gaps`` (the text around them; null without spans).
+
+        Columns of the versions that have these two names give way.
+        """
+        keyed = versions.select(F.struct(*[versions[c] for c in versions.columns]).alias("row"), _address(F.coalesce(versions[text_col], F.lit(""))).alias("blob"))
+        found = Scratch(self.spark, "findings").write(self.findings(), "spans")
+        joined = keyed.join(found, "blob", "left")
+        own = [F.col("row")[c].alias(c) for c in versions.columns if c not in ("secret_spans", "secret_gaps")]
+        return joined.select(*own, F.coalesce("spans", F.array().cast(_SPANS)).alias("secret_spans"), F.col("gaps").alias("secret_gaps"))
 
 
 def _address(text: Column) -> Column:
@@ -128,18 +143,14 @@ def scan_versions(versions: DataFrame, text_col: str = "text", path: str | None
     return ledger.join_back(versions, text_col)
 
 
-def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """The text with each union of overlapping spans replaced by ``mark``; spans sorted by start."""
-
-    def step(state: Column, span: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, span["start"] - state["at"])
-        fresh = F.struct(span["end"].alias("at"), F.concat(state["out"], gap, F.lit(mark)).alias("out"))
-        more = F.struct(F.greatest(state["at"], span["end"]).alias("at"), state["out"].alias("out"))
-        return F.when((span["start"] < state["at"]) & (state["at"] > 0), more).otherwise(fresh)
+def redact(text: Column, gaps: Column, mark: str = "[secret]") -> Column:
+    """The text with each union of overlapping spans replaced by ``mark``; ``gaps`` as in ``join_back``.
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    Four bytes for each code point, so that a gap is cut out without a walk from the start of the text.
+    """
+    wide = F.encode(text, "UTF-32")
+    piece = lambda w: F.array_join(F.transform(gaps, lambda g: F.decode(F.substring(w, 4 * g["start"] + 1, 4 * (g["end"] - g["start"])), "UTF-32")), mark)
+    return F.when(gaps.isNull(), text).otherwise(F.element_at(F.transform(F.array(wide), piece), 1))
 
 
 def span_text(spans: Column) -> Column:
