@@ -35,7 +35,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     columns, own = docs.columns, F.col("doc")
     keyed = docs.select(F.struct(*[docs[c] for c in columns]).alias("doc"), F.col("text"))
     found = secret_scan.scan_versions(keyed)
-    clean = secret_scan.redact(own["text"], F.col("secret_spans"))
+    clean = secret_scan.redact(own["text"], F.col("secret_gaps"))
     changed = {"text": clean, "n_chars": F.when(F.size("secret_spans") > 0, F.length(clean)).otherwise(own["n_chars"]).cast(docs.schema["n_chars"].dataType)} if "n_chars" in columns else {"text": clean}
     return found.select(*[changed.get(c, own[c]).alias(c) for c in columns])
 
