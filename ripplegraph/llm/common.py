@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..scratch import Tables, hadoop_fs, shared_folder
 
-__all__ = ["Scratch", "WordHashes", "bound_batches", "hadoop_fs", "held", "mix", "released", "shared_folder", "windows", "words_of"]
+__all__ = ["Scratch", "WordHashes", "bound_batches", "hadoop_fs", "held", "mix", "released", "shared_folder", "shuffle_parts", "windows", "words_of"]
 
 
 class Scratch(Tables):
@@ -64,6 +64,11 @@ def bound_batches(spark: SparkSession, rows: int = 256, size: int = 2 << 20) ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def shuffle_parts(spark: SparkSession, size: int, each: int = 128 << 20) -> int:
+    """Partitions for a shuffle of about ``size`` bytes: those of the session, and more if they would exceed ``each``."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+
+
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

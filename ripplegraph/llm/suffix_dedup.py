@@ -2,10 +2,15 @@
 
 Each text keeps the suffixes at its minimisers: the K-word positions with the least hash in some stretch of
 ``min_words`` words, so that every run of ``min_words`` words keeps a suffix, and copies of a run keep it at the same
-place.  Suffixes whose first K words occur once only are let go.  Those with the same first K words are sorted by the
-words behind and before them, once for each way to extend K words to ``min_words`` to the right and left; neighbours
-that are equal belong to copies.  A suffix covers the union of its copies, a text's spans are the union of its suffixes.
-Texts of any length are covered whole, for each run of ``min_words`` words in a longer passage has a suffix of its own.
+place.  Suffixes whose first K words occur once only are let go.
+
+The others are dealt by their first K words and sorted by their words, ``min_words`` of them (by Spark, on the words
+themselves); each is compared with its neighbour, which gives the longest common prefixes.  What precedes them, read
+backwards, is sorted and compared in the same way, which extends matches to the left.  Suffixes that share n words ahead
+stand together in the one order, those that share o words behind in the other, so both orders' prefixes tell all suffixes
+that agree on ``min_words`` words, however many of them lie ahead.  A suffix covers the union of its matches, and a text's
+spans are the union of its suffixes: texts of any length are covered whole, for each run of ``min_words`` words in a
+longer passage has a suffix of its own.
 
 Equal texts are looked at once; if there are several, all their words are repeated.
 
@@ -24,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, bound_batches, mix, released, windows, words_of
+from .common import Scratch, WordHashes, bound_batches, released, shuffle_parts, windows, words_of
 
-#: Words of a minimiser.
-K = 8
+#: Words of a minimiser; bytes beyond which a digest stands for a word, so that suffixes are bounded in bytes.
+K, WORD_BYTES = 8, 40
 
 
 def minimisers(hashes: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,8 +82,20 @@ def _sketch(docs: DataFrame, min_words: int) -> DataFrame:
     return own.mapInArrow(released(run), "doc_id long, text_key long, digest binary, n_words int, at array<int>, hash array<long>")
 
 
-def _contexts(texts: DataFrame, min_words: int) -> DataFrame:
-    """h, ahead, behind (hashes of as many words as can matter, 4 bytes each; those behind from the nearest on), node, pos."""
+def _bounded(word: bytes) -> bytes:
+    """The word, or a digest of it if it is long or may be taken for one."""
+    if len(word) > WORD_BYTES or word < b"\x02" or 0 in word:
+        return b"\x01" + hashlib.blake2b(word, digest_size=16).hexdigest().encode()
+    return word
+
+
+def _joined(words: list[bytes]) -> bytes:
+    """The words, a space behind each: so many spaces in a common prefix are so many words."""
+    return b" ".join(words) + b" " if words else b""
+
+
+def _suffixes(texts: DataFrame, min_words: int) -> DataFrame:
+    """h (hash of the first K words), ahead (the suffix, min_words of it), behind (what precedes it, backwards), node, pos."""
     reach = min_words - K
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,16 +103,16 @@ def _contexts(texts: DataFrame, min_words: int) -> DataFrame:
         for b in batches:
             rows = []
             for node, text, places in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                words = hashes.array(words_of(text))
-                short = (mix(words) >> np.uint64(32)).astype("<u4")
-                turned = short[::-1]
-                own = windows(words, K).view(np.int64)
+                words = words_of(text)
+                own = windows(hashes.array(words), K).view(np.int64)
+                words = list(map(_bounded, words))
+                turned = words[::-1]
                 for at in places:
                     back = len(words) - at
-                    rows.append((int(own[at]), short[at + K : at + K + reach].tobytes(), turned[back : back + reach].tobytes(), node, at))
-                if len(rows) > 5_000:
-                    yield batch(rows)
-                    rows = []
+                    rows.append((int(own[at]), _joined(words[at : at + min_words]), _joined(turned[back : back + reach]), node, at))
+                    if len(rows) >= 2_000:
+                        yield batch(rows)
+                        rows = []
             yield batch(rows)
 
     def batch(rows: list) -> pa.RecordBatch:
@@ -105,44 +122,48 @@ def _contexts(texts: DataFrame, min_words: int) -> DataFrame:
     return texts.select("node", "text", "places").mapInArrow(released(run), "h long, ahead binary, behind binary, node binary, pos int")
 
 
-def _chained(sides: list[bytes], reach: int, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the first 0, 1, ... reach words of each side (a row each), chained from ``start``; and how many there are."""
-    held = np.array([len(s) // 4 for s in sides])
-    words = np.frombuffer(b"".join(s.ljust(4 * reach, b"\0") for s in sides), "<u4").reshape(len(sides), reach).astype(np.uint64)
-    out = np.empty((len(sides), reach + 1), np.uint64)
-    out[:, 0] = start
-    for k in range(reach):
-        out[:, k + 1] = mix(out[:, k] + words[:, k] + np.uint64(k + 1))
-    return out, held
+def common_prefixes(h: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """The words that each text of a sorted list shares with the one before it; -1 where h differs."""
+    out = np.full(len(texts), -1)
+    for at in range(1, len(texts), 1024):
+        part = texts[at - 1 : at + 1024]
+        width = max(map(len, part)) + 1
+        m = np.frombuffer(b"".join(t.ljust(width, b"\0") for t in part), np.uint8).reshape(len(part), width)
+        differ = m[1:] != m[:-1]
+        differ[:, -1] = True
+        words = np.cumsum(m[1:] == 32, axis=1, dtype=np.int32)
+        first = differ.argmax(axis=1)
+        out[at : at + len(part) - 1] = np.where(first > 0, words[np.arange(len(part) - 1), first - 1], 0)
+    out[1:][h[1:] != h[:-1]] = -1
+    return out
 
 
-def extensions(rows: list[tuple], min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for every row (h, ahead, behind, node, pos) and number o of words taken from behind, the rest from ahead.
+def copies(rows: list[tuple], min_words: int) -> Iterator[tuple]:
+    """(node, start, stop): what each row covers of runs that a row of another node has as well.
 
-    The second array says where both sides have so many words.
+    rows: (h, ahead, behind, node, pos), sorted by h and ahead, with all rows of each h.
     """
-    reach = min_words - K
-    h = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-    ahead, n_ahead = _chained([r[1] for r in rows], reach, mix(h))
-    behind, n_behind = _chained([r[2] for r in rows], reach, mix(h + np.uint64(1)))
-    o = np.arange(reach + 1)
-    return mix(ahead[:, ::-1] + mix(behind)), (o <= n_behind[:, None]) & (reach - o <= n_ahead[:, None])
-
-
-def copies(rows: list[tuple], min_words: int) -> Iterator[tuple]:
-    """(node, start, stop): what each row covers of runs that a row of another node has as well."""
-    keys, there = extensions(rows, min_words)
+    if len(rows) < 2:
+        return
+    h = np.array([r[0] for r in rows], np.int64)
+    ahead = common_prefixes(h, [r[1] for r in rows])
+    order = np.array(sorted(range(len(rows)), key=lambda k: (rows[k][0], rows[k][2])))
+    behind = common_prefixes(h[order], [rows[k][2] for k in order])
     node = np.unique(np.array([r[3] for r in rows], dtype="S16").view("V16"), return_inverse=True)[1].ravel()
-    least, most = np.full(len(rows), min_words), np.full(len(rows), -1)
-    for o in range(keys.shape[1]):
-        own = np.flatnonzero(there[:, o])
-        order = own[np.lexsort((node[own], keys[own, o]))]
-        if len(order) < 2:
+    least, most, left = np.full(len(rows), min_words), np.full(len(rows), -1), np.empty(len(rows), np.int64)
+    for o in range(min_words - K + 1):
+        right = np.cumsum(ahead < min_words - o)
+        left[order] = np.cumsum(behind < o)
+        several = (np.bincount(right)[right] > 1) & (np.bincount(left)[left] > 1)
+        own = np.flatnonzero(several)
+        key = right[own] * (len(rows) + 1) + left[own]
+        place = np.lexsort((node[own], key))
+        own, key = own[place], key[place]
+        if len(own) < 2:
             continue
-        fresh = np.r_[True, keys[order[1:], o] != keys[order[:-1], o]]
-        first = np.flatnonzero(fresh)
-        last = np.r_[first[1:], len(order)] - 1
-        found = order[np.repeat(node[order[first]] != node[order[last]], last - first + 1)]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        last = np.r_[first[1:], len(own)] - 1
+        found = own[np.repeat(node[own[first]] != node[own[last]], last - first + 1)]
         least[found], most[found] = np.minimum(least[found], o), o
     for k in np.flatnonzero(most >= 0):
         yield rows[k][3], int(rows[k][4] - most[k]), int(rows[k][4] - least[k] + min_words)
@@ -151,7 +172,7 @@ def copies(rows: list[tuple], min_words: int) -> Iterator[tuple]:
 _SPAN = pa.schema([("node", pa.binary()), ("start", pa.int32()), ("stop", pa.int32())])
 
 
-def _spans_in_groups(rows: DataFrame, min_words: int, chunk: int = 8192) -> DataFrame:
+def _spans_in_groups(rows: DataFrame, min_words: int, parts: int, chunk: int = 8192) -> DataFrame:
     """Spans of suffixes, the suffixes of one h in one task; about ``chunk`` rows, and always whole groups, at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,29 +189,33 @@ def _spans_in_groups(rows: DataFrame, min_words: int, chunk: int = 8192) -> Data
                 held.append(row)
         yield out(held)
 
-    dealt = rows.repartition("h").sortWithinPartitions("h")
+    dealt = rows.repartition(parts, "h").sortWithinPartitions("h", "ahead", "node")
     return dealt.select("h", "ahead", "behind", "node", "pos").mapInArrow(released(run), "node binary, start int, stop int")
 
 
 def _spans_by_key(rows: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
-    """Spans of suffixes whose group is too large for one task: each extension is a row, equal ones meet in a join."""
+    """Spans of suffixes whose group is too large for one task: a row for each number of words behind; equal runs meet in a join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = lambda text: [0, *(np.flatnonzero(np.frombuffer(text, np.uint8) == 32) + 1).tolist()]
         for b in batches:
-            held = list(zip(*(b.column(k).to_pylist() for k in range(5)), strict=True))
-            if held:
-                keys, there = extensions(held, min_words)
-                at, o = np.nonzero(there)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at, o].view(np.int64)), pa.array([held[k][3] for k in at], pa.binary()), pa.array(np.array([r[4] for r in held], np.int32)[at]), pa.array(o.astype(np.int32))], names=["key", "node", "pos", "o"])
-
-    each = scratch.write(rows.select("h", "ahead", "behind", "node", "pos").mapInArrow(released(run), "key long, node binary, pos int, o int"), "extensions")
+            out = []
+            for ahead, behind, node, pos in zip(*(b.column(k).to_pylist() for k in range(1, 5)), strict=True):
+                right, left = ends(ahead), ends(behind)
+                for o in range(min_words - K + 1):
+                    if o < len(left) and min_words - o < len(right):
+                        run = ahead[: right[min_words - o]] + b"\0" + behind[: left[o]]
+                        out.append((hashlib.blake2b(run, digest_size=16).digest(), node, pos, o))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.binary(), pa.binary(), pa.int32(), pa.int32()), strict=True)], names=["key", "node", "pos", "o"])
+
+    each = scratch.write(rows.select("h", "ahead", "behind", "node", "pos").mapInArrow(released(run), "key binary, node binary, pos int, o int"), "extensions")
     shared = each.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low != high").select("key")
     shared = scratch.write(shared, "shared-keys")
     found = each.join(shared, "key", "left_semi").groupBy("node", "pos").agg(F.min("o").alias("least"), F.max("o").alias("most"))
     return found.select("node", (F.col("pos") - F.col("most")).alias("start"), (F.col("pos") - F.col("least") + min_words).alias("stop"))
 
 
-def repeated_spans(docs: DataFrame, min_words: int = 50, most: int = 50_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, min_words: int = 50, most: int = 20_000) -> DataFrame:
     """doc_id, text_key, start, stop (words, stop exclusive), n_words: the merged spans of each row, in rows of their own.
 
     Suffixes with the same first words are compared in one task, if there are ``most`` at most, and else by a join.
@@ -214,8 +239,9 @@ def repeated_spans(docs: DataFrame, min_words: int = 50, most: int = 50_000) ->
     same = own["doc_id"].eqNullSafe(wanted["doc_id"]) & (own["text_key"] == wanted["text_key"])
     texts = scratch.write(own.join(wanted, same).select("node", "text", "places"), "texts")
 
-    rows_of = _contexts(texts, min_words)
-    spans = scratch.write(_spans_in_groups(rows_of.join(large, "h", "left_anti"), min_words), "in-groups")
+    rows_of = _suffixes(texts, min_words)
+    kept = texts.agg(F.sum(F.size("places"))).first()[0] or 0
+    spans = scratch.write(_spans_in_groups(rows_of.join(large, "h", "left_anti"), min_words, shuffle_parts(spark, kept * 14 * min_words)), "in-groups")
     if not large.isEmpty():
         spans = spans.unionByName(scratch.write(_spans_by_key(rows_of.join(large, "h", "left_semi"), min_words, scratch), "by-key"))
     spans = spans.distinct()

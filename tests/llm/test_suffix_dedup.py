@@ -64,6 +64,25 @@ def test_copies_parted_by_one_sided_matches(make):
     assert found(make(rows)) == found(make(rows), most=1) == brute(rows)
 
 
+def test_common_prefixes_count_whole_words():
+    texts = sorted(S._joined(w.split()) for w in (b"a b c", b"a b cd", b"a b", b"a bc", b"", b"b", b"b \x05 c"))
+    words = [t.split(b" ")[:-1] for t in texts]
+    want = [next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in zip(words, words[1:])]
+    assert S.common_prefixes(np.zeros(len(texts)), texts).tolist() == [-1, *want]
+    many = [S._joined([b"x", b"%05d" % k, b"y"]) for k in range(3000)]
+    assert S.common_prefixes(np.arange(3000) // 2, many).tolist() == [1 if k % 2 else -1 for k in range(3000)]
+
+
+def test_odd_words(make):
+    """Words that are long, hold zero bytes or look like a digest, in copies and near copies."""
+    words = prose(55, 80).split()
+    words[10], words[20], words[30] = "l" * 5000, "\x00z", "\x01" + "a" * 32
+    other = [*words]
+    other[10] = "l" * 4999 + "m"
+    rows = [(1, "x " + " ".join(words)), (2, "y " + " ".join(words)), (3, "z " + " ".join(other)), (4, " ".join(w if w != "\x00z" else "z" for w in words))]
+    assert found(make(rows)) == found(make(rows), most=1) == brute(rows)
+
+
 def test_odd_rows(make, odd_rows):
     assert found(make(odd_rows)) == brute(odd_rows)
     assert found(make(odd_rows).limit(0)) == []
