@@ -2,33 +2,125 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+PROPERTIES = ("body_hash", "signature", "decorators")
+
+
 def changed_symbols(base: DataFrame, head: DataFrame, strict: bool = False) -> DataFrame:
     """id, change (ADDED, REMOVED, MODIFIED) and both rows of every symbol that differs.
 
-    A symbol is modified if its lines, visibility or body hash differ; ``strict`` leaves the body hash out.
+    A symbol is modified if its lines, visibility or properties (body hash, signature, decorators) differ; ``strict`` leaves
+    the properties out, as does a table that lacks them.
     """
     side = lambda df, name: df.select("id", F.struct(*df.columns).alias(name))
     both = side(base, "old").join(side(head, "new"), "id", "full_outer")
-    compared = ["start_line", "end_line", "visibility"] + ([] if strict or "body_hash" not in base.columns else ["body_hash"])
+    compared = ["start_line", "end_line", "visibility"] + ([] if strict else [c for c in PROPERTIES if c in base.columns])
     differs = reduce(lambda a, c: a | ~F.col(f"old.{c}").eqNullSafe(F.col(f"new.{c}")), compared, F.lit(False))
     change = F.when(F.col("old").isNull(), "ADDED").when(F.col("new").isNull(), "REMOVED").when(differs, "MODIFIED")
     return both.withColumn("change", change).filter("change is not null")
 
 
 def contract_changes(changes: DataFrame) -> DataFrame:
-    """id, contract: what of a modified symbol's contract differs."""
-    differs = lambda c: ~F.col(f"old.{c}").eqNullSafe(F.col(f"new.{c}"))
-    lines = differs("start_line") | differs("end_line")
-    kinds = F.array(F.when(lines, F.lit("body")), F.when(differs("visibility"), F.lit("visibility")))
+    """id, contract: what of a modified symbol's contract differs (body, visibility, decorators, signature)."""
+    columns = changes.schema["old"].dataType.names
+    differs = lambda c: ~F.col(f"old.{c}").eqNullSafe(F.col(f"new.{c}")) if c in columns else F.lit(False)
+    rules = {"body": differs("start_line") | differs("end_line"), "visibility": differs("visibility"), "decorators": differs("decorators"), "signature": differs("signature")}
+    kinds = F.array(*[F.when(when, F.lit(name)) for name, when in rules.items()])
     return changes.filter("change = 'MODIFIED'").select("id", F.explode(F.array_compact(kinds)).alias("contract"))
 
 
+@dataclass
+class Side:
+    """The facts of one version, as far as a change looks at them."""
+
+    symbols: DataFrame
+    calls: DataFrame  # src, dst
+    references: DataFrame  # src, dst
+    imports: DataFrame  # file_id, module
+    endpoints: DataFrame  # symbol_id, method, path
+    db_rels: DataFrame  # symbol_id, resource_id
+    event_pubs: DataFrame  # symbol_id, event_id
+    commit: str = ""
+
+
+@dataclass
+class ChangeFacts:
+    """All that differs between two versions; with ``files`` (id), only what lies in the files of a diff."""
+
+    base: Side
+    head: Side
+    files: DataFrame | None = None
+    strict: bool = False
+
+    def _inside(self, rows: DataFrame, key: str = "file_id") -> DataFrame:
+        return rows if self.files is None else rows.join(self.files.select(F.col("id").alias(key)), key, "left_semi").select(rows.columns)
+
+    @property
+    def same_commit(self) -> bool:
+        return bool(self.base.commit) and self.base.commit == self.head.commit
+
+    @property
+    def symbols(self) -> DataFrame:
+        return changed_symbols(self._inside(self.base.symbols), self._inside(self.head.symbols), self.strict)
+
+    def of_kind(self, change: str) -> DataFrame:
+        """id, kind and file_id of the symbols that were ADDED, REMOVED or MODIFIED."""
+        own = F.coalesce("new", "old")
+        return self.symbols.filter(F.col("change") == change).select("id", own["kind"].alias("kind"), own["file_id"].alias("file_id"))
+
+    def _edges(self, base: DataFrame, head: DataFrame) -> DataFrame:
+        own = self.symbols.select(F.col("id").alias("src"))
+        of = lambda rows: rows.join(own, "src", "left_semi").select("src", "dst")
+        return set_difference(of(base), of(head), ["src", "dst"])
+
+    @property
+    def calls(self) -> DataFrame:
+        """src, dst, change: calls out of changed symbols that came or went."""
+        return self._edges(self.base.calls, self.head.calls)
+
+    @property
+    def references(self) -> DataFrame:
+        return self._edges(self.base.references, self.head.references)
+
+    @property
+    def imports(self) -> DataFrame:
+        return set_difference(self._inside(self.base.imports), self._inside(self.head.imports), ["file_id", "module"])
+
+    @property
+    def contracts(self) -> DataFrame:
+        """id, contract, change_kind, detail: contracts of modified symbols; endpoints, data and events of added and removed ones."""
+        changes = self.symbols
+        columns = changes.schema["old"].dataType.names
+        value = lambda side, c: F.col(f"{side}.{c}").cast("string") if c in columns else F.lit(None).cast("string")
+        of = {"body": "body_hash", "visibility": "visibility", "decorators": "decorators", "signature": "signature"}
+        change = lambda c: F.concat_ws(" -> ", F.coalesce(value("old", c), F.lit("")), F.coalesce(value("new", c), F.lit("")))
+        detail = reduce(lambda a, k: a.when(F.col("contract") == k, change(of[k])), list(of)[1:], F.when(F.col("contract") == "body", change("body_hash")))
+        modified = contract_changes(changes).join(changes.select("id", "old", "new"), "id").select("id", "contract", F.lit("modified").alias("change_kind"), detail.alias("detail"))
+        parts = [modified]
+        for side, kind, label in ((self.head, "ADDED", "added"), (self.base, "REMOVED", "removed")):
+            ids = changes.filter(F.col("change") == kind).select(F.col("id").alias("symbol_id"))
+            for contract, rows, text in (
+                ("api", side.endpoints, F.concat("method", F.lit(" "), "path")),
+                ("database", side.db_rels, F.col("resource_id").cast("string")),
+                ("event_publish", side.event_pubs, F.col("event_id").cast("string")),
+            ):
+                parts.append(rows.join(ids, "symbol_id", "left_semi").select(F.col("symbol_id").alias("id"), F.lit(contract).alias("contract"), F.lit(label).alias("change_kind"), text.alias("detail")))
+        return reduce(DataFrame.unionByName, parts)
+
+    def counts(self) -> DataFrame:
+        """section, n: how many of everything, the compatibility views (added, removed, modified symbols) included."""
+        tables = {"symbols": self.symbols, "calls": self.calls, "references": self.references, "imports": self.imports, "contracts": self.contracts}
+        rows = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("section"), "n") for name, df in tables.items()]
+        kinds = self.symbols.groupBy(F.concat(F.lower("change"), F.lit("_symbols")).alias("section")).agg(F.count("*").alias("n"))
+        return reduce(DataFrame.unionByName, [*rows, kinds])
+
+
 def set_difference(base: DataFrame, head: DataFrame, key: list[str]) -> DataFrame:
     """The distinct keys of one side only, with change added or removed."""
     old, new = base.select(*key).distinct(), head.select(*key).distinct()
@@ -61,11 +153,27 @@ def change_files(changes: DataFrame) -> DataFrame:
     return out.select("file_id", F.when(F.col("kinds") > 1, "mixed").otherwise(F.lower("one")).alias("change_type"), "symbols")
 
 
-def change_summary(files: DataFrame, behaviors: DataFrame) -> DataFrame:
-    """One row: files, symbols, behaviors, scope (narrow: one file; moderate: up to five; wide)."""
+def change_summary(files: DataFrame, behaviors: DataFrame, changes: DataFrame) -> DataFrame:
+    """One row: files, symbols, behaviors, scope (local: one file; multi_file: up to five; wide) and classification.
+
+    Added and removed symbols make a change mixed; added ones alone an addition, removed ones without added a removal.
+    """
     total = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("symbols"), F.lit(0)).alias("symbols"))
-    scope = F.when(F.col("files") <= 1, "narrow").when(F.col("files") <= 5, "moderate").otherwise("wide")
-    return total.crossJoin(behaviors.agg(F.count("*").alias("behaviors"))).withColumn("scope", scope)  # two single rows
+    scope = F.when(F.col("files") > 5, "wide").when(F.col("files") > 1, "multi_file").otherwise("local")
+    n = lambda c: F.count_if(F.col("change") == c) > 0
+    kind = F.when(n("ADDED") & n("REMOVED"), "mixed").when(n("ADDED") & ~n("MODIFIED"), "addition").when(n("REMOVED") & ~n("ADDED"), "removal").otherwise("modification")
+    kinds = changes.agg(kind.alias("classification"))
+    return total.crossJoin(behaviors.agg(F.count("*").alias("behaviors"))).crossJoin(kinds).withColumn("scope", scope)  # three single rows
+
+
+class Inconsistent(ValueError):
+    """Facts that refer to what is not there."""
+
+
+def require_consistent(errors: DataFrame, most: int = 20) -> None:
+    """Raise ``Inconsistent`` with the first messages, if there are any."""
+    if found := [r["message"] for r in errors.orderBy("message").limit(most).collect()]:
+        raise Inconsistent("; ".join(found))
 
 
 def referential_errors(rows: DataFrame, key: str, known: DataFrame, message: str) -> DataFrame:

@@ -64,7 +64,7 @@ def classified_changes(changes: DataFrame, endpoints: DataFrame, db_rels: DataFr
     own = changes.join(of(endpoints, "api"), "id", "left").join(of(db_rels, "database"), "id", "left").join(of(pubs, "event"), "id", "left")
     both = F.col("change") == "MODIFIED"
     differs = lambda c: both & ~F.col(f"old.{c}").eqNullSafe(F.col(f"new.{c}"))
-    rules = {"api": F.col("api"), "database": F.col("database"), "event": F.col("event"), "visibility": differs("visibility"), "body": differs("start_line") | differs("end_line") | differs("body_hash"), "symbol": ~both}
+    rules = {"api": F.col("api"), "database": F.col("database"), "event": F.col("event"), "signature": differs("signature"), "visibility": differs("visibility"), "body": differs("start_line") | differs("end_line") | differs("body_hash"), "symbol": ~both}
     return own.select("id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]))).alias("class"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import keywords as K
 
 #: Priority of reference kinds; others come last.
-TIERS = {"change": 0, "behavior": 1, "entry": 1, "endpoint": 1, "boundary": 2, "operational": 2, "cross_service": 2, "discovery": 3, "fan_in": 3, "fan_out": 3, "symbol": 4, "execution": 4, "unit": 4}
+TIERS = {"change": 0, "behavior": 1, "entry_point": 1, "endpoint": 1, "boundary": 2, "operational": 2, "cross_service": 2, "discovery": 3, "fan_in": 3, "fan_out": 3, "symbol": 4, "execution": 4, "unit": 4}
 NOISE = ("Build", "Tooling", "Test", "Runtime", "Standard Library", "Framework", "Infrastructure")
 
 

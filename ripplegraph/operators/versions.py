@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,122 @@ class Overlay:
     head_symbols: DataFrame  # all symbols of the head's touched files
 
 
+@dataclass
+class Change:
+    """What a change does to a base version: files and symbols by id, and the facts that come and go, by table.
+
+    Added facts are the head's of files that were added or modified; a table that is not named has none.
+    """
+
+    added_files: DataFrame  # id
+    modified_files: DataFrame  # id
+    removed_files: DataFrame  # id
+    added_symbols: DataFrame  # the head's symbols of added and modified files
+    removed_symbols: DataFrame  # id
+    added: dict[str, DataFrame]
+    removed: dict[str, DataFrame]
+
+
+def change_between(base_files: DataFrame, head_files: DataFrame, base_symbols: DataFrame, head_symbols: DataFrame, base: dict[str, DataFrame], head: dict[str, DataFrame], keys: dict[str, str]) -> Change:
+    """The change from a base to a head: files by id and content_sha; facts by table, with the column that names their file."""
+    both = base_files.select("id", F.col("content_sha").alias("old")).join(head_files.select("id", F.col("content_sha").alias("new")), "id")
+    modified = both.filter(~F.col("old").eqNullSafe(F.col("new"))).select("id")
+    added = head_files.select("id").join(base_files.select("id"), "id", "left_anti")
+    removed = base_files.select("id").join(head_files.select("id"), "id", "left_anti")
+    now, before = added.unionByName(modified), removed.unionByName(modified)
+    of = lambda rows, files, key: rows.join(files.select(F.col("id").alias(key)), key, "left_semi").select(rows.columns)
+    symbols = of(head_symbols, now, "file_id")
+    gone = of(base_symbols, before, "file_id").select("id").join(symbols.select("id"), "id", "left_anti")
+    return Change(added, modified, removed, symbols, gone, {t: of(rows, now, keys[t]) for t, rows in head.items()}, {t: of(rows, before, keys[t]) for t, rows in base.items()})
+
+
+class View:
+    """The lookups of a base version under a change, each over all keys at once.
+
+    A symbol of the base counts as unchanged if its file is untouched and the change neither adds nor removes it; what
+    hangs on other symbols comes from the change alone.
+    """
+
+    def __init__(self, files: DataFrame, symbols: DataFrame, facts: dict[str, DataFrame], change: Change):
+        self.base_files, self.base_symbols, self.facts, self.change = files, symbols, facts, change
+        self.touched = change.modified_files.select("id").unionByName(change.removed_files.select("id"))
+
+    @property
+    def files(self) -> DataFrame:
+        """id of every file, touched or not."""
+        return self.base_files.select("id").join(self.touched, "id", "left_anti").unionByName(self.change.added_files.select("id")).unionByName(self.change.modified_files.select("id")).distinct()
+
+    @property
+    def unchanged(self) -> DataFrame:
+        """Symbols of the base that the change leaves as they are."""
+        own = self.base_symbols.join(self.touched.select(F.col("id").alias("file_id")), "file_id", "left_anti")
+        other = self.change.removed_symbols.select("id").unionByName(self.change.added_symbols.select("id"))
+        return own.join(other, "id", "left_anti").select(self.base_symbols.columns)
+
+    @property
+    def symbols(self) -> DataFrame:
+        return self.unchanged.unionByName(self.change.added_symbols.select(self.base_symbols.columns))
+
+    def _layered(self, table: str, kept: DataFrame) -> DataFrame:
+        """Kept facts of the base without those that the change removes, and with those that it adds."""
+        columns = self.facts[table].columns
+        if table in self.change.removed:
+            same = [kept[c].eqNullSafe(self.change.removed[table][c]) for c in columns]
+            kept = kept.join(self.change.removed[table].select(columns), reduce(lambda a, b: a & b, same), "left_anti")
+        return kept.select(columns).unionByName(self.change.added[table].select(columns)) if table in self.change.added else kept.select(columns)
+
+    def _where_unchanged(self, rows: DataFrame, *keys: str) -> DataFrame:
+        for key in keys:
+            rows = rows.join(self.unchanged.select(F.col("id").alias(key)), key, "left_semi")
+        return rows
+
+    def outward(self, table: str, source: str, target: str) -> DataFrame:
+        """Edges by their source (callees, references and type relations of a symbol): both ends must be unchanged."""
+        return self._layered(table, self._where_unchanged(self.facts[table], source, target))
+
+    def inward(self, table: str, source: str) -> DataFrame:
+        """Edges by their target (callers, references and type relations to a symbol, tests): the source must be unchanged."""
+        return self._layered(table, self._where_unchanged(self.facts[table], source))
+
+    def of_symbols(self, table: str, key: str = "symbol_id") -> DataFrame:
+        """Facts of symbols (endpoints, database relations, events published and consumed)."""
+        return self._layered(table, self._where_unchanged(self.facts[table], key))
+
+    def imports(self) -> DataFrame:
+        """Imports by their source; what they import must still be there, if it is known."""
+        rows = self._of_untouched(self.facts["imports"])
+        known = self.files.select(F.col("id").alias("target_file_id"))
+        kept = rows.filter("target_file_id is null").unionByName(rows.join(known, "target_file_id", "left_semi").select(rows.columns))
+        return self._layered("imports", kept)
+
+    def importers(self) -> DataFrame:
+        """Imports by their target, which must still be there."""
+        own = self._layered("imports", self._of_untouched(self.facts["imports"]))
+        return own.join(self.files.select(F.col("id").alias("target_file_id")), "target_file_id", "left_semi").select(own.columns)
+
+    def _of_untouched(self, imports: DataFrame) -> DataFrame:
+        sources = self.base_files.select("id").join(self.touched, "id", "left_anti")
+        return imports.join(sources.select(F.col("id").alias("source_file_id")), "source_file_id", "left_semi").select(imports.columns)
+
+    def entry_points(self) -> DataFrame:
+        """kind, route, handler_id: the base's of unchanged handlers, the change's endpoints, and its event consumers."""
+        route = F.concat("method", F.lit(" "), "path").alias("route")
+        rest = self._where_unchanged(self.facts["endpoints"], "symbol_id").select(F.lit("rest_endpoint").alias("kind"), route, F.col("symbol_id").alias("handler_id"))
+        if "endpoints" in self.change.added:
+            rest = rest.unionByName(self.change.added["endpoints"].select(F.lit("rest_endpoint").alias("kind"), route, F.col("symbol_id").alias("handler_id")))
+        if "event_subs" in self.change.added:
+            rest = rest.unionByName(self.change.added["event_subs"].select(F.lit("event_consumer").alias("kind"), F.concat(F.lit("event:"), "event_id").alias("route"), F.col("symbol_id").alias("handler_id")))
+        return rest
+
+    def symbols_in_files(self) -> DataFrame:
+        """Symbols by file: of files that were added or modified the change's, of removed ones none, of others the base's."""
+        now = self.change.added_files.select("id").unionByName(self.change.modified_files.select("id"))
+        columns = self.base_symbols.columns
+        kept = self.base_symbols.join(now.unionByName(self.change.removed_files.select("id")).select(F.col("id").alias("file_id")), "file_id", "left_anti")
+        kept = kept.join(self.change.removed_symbols.select("id"), "id", "left_anti").select(columns)
+        return kept.unionByName(self.change.added_symbols.join(now.select(F.col("id").alias("file_id")), "file_id", "left_semi").select(columns))
+
+
 def symbols_view(base: DataFrame, overlay: Overlay) -> DataFrame:
     kept = base.join(overlay.changed_files.select(F.col("id").alias("file_id")), "file_id", "left_anti")
     return kept.select(base.columns).unionByName(overlay.head_symbols.select(base.columns))

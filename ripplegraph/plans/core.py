@@ -154,29 +154,6 @@ def _(f: Facts) -> DataFrame:
     return _call_rows(f).join(f.changed.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("src").alias("symbol_id"), F.col("dst").alias("callee_id"))
 
 
-def _of_changed(name: str, table: str, key: str, other: str) -> None:
-    """Rows of a fact table whose key is a changed symbol."""
-
-    @query(name, f"{table} changed", f"SELECT {key}, {other} FROM {table} WHERE {key} IN (SELECT id FROM changed)")
-    def _(f: Facts) -> DataFrame:
-        return getattr(f, table).join(f.changed.select(F.col("id").alias(key)), key, "left_semi").select(key, other)
-
-
-_of_changed("references_from", "refs", "source_id", "target_id")
-_of_changed("references_to", "refs", "target_id", "source_id")
-_of_changed("type_relationships", "type_rels", "source_id", "target_id")
-_of_changed("type_dependents", "type_rels", "target_id", "source_id")
-_of_changed("endpoints_of_symbol", "endpoints", "symbol_id", "path")
-_of_changed("db_relationships", "db_rels", "symbol_id", "resource_id")
-_of_changed("published_events", "event_pubs", "symbol_id", "event_id")
-_of_changed("tests_of_symbol", "test_rels", "target_symbol_id", "test_symbol_id")
-
-
-@query("event_consumers", "event_subs", "SELECT symbol_id, event_id FROM event_subs WHERE event_id = 5")
-def _(f: Facts) -> DataFrame:
-    return f.event_subs.filter("event_id = 5").select("symbol_id", "event_id")
-
-
 CHANGED_FILES = "SELECT DISTINCT file_id FROM symbols WHERE id IN (SELECT id FROM changed)"
 
 
@@ -184,16 +161,6 @@ def _changed_files(f: Facts) -> DataFrame:
     return f.symbols.join(f.changed, "id", "left_semi").select(F.col("file_id").alias("id")).distinct()
 
 
-@query("imports", "imports changed symbols", f"SELECT source_file_id, module FROM imports WHERE source_file_id IN ({CHANGED_FILES})")
-def _(f: Facts) -> DataFrame:
-    return f.imports.join(_changed_files(f).select(F.col("id").alias("source_file_id")), "source_file_id", "left_semi").select("source_file_id", "module")
-
-
-@query("importers", "imports changed symbols", f"SELECT target_file_id, source_file_id FROM imports WHERE target_file_id IN ({CHANGED_FILES})")
-def _(f: Facts) -> DataFrame:
-    return f.imports.join(_changed_files(f).select(F.col("id").alias("target_file_id")), "target_file_id", "left_semi").select("target_file_id", "source_file_id")
-
-
 @query("entry_points", "files base_symbols head_symbols endpoints", RESOLVED + "SELECT symbol_id, method || ' ' || path AS route FROM endpoints WHERE file_id IN (SELECT id FROM active)")
 def _(f: Facts) -> DataFrame:
     cur, parent = _files(f)
@@ -275,8 +242,8 @@ def _(f: Facts) -> DataFrame:
 # --- change -----------------------------------------------------------------------------------------------------------
 
 CHANGES = """@ ch AS (SELECT coalesce(h.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'ADDED' WHEN h.id IS NULL THEN 'REMOVED' ELSE 'MODIFIED' END AS change,
- coalesce(h.file_id, b.file_id) AS file_id, coalesce(h.kind, b.kind) AS kind, b.start_line AS bs, h.start_line AS hs, b.end_line AS be, h.end_line AS he, b.visibility AS bv, h.visibility AS hv
- FROM base_symbols b FULL JOIN head_symbols h ON b.id = h.id WHERE b.id IS NULL OR h.id IS NULL OR b.start_line <> h.start_line OR b.end_line <> h.end_line OR b.visibility <> h.visibility OR b.body_hash <> h.body_hash) """
+ coalesce(h.file_id, b.file_id) AS file_id, coalesce(h.kind, b.kind) AS kind, b.start_line AS bs, h.start_line AS hs, b.end_line AS be, h.end_line AS he, b.visibility AS bv, h.visibility AS hv, b.body_hash AS bb, h.body_hash AS hb, b.signature AS bg, h.signature AS hg, b.decorators AS bd, h.decorators AS hd
+ FROM base_symbols b FULL JOIN head_symbols h ON b.id = h.id WHERE b.id IS NULL OR h.id IS NULL OR b.start_line <> h.start_line OR b.end_line <> h.end_line OR b.visibility <> h.visibility OR b.body_hash <> h.body_hash OR b.signature <> h.signature OR b.decorators <> h.decorators) """
 
 
 def _changes(f: Facts, strict: bool = False) -> DataFrame:
@@ -288,16 +255,76 @@ def _(f: Facts) -> DataFrame:
     return _changes(f).select("id", "change")
 
 
-@query("changed_symbols_strict", "base_symbols head_symbols", CHANGES.replace(" OR b.body_hash <> h.body_hash", "") + "SELECT id, change FROM ch")
+@query("changed_symbols_strict", "base_symbols head_symbols", CHANGES.replace(" OR b.body_hash <> h.body_hash OR b.signature <> h.signature OR b.decorators <> h.decorators", "") + "SELECT id, change FROM ch")
 def _(f: Facts) -> DataFrame:
     return _changes(f, True).select("id", "change")
 
 
-@query("contract_changes", "base_symbols head_symbols", CHANGES + "SELECT id, 'body' AS contract FROM ch WHERE change = 'MODIFIED' AND (bs <> hs OR be <> he) UNION ALL SELECT id, 'visibility' FROM ch WHERE change = 'MODIFIED' AND bv <> hv")
+@query("contract_changes", "base_symbols head_symbols", CHANGES + "SELECT id, 'body' AS contract FROM ch WHERE change = 'MODIFIED' AND (bs <> hs OR be <> he) UNION ALL SELECT id, 'visibility' FROM ch WHERE change = 'MODIFIED' AND bv <> hv UNION ALL SELECT id, 'decorators' FROM ch WHERE change = 'MODIFIED' AND bd <> hd UNION ALL SELECT id, 'signature' FROM ch WHERE change = 'MODIFIED' AND bg <> hg")
 def _(f: Facts) -> DataFrame:
     return change.contract_changes(_changes(f))
 
 
+# Both sides' edges and facts, told apart as in the lookups; a diff names the files with an id of 0 to 59.
+_EDGE = "SELECT {a} AS src, {b} AS dst FROM {t} WHERE ({a} + {b}) % 10 <> {lost}"
+_FACT = "SELECT * FROM {t} WHERE (symbol_id + {b}) % 10 <> {lost}"
+
+
+def _facts_of(f: Facts, diff: bool = False) -> change.ChangeFacts:
+    def side(symbols: DataFrame, lost: int) -> change.Side:
+        edges = lambda rows, a, b: rows.select(F.col(a).alias("src"), F.col(b).alias("dst")).filter((F.col("src") + F.col("dst")) % 10 != lost)
+        of = lambda rows, b: rows.filter((F.col("symbol_id") + F.col(b)) % 10 != lost)
+        imports = f.imports.filter((F.col("source_file_id") + F.col("target_file_id")) % 10 != lost).select(F.col("source_file_id").alias("file_id"), "module")
+        return change.Side(symbols, edges(f.calls, "caller_id", "callee_id"), edges(f.refs, "source_id", "target_id"), imports, of(f.endpoints, "id"), of(f.db_rels, "resource_id"), of(f.event_pubs, "event_id"))
+
+    return change.ChangeFacts(side(f.base_symbols, 1), side(f.head_symbols, 0), f.files.filter("id < 60") if diff else None)
+
+
+def _edge_diff(table: str, a: str, b: str) -> str:
+    old, new = (f"(SELECT * FROM ({_EDGE.format(a=a, b=b, t=table, lost=lost)}) WHERE src IN (SELECT id FROM ch))" for lost in (1, 0))
+    return f"SELECT src, dst, 'added' AS change FROM (SELECT * FROM {new} EXCEPT SELECT * FROM {old}) UNION ALL SELECT src, dst, 'removed' FROM (SELECT * FROM {old} EXCEPT SELECT * FROM {new})"
+
+
+def _contracts_sql() -> str:
+    arrow = lambda a, b: f"coalesce(CAST({a} AS VARCHAR), '') || ' -> ' || coalesce(CAST({b} AS VARCHAR), '')"
+    parts = [f"SELECT id, '{k}' AS contract, 'modified' AS change_kind, {arrow(a, b)} AS detail FROM ch WHERE change = 'MODIFIED' AND ({w})" for k, a, b, w in (("body", "bb", "hb", "bs <> hs OR be <> he"), ("visibility", "bv", "hv", "bv <> hv"), ("decorators", "bd", "hd", "bd <> hd"), ("signature", "bg", "hg", "bg <> hg"))]
+    for kind, lost in (("ADDED", 0), ("REMOVED", 1)):
+        for contract, table, b, text in (("api", "endpoints", "id", "method || ' ' || path"), ("database", "db_rels", "resource_id", "CAST(resource_id AS VARCHAR)"), ("event_publish", "event_pubs", "event_id", "CAST(event_id AS VARCHAR)")):
+            parts.append(f"SELECT symbol_id, '{contract}', '{kind.lower()}', {text} FROM ({_FACT.format(t=table, b=b, lost=lost)}) WHERE symbol_id IN (SELECT id FROM ch WHERE change = '{kind}')")
+    return " UNION ALL ".join(parts)
+
+
+_DIFFED = CHANGES.replace("FROM base_symbols b FULL JOIN head_symbols h", "FROM (SELECT * FROM base_symbols WHERE file_id < 60) b FULL JOIN (SELECT * FROM head_symbols WHERE file_id < 60) h")
+
+
+@query("change_contracts", "base_symbols head_symbols endpoints db_rels event_pubs", CHANGES + _contracts_sql())
+def _(f: Facts) -> DataFrame:
+    return _facts_of(f).contracts
+
+
+@query("change_contracts_in_diff", "base_symbols head_symbols endpoints db_rels event_pubs", _DIFFED + _contracts_sql())
+def _(f: Facts) -> DataFrame:
+    return _facts_of(f, diff=True).contracts
+
+
+@query("change_calls", "base_symbols head_symbols calls", CHANGES + _edge_diff("calls", "caller_id", "callee_id"))
+def _(f: Facts) -> DataFrame:
+    return _facts_of(f).calls
+
+
+@query("change_references", "base_symbols head_symbols refs", CHANGES + _edge_diff("refs", "source_id", "target_id"))
+def _(f: Facts) -> DataFrame:
+    return _facts_of(f).references
+
+
+@query("change_views", "base_symbols head_symbols", CHANGES + "SELECT id, change, kind, file_id FROM ch")
+def _(f: Facts) -> DataFrame:
+    from functools import reduce
+
+    facts = _facts_of(f)
+    return reduce(DataFrame.unionByName, [facts.of_kind(k).withColumn("change", F.lit(k)) for k in ("ADDED", "REMOVED", "MODIFIED")])
+
+
 @query("rename_detection", "base_symbols head_symbols", CHANGES + "SELECT min(id) FILTER (WHERE change = 'REMOVED') AS old_id, min(id) FILTER (WHERE change = 'ADDED') AS new_id FROM ch GROUP BY kind, file_id HAVING count(*) FILTER (WHERE change = 'REMOVED') = 1 AND count(*) FILTER (WHERE change = 'ADDED') = 1")
 def _(f: Facts) -> DataFrame:
     return change.renames(_changes(f))
@@ -339,9 +366,10 @@ def _(f: Facts) -> DataFrame:
     return change.change_files(_changes(f))
 
 
-@query("review_change_summary", "base_symbols head_symbols endpoints", CHANGES + "SELECT count(DISTINCT file_id) AS files, count(*) AS symbols, (SELECT count(*) FROM endpoints) AS behaviors, CASE WHEN count(DISTINCT file_id) <= 1 THEN 'narrow' WHEN count(DISTINCT file_id) <= 5 THEN 'moderate' ELSE 'wide' END AS scope FROM ch")
+@query("review_change_summary", "base_symbols head_symbols endpoints", CHANGES + "SELECT count(DISTINCT file_id) AS files, count(*) AS symbols, (SELECT count(*) FROM endpoints) AS behaviors, CASE WHEN count(DISTINCT file_id) > 5 THEN 'wide' WHEN count(DISTINCT file_id) > 1 THEN 'multi_file' ELSE 'local' END AS scope, CASE WHEN bool_or(change = 'ADDED') AND bool_or(change = 'REMOVED') THEN 'mixed' WHEN bool_or(change = 'ADDED') AND NOT bool_or(change = 'MODIFIED') THEN 'addition' WHEN bool_or(change = 'REMOVED') AND NOT bool_or(change = 'ADDED') THEN 'removal' ELSE 'modification' END AS classification FROM ch")
 def _(f: Facts) -> DataFrame:
-    return change.change_summary(change.change_files(_changes(f)), f.endpoints)
+    changes = _changes(f)
+    return change.change_summary(change.change_files(changes), f.endpoints, changes)
 
 
 @query("consistency_errors", "calls head_symbols", "SELECT DISTINCT 'call ends in unknown symbol ' || callee_id AS message FROM calls WHERE callee_id NOT IN (SELECT id FROM head_symbols)")

@@ -45,7 +45,7 @@ def _(f: Facts) -> DataFrame:
     return models.public_interface_change(f.endpoints, f.changed)
 
 
-@query("change_classification", "base_symbols head_symbols endpoints db_rels event_pubs", CHANGES.replace("b.visibility AS bv", "b.body_hash AS bb, h.body_hash AS hb, b.visibility AS bv") + "SELECT id, 'api' AS class FROM ch WHERE id IN (SELECT symbol_id FROM endpoints) UNION ALL SELECT id, 'database' FROM ch WHERE id IN (SELECT symbol_id FROM db_rels) UNION ALL SELECT id, 'event' FROM ch WHERE id IN (SELECT symbol_id FROM event_pubs) UNION ALL SELECT id, 'visibility' FROM ch WHERE bv <> hv UNION ALL SELECT id, 'body' FROM ch WHERE bs <> hs OR be <> he OR bb <> hb UNION ALL SELECT id, 'symbol' FROM ch WHERE change <> 'MODIFIED'")
+@query("change_classification", "base_symbols head_symbols endpoints db_rels event_pubs", CHANGES + "SELECT id, 'api' AS class FROM ch WHERE id IN (SELECT symbol_id FROM endpoints) UNION ALL SELECT id, 'database' FROM ch WHERE id IN (SELECT symbol_id FROM db_rels) UNION ALL SELECT id, 'event' FROM ch WHERE id IN (SELECT symbol_id FROM event_pubs) UNION ALL SELECT id, 'signature' FROM ch WHERE bg <> hg UNION ALL SELECT id, 'visibility' FROM ch WHERE bv <> hv UNION ALL SELECT id, 'body' FROM ch WHERE bs <> hs OR be <> he OR bb <> hb UNION ALL SELECT id, 'symbol' FROM ch WHERE change <> 'MODIFIED'")
 def _(f: Facts) -> DataFrame:
     return models.classified_changes(_changes(f), f.endpoints, f.db_rels, f.event_pubs)
 

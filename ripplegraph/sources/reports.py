@@ -2,41 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import Tables
+from .commits import Commits
 
 
 class Comments:
-    """A table of comments (pull request, marker, body); each change rewrites it from a written copy."""
+    """A table of comments (pull request, marker, body); each change makes a new table current, or fails and changes nothing."""
 
     SCHEMA = "repository string, number long, marker string, body string, revision long"
+    KEY = ["repository", "number", "marker"]
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.commits = spark, Commits(spark, path)
+
+    def _at(self, state: dict) -> DataFrame:
+        return self.commits.read(state["rows"], self.SCHEMA) if "rows" in state else self.spark.createDataFrame([], self.SCHEMA)
 
     def rows(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(self.SCHEMA).parquet(self.path)
-        except AnalysisException:
-            return self.spark.createDataFrame([], self.SCHEMA)
+        return self._at(self.commits.current()[1])
 
     def publish(self, rows: DataFrame) -> None:
         """Create comments (repository, number, marker, body), or give existing ones a new body and revision."""
-        key = ["repository", "number", "marker"]
-        old = self.rows()
-        before = old.select(*key, F.col("revision").alias("before"))
-        new = rows.select(*key, "body").join(before, key, "left").withColumn("revision", F.coalesce(F.col("before") + 1, F.lit(1).cast("long"))).drop("before")
-        self._replace(old.join(new.select(*key), key, "left_anti").select(new.columns).unionByName(new))
+
+        def change(old: DataFrame) -> DataFrame:
+            before = old.select(*self.KEY, F.col("revision").alias("before"))
+            new = rows.select(*self.KEY, "body").join(before, self.KEY, "left").withColumn("revision", F.coalesce(F.col("before") + 1, F.lit(1).cast("long"))).drop("before")
+            return old.join(new.select(*self.KEY), self.KEY, "left_anti").select(new.columns).unionByName(new)
+
+        self._replace(change)
 
     def delete(self, keys: DataFrame) -> None:
-        key = ["repository", "number", "marker"]
-        self._replace(self.rows().join(keys.select(*key), key, "left_anti").select("repository", "number", "marker", "body", "revision"))
+        self._replace(lambda old: old.join(keys.select(*self.KEY), self.KEY, "left_anti").select("repository", "number", "marker", "body", "revision"))
 
-    def _replace(self, rows: DataFrame) -> None:
-        Tables(self.spark, "comments").put(rows, "rows").write.mode("overwrite").parquet(self.path)
+    def _replace(self, change: Callable[[DataFrame], DataFrame]) -> None:
+        before, state = self.commits.current()
+        folder = self.commits.attempt(change(self._at(state)), "rows")
+        try:
+            self.commits.commit(before, {"rows": folder, "replaced": [state["rows"]] if "rows" in state else []})
+        except Exception:
+            self.commits.remove(folder)
+            raise
+        self.commits.remove(*state.get("replaced", []))
 
 
 def write_log(rows: DataFrame, path: str) -> None:

@@ -17,16 +17,17 @@ _KIND = "CASE p_partkey % 5 WHEN 0 THEN 'function' WHEN 1 THEN 'class' WHEN 2 TH
 _SYMBOL = f"""SELECT CAST(p_partkey AS BIGINT) AS id, {_VERB} || '_' || replace(p_name, ' ', '_') || '_' || CAST(p_partkey AS STRING) AS name,
   CAST(p_partkey % (SELECT count(*) FROM {{supplier}}) AS BIGINT) AS file_id, {_KIND} AS kind, p_size AS start_line,
   p_size + 10 + {{more}} AS end_line, CASE WHEN p_partkey % 7 = {{private}} THEN 'private' ELSE 'public' END AS visibility,
-  CAST(CASE WHEN p_partkey % 5 = 2 THEN p_partkey - 1 END AS BIGINT) AS parent_symbol_id, CAST({{body}} AS BIGINT) AS body_hash FROM {{part}}"""
+  CAST(CASE WHEN p_partkey % 5 = 2 THEN p_partkey - 1 END AS BIGINT) AS parent_symbol_id, CAST({{body}} AS BIGINT) AS body_hash,
+  {{signature}} AS signature, CASE WHEN p_partkey % 3 = 0 THEN 'cached' ELSE '' END || {{traced}} AS decorators FROM {{part}}"""
 
 FACTS = {
     "files": """SELECT CAST(s_suppkey AS BIGINT) AS id, 'svc' || CAST(s_nationkey AS STRING) || '/mod_' || CAST(s_suppkey AS STRING)
   || CASE s_nationkey % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.java' ELSE '.ts' END AS path,
   CASE s_nationkey % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'java' ELSE 'typescript' END AS language,
   'svc' || CAST(s_nationkey AS STRING) AS service FROM {supplier}""",
-    "base_symbols": _SYMBOL.replace("{more}", "0").replace("{private}", "3").replace("{body}", "p_partkey") + " WHERE p_size <> 50",
-    "head_symbols": _SYMBOL.replace("{more}", "CASE WHEN p_size = 10 THEN 5 ELSE 0 END").replace("{private}", "CASE WHEN p_size = 11 THEN 4 ELSE 3 END").replace("{body}", "CASE WHEN p_size = 12 THEN p_partkey + 1 ELSE p_partkey END") + " WHERE p_size <> 1",
-    "symbols": _SYMBOL.replace("{more}", "0").replace("{private}", "3").replace("{body}", "p_partkey"),
+    "base_symbols": _SYMBOL.replace("{signature}", "'f(a)'").replace("{traced}", "''").replace("{more}", "0").replace("{private}", "3").replace("{body}", "p_partkey") + " WHERE p_size <> 50",
+    "head_symbols": _SYMBOL.replace("{signature}", "CASE WHEN p_size = 13 THEN 'f(a, b)' ELSE 'f(a)' END").replace("{traced}", "CASE WHEN p_size = 14 THEN ',traced' ELSE '' END").replace("{more}", "CASE WHEN p_size = 10 THEN 5 ELSE 0 END").replace("{private}", "CASE WHEN p_size = 11 THEN 4 ELSE 3 END").replace("{body}", "CASE WHEN p_size = 12 THEN p_partkey + 1 ELSE p_partkey END") + " WHERE p_size <> 1",
+    "symbols": _SYMBOL.replace("{signature}", "'f(a)'").replace("{traced}", "''").replace("{more}", "0").replace("{private}", "3").replace("{body}", "p_partkey"),
     "changed": "SELECT CAST(p_partkey AS BIGINT) AS id FROM {part} WHERE p_size = 10",
     "calls": """SELECT DISTINCT caller_id, callee_id FROM (SELECT CAST(l_partkey AS BIGINT) AS caller_id, l_quantity,
   CAST(lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS BIGINT) AS callee_id
