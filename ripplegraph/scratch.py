@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,7 +49,13 @@ class Tables:
         return f"{self.root}/{table}"
 
     def put(self, df: DataFrame, table: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(table))
+        """Write the rows and give the table; the shuffle files that this took go at once, as nothing reads them again."""
+        conf, before = self.spark.conf, self.spark.conf.get(_CLEANUP, None)
+        conf.set(_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(self.path(table))
+        finally:
+            conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
     def drop(self, *tables: str) -> None:
