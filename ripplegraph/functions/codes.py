@@ -37,3 +37,24 @@ def code_of(table: str, value: Column) -> Column:
 
 def text_of(table: str, code: Column) -> Column:
     return looked_up(code, {k + 1: v for k, v in enumerate(CODES[table])}, "")
+
+
+# The values that a fact's column may have, the first of which stands for any other.
+FALLBACKS = {
+    "kind": ("function", "class", "method", "import", "variable", "interface", "enum", "constant", "type_alias", "module"),
+    "visibility": ("public", "private", "protected", "internal"),
+    "import_type": ("standard", "relative", "wildcard", "dynamic"),
+    "call_type": ("direct", "indirect", "dynamic", "async"),
+    "relation": ("extends", "implements", "mixin", "composes"),
+    "method": ("ANY", "GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS"),
+    "access": ("read", "write", "read_write"),
+    "publication": ("publish", "emit", "dispatch"),
+    "subscription": ("subscribe", "consume", "handle"),
+}
+
+
+def fallen_back(table: str, value: Column) -> Column:
+    """The value where the table knows it, else the table's first."""
+    known = FALLBACKS[table]
+    low = F.upper(value) if table == "method" else F.lower(value)
+    return F.when(low.isin(*known), low).otherwise(known[0])

@@ -105,3 +105,28 @@ def location(text: Column) -> tuple[Column, Column, Column]:
 def hundredths(numerator: Column, denominator: Column) -> Column:
     """numerator / denominator to two places, half up, in integers; both are integers and the denominator is positive."""
     return F.floor((numerator * 200 + denominator) / (denominator * 2)) / 100
+
+
+def legacy_id(language: Column, path: Column, name: Column, kind: Column, parent: Column) -> Column:
+    """As symbol_fqn, but a module's id has its name."""
+    return symbol_fqn(language, path, name, F.when(kind == "module", F.lit("")).otherwise(kind), parent)
+
+
+def import_id(language: Column, path: Column, imported: Column) -> Column:
+    """language://path::import::first part of the imported name."""
+    return F.concat(language, F.lit("://"), path, F.lit("::import::"), F.substring_index(imported, ".", 1))
+
+
+def blob_text(encoded: Column) -> Column:
+    """The text of a base64 blob with line breaks; null if it is no UTF-8."""
+    return F.try_validate_utf8(F.unbase64(F.regexp_replace(encoded, r"\s", "")).cast("string"))
+
+
+def instant(time: Column) -> Column:
+    """ISO 8601 in UTC, to the second; run ids and records carry it."""
+    return F.date_format(F.to_utc_timestamp(time, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def first_length(*arrays: Column) -> Column:
+    """The length of the first array that is there, 0 if none is."""
+    return F.coalesce(*[F.when(a.isNotNull(), F.size(a)) for a in arrays], F.lit(0))

@@ -72,3 +72,18 @@ def reachable_units(nodes: DataFrame, edges: DataFrame, changed: DataFrame, max_
     found = bfs(edges, start.select("behavior_id", F.col("symbol_id").alias("id")), max_depth, keys=("behavior_id",))
     inside = found.select("behavior_id", F.col("id").alias("symbol_id"))
     return inside.join(nodes.select("behavior_id", "symbol_id"), ["behavior_id", "symbol_id"], "left_semi")
+
+
+def behaviors(entries: DataFrame) -> DataFrame:
+    """behavior_id, root_symbol_id, kind, name, entry_point of entry points (symbol_id, kind, route), one for each handler.
+
+    The name is the last segment of the route; of several routes the first counts.
+    """
+    first = entries.groupBy("symbol_id").agg(F.min(F.struct("route", "kind")).alias("e"))
+    name = F.substring_index(F.rtrim(F.col("e.route"), F.lit("/")), "/", -1)
+    return first.select(F.concat(F.lit("behavior://"), "symbol_id").alias("behavior_id"), F.col("symbol_id").alias("root_symbol_id"), F.col("e.kind").alias("kind"), F.when(F.length(name) > 0, name).otherwise(F.col("e.route")).alias("name"), F.col("e.route").alias("entry_point"))
+
+
+def entry_points(behaviors: DataFrame) -> DataFrame:
+    """id, behavior_id, symbol_id, kind, route: where each behaviour starts."""
+    return behaviors.select(F.concat(F.lit("entry://"), "behavior_id").alias("id"), "behavior_id", F.col("root_symbol_id").alias("symbol_id"), "kind", F.col("entry_point").alias("route"))

@@ -113,6 +113,14 @@ class ChangeFacts:
                 parts.append(rows.join(ids, "symbol_id", "left_semi").select(F.col("symbol_id").alias("id"), F.lit(contract).alias("contract"), F.lit(label).alias("change_kind"), text.alias("detail")))
         return reduce(DataFrame.unionByName, parts)
 
+    @property
+    def modified_contracts(self) -> DataFrame:
+        """id, contract of every modified symbol; one whose contract is as it was has an empty body change."""
+        changes = self.symbols
+        own = contract_changes(changes)
+        rest = changes.filter("change = 'MODIFIED'").select("id").join(own, "id", "left_anti").select("id", F.lit("body").alias("contract"))
+        return own.withColumn("empty", F.lit(False)).unionByName(rest.withColumn("empty", F.lit(True)))
+
     def counts(self) -> DataFrame:
         """section, n: how many of everything, the compatibility views (added, removed, modified symbols) included."""
         tables = {"symbols": self.symbols, "calls": self.calls, "references": self.references, "imports": self.imports, "contracts": self.contracts}

@@ -107,3 +107,77 @@ def metrics(**counts: DataFrame) -> DataFrame:
 
     rows = [df.agg(F.count("*").alias(name)) for name, df in counts.items()]
     return reduce(DataFrame.crossJoin, rows)  # single rows
+
+
+def named(symbols: DataFrame, words: tuple[str, ...]) -> DataFrame:
+    """id and name of the symbols whose name holds one of the words (queues, replays)."""
+    return symbols.filter(K.holds(F.col("name"), words)).select("id", "name")
+
+
+def workers(symbols: DataFrame) -> DataFrame:
+    """id of symbols that work in the background, by their name or their decorators (text, if the table has them)."""
+    held = K.holds(F.col("name"), K.WORKER)
+    if "decorators" in symbols.columns:
+        held = held | K.holds(F.coalesce("decorators", F.lit("")), K.WORKER)
+    return symbols.filter(held).select("id")
+
+
+def coverage_references(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """id, reference: the name of a symbol that speaks of coverage, else its file's path in lower case if that does."""
+    path = F.lower(F.coalesce("path", F.lit("")))
+    joined = symbols.join(files.select(F.col("id").alias("file_id"), "path"), "file_id", "left")
+    reference = F.when(K.holds(F.col("name"), K.COVERAGE), F.col("name")).when(K.holds(path, K.COVERAGE), path)
+    return joined.select("id", reference.alias("reference")).filter("reference is not null")
+
+
+#: The table that entry points of a kind belong to, and what stands for a missing first part.
+API_TABLES = {"rest_endpoint": "rest", "graphql_resolver": "graphql", "rpc_handler": "rpc", "cli_command": "cli", "scheduled_job": "cron", "worker_entry": "workers"}
+
+
+def api_tables(entries: DataFrame, near: DataFrame) -> DataFrame:
+    """table, first, second, handler_id of entry points whose handlers are in ``near`` (id), each once.
+
+    entries: kind, route, handler_id, detail (GraphQL type, schedule or worker name, null if unknown).  first and second are
+    method and path, type and field, service and method; a command alone; schedule and job; a worker's name alone.
+    """
+    kind, route, detail = F.col("kind"), F.col("route"), F.col("detail")
+    of = lambda sep: (F.substring_index(route, sep, 1), F.element_at(F.split(route, sep, 2), -1), F.contains(route, F.lit(sep)))
+    (method, path, spaced), (service, call, slashed) = of(" "), of("/")
+    first = (
+        F.when(kind == "rest_endpoint", F.when(spaced, method).otherwise("GET"))
+        .when(kind == "graphql_resolver", F.coalesce(detail, F.lit("query")))
+        .when(kind == "rpc_handler", F.when(slashed, service).otherwise("default"))
+        .when(kind == "scheduled_job", F.coalesce(detail, F.lit("unknown")))
+        .when(kind == "worker_entry", F.coalesce(detail, route))
+        .otherwise(route)
+    )
+    second = (
+        F.when(kind == "rest_endpoint", F.when(spaced, path).otherwise(route))
+        .when(kind == "graphql_resolver", F.substring_index(route, "/", -1))
+        .when(kind == "rpc_handler", F.when(slashed, call).otherwise(route))
+        .when(kind == "scheduled_job", route)
+        .otherwise("")
+    )
+    table = F.create_map(*[F.lit(x) for pair in API_TABLES.items() for x in pair])
+    own = entries.join(near.select(F.col("id").alias("handler_id")), "handler_id", "left_semi")
+    rows = own.select(F.element_at(table, kind).alias("table"), first.alias("first"), second.alias("second"), "handler_id")
+    return rows.filter("table is not null").distinct()
+
+
+def composed(**models: DataFrame | None) -> dict[str, DataFrame]:
+    """The models of a change by name; repository, change and behavior must be there, others may be None and are left out."""
+    if missing := [name for name in ("repository", "change", "behavior") if models.get(name) is None]:
+        raise ValueError(f"models are missing: {', '.join(missing)}")
+    return {name: model for name, model in models.items() if model is not None}
+
+
+def discovery_projection(chains: DataFrame, models: dict[str, DataFrame]) -> DataFrame:
+    """unit_id, symbol_id, behavior_id, place, and in which of the further models (tables with a symbol_id) the symbol occurs.
+
+    chains: behavior_id, symbol_id, place.
+    """
+    out = chains.select(F.format_string("unit://%d#%d", "behavior_id", "symbol_id").alias("unit_id"), "symbol_id", "behavior_id", "place")
+    for name in sorted(models):
+        marks = models[name].select("symbol_id").distinct().withColumn(name, F.lit(True))
+        out = out.join(marks, "symbol_id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return out

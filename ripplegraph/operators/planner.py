@@ -80,3 +80,25 @@ def language_vote(paths: DataFrame) -> DataFrame:
     votes = paths.agg(*[vote(ends).alias(name) for name, ends in LANGUAGES])
     rows = votes.select(F.inline(F.array(*[F.struct(F.lit(name).alias("language"), F.col(name).alias("votes"), F.lit(k).alias("k")) for k, (name, _) in enumerate(LANGUAGES)])))
     return rows.orderBy(F.desc("votes"), "k").limit(1).select("language", "votes")
+
+
+def materialization_plan(paths: DataFrame, tree: DataFrame, status: DataFrame) -> DataFrame:
+    """path, action: what is to be done for each path asked for, once: index, skip (indexed from this blob) or missing.
+
+    paths: path, with slashes either way; tree: path, type, blob_sha; status: path, indexed_status, blob_sha.
+    """
+    from ..functions.names import normal_path
+
+    asked = paths.select(normal_path(F.col("path")).alias("path")).distinct()
+    blobs = tree.filter("type = 'blob'").select("path", F.col("blob_sha").alias("now"))
+    done = status.filter("indexed_status = 'indexed'").select("path", F.col("blob_sha").alias("before"))
+    joined = asked.join(blobs, "path", "left").join(done, "path", "left")
+    action = F.when(F.col("now").isNull(), "missing").when(F.col("now") == F.col("before"), "skip").otherwise("index")
+    return joined.select("path", action.alias("action"))
+
+
+def blobs_at(paths: DataFrame, tree: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path, text) of the blobs at the paths, each once, and the paths that have none: what came does not wait for what failed."""
+    asked = paths.select("path").distinct()
+    blobs = tree.filter("type = 'blob' and text is not null").select("path", "text")
+    return blobs.join(asked, "path", "left_semi"), asked.join(blobs, "path", "left_anti")

@@ -53,6 +53,39 @@ def resolve_callees(raw: DataFrame, symbols: DataFrame, imported: DataFrame, clo
     return joined.select("call_id", best.alias("b")).select("call_id", "b.callee_id", "b.rule")
 
 
+def resolve_bases(type_rels: DataFrame, symbols: DataFrame, imported: DataFrame) -> DataFrame:
+    """class_id, base_name, base_id, rule of base classes that are found: 1 in the same file, 2 imported, 3 any of that name.
+
+    type_rels: class_id, file_id, base_name; symbols: id, name, file_id, kind, parent_symbol_id; imported: file_id, name,
+    symbol_id.  Rule 3 takes classes that are members of nothing; of several the smallest id counts.
+    """
+    classes = symbols.filter("kind in ('class', 'interface') and parent_symbol_id is null")
+    local = classes.groupBy("file_id", F.col("name").alias("base_name")).agg(F.min("id").alias("b1"))
+    known = imported.groupBy("file_id", F.col("name").alias("base_name")).agg(F.min("symbol_id").alias("b2"))
+    named = classes.groupBy(F.col("name").alias("base_name")).agg(F.min("id").alias("b3"))
+    joined = type_rels.join(local, ["file_id", "base_name"], "left").join(known, ["file_id", "base_name"], "left").join(named, "base_name", "left")
+    rule = F.when(F.col("b1").isNotNull(), 1).when(F.col("b2").isNotNull(), 2).when(F.col("b3").isNotNull(), 3)
+    return joined.select("class_id", "base_name", F.coalesce("b1", "b2", "b3").alias("base_id"), rule.alias("rule")).filter("base_id is not null")
+
+
+def resolve_callees_by_name(raw: DataFrame, symbols: DataFrame) -> DataFrame:
+    """call_id, callee_id: the first symbol of that name if it is the only one, else that of the same file, else the first."""
+    named = symbols.groupBy("name").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    local = symbols.groupBy("file_id", "name").agg(F.min("id").alias("own"))
+    joined = raw.join(named, "name").join(local, ["file_id", "name"], "left")
+    return joined.select("call_id", F.when(F.col("n") == 1, F.col("first")).otherwise(F.coalesce("own", "first")).alias("callee_id"))
+
+
+def reverse_index(edges: DataFrame) -> DataFrame:
+    """dst, sources: who points at each symbol, sorted; a hub's list is as long as it has callers."""
+    return edges.select("src", "dst").distinct().groupBy("dst").agg(F.array_sort(F.collect_list("src")).alias("sources"))
+
+
+def waiting_index(raw: DataFrame, resolved: DataFrame) -> DataFrame:
+    """name, file_id: the files whose calls (call_id, file_id, name) wait for a symbol of that name."""
+    return raw.join(resolved.filter("callee_id is not null").select("call_id"), "call_id", "left_anti").select("name", "file_id").distinct()
+
+
 def affected_files(changed: DataFrame, deleted_symbols: DataFrame, added_names: DataFrame, calls: DataFrame, imports: DataFrame, waiting: DataFrame, symbols: DataFrame) -> DataFrame:
     """Files (id) whose edges an incremental update must resolve anew.
 

@@ -64,3 +64,21 @@ def resolve(tree: DataFrame, status: DataFrame, requirements: list[tuple[str, st
         index(rest)
         done, out.fallback, out.complete = done.union(rest), True, True
     return done, out
+
+
+class Demand:
+    """Lookups that ask for what they lack: each requirement is resolved once, then the lookup runs again."""
+
+    def __init__(self, resolve_all: Callable[[list[tuple[str, str]]], None]):
+        self.resolve_all, self.resolved = resolve_all, set()
+
+    def answer(self, lookup: Callable[[], tuple], requirements: list[tuple[str, str]]) -> tuple:
+        """(rows, complete) of a lookup; complete too where all it needs was resolved, whatever that found."""
+        rows, complete = lookup()
+        if complete:
+            return rows, True
+        if todo := [r for r in dict.fromkeys(requirements) if r not in self.resolved]:
+            self.resolved.update(todo)
+            self.resolve_all(todo)
+            rows, complete = lookup()
+        return rows, complete or all(r in self.resolved for r in requirements)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load():
-    from . import behavior, context, core, encode, lookups, models, review, sources  # noqa: F401  each registers its queries with core
+    from . import behavior, context, core, encode, lookups, models, review, sources, surfaces  # noqa: F401  each registers its queries with core
 
     return core
 

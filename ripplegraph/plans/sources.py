@@ -54,6 +54,77 @@ _register("java", "method", "Holder.")
 _register("typescript", "function", "")
 
 
+# Sources with facts of every kind: a piece for each symbol by its id, of as many templates as a language has.
+_PIECES = {
+    "python": (
+        '@router.post("/r/{n}")\ndef {n}(a):\n    return helper(a)',
+        'class {n}(Model):\n    __tablename__ = "t_{n}"\n    total = 1\n    owner = ForeignKey("User")',
+        'def test_{n}(client):\n    assert client\n    self.assertEqual(1, 1)',
+        'def {n}():\n    bus.publish("e_{n}")\n    return os.getenv("K_{n}")',
+    ),
+    "java": (
+        '  @PostMapping("/r/{n}")\n  public String {n}(int a) { return helper(a); }',
+        '  @Test\n  void {n}() { assertTrue(true); }',
+        '  void {n}() { bus.publish("e_{n}"); System.getenv("K_{n}"); }',
+    ),
+    "typescript": (
+        'export class {n} extends Base implements Shape {\n  area(): number { return compute(this.w); }\n}',
+        "app.get('/r/{n}', {n}Handler);",
+        'enum {n} { Red }',
+    ),
+}
+_WRAP = {
+    "python": ("import os\nfrom lib.models import Model", ""),
+    "java": ("import lib.models.Base;\npublic class Holder extends Base {", "}"),
+    "typescript": ("import { A } from './a';", ""),
+}
+
+# (template, fact, name, owner, target, detail); None as the template: once a file.
+_FOUND = {
+    "python": (
+        (None, "import", "'os'", None, "'os'", "'standard'"), (None, "import", "'Model'", None, "'lib.models'", "'from'"),
+        (0, "symbol", "n", None, None, "'function'"), (0, "endpoint", "'/r/' || n", "n", "n", "'POST'"), (0, "call", "'post'", "n", "'router'", None), (0, "call", "'helper'", "n", None, None),
+        (1, "symbol", "n", None, None, "'class'"), (1, "type", "n", None, "'Model'", "'inherits'"), (1, "relationship", "'owner'", "n", "'User'", "'ForeignKey'"), (1, "model", "n", None, "'t_' || n", "'total,owner'"), (1, "call", "'ForeignKey'", "n", None, None),
+        (2, "symbol", "'test_' || n", None, None, "'function'"), (2, "test", "'test_' || n", None, "'client'", "'2'"), (2, "call", "'assertEqual'", "'test_' || n", "'self'", None),
+        (3, "symbol", "n", None, None, "'function'"), (3, "call", "'publish'", "n", "'bus'", None), (3, "event", "'e_' || n", "n", None, "'publish'"), (3, "call", "'getenv'", "n", "'os'", None), (3, "config", "'K_' || n", "n", None, "'environment'"),
+    ),
+    "java": (
+        (None, "import", "'Base'", None, "'lib.models.Base'", "'standard'"), (None, "symbol", "'Holder'", None, None, "'class'"), (None, "type", "'Holder'", None, "'Base'", "'extends'"),
+        (0, "symbol", "n", "'Holder'", None, "'method'"), (0, "endpoint", "'/r/' || n", "'Holder.' || n", "n", "'POST'"), (0, "call", "'helper'", "'Holder.' || n", None, None),
+        (1, "symbol", "n", "'Holder'", None, "'method'"), (1, "test", "n", "'Holder'", None, "'1'"), (1, "call", "'assertTrue'", "'Holder.' || n", None, None),
+        (2, "symbol", "n", "'Holder'", None, "'method'"), (2, "call", "'publish'", "'Holder.' || n", "'bus'", None), (2, "event", "'e_' || n", "'Holder.' || n", None, "'publish'"), (2, "call", "'getenv'", "'Holder.' || n", "'System'", None), (2, "config", "'K_' || n", "'Holder.' || n", None, "'property'"),
+    ),
+    "typescript": (
+        (None, "import", "'A'", None, "'./a'", "'from'"),
+        (0, "symbol", "n", None, None, "'class'"), (0, "type", "n", None, "'Base'", "'extends'"), (0, "type", "n", None, "'Shape'", "'implements'"), (0, "symbol", "'area'", "n", None, "'method'"), (0, "call", "'compute'", "n || '.area'", None, None),
+        (1, "endpoint", "'/r/' || n", "n || 'Handler'", "n || 'Handler'", "'GET'"),
+        (2, "symbol", "n", None, None, "'enum'"),
+    ),
+}
+
+
+def _register_facts(language: str) -> None:
+    pieces, (head, tail) = _PIECES[language], _WRAP[language]
+    value = lambda x: "CAST(NULL AS VARCHAR)" if x is None else x
+    parts = []
+    for template, fact, name, owner, target, detail in _FOUND[language]:
+        where = f"t = {template}" if template is not None else "first"
+        parts.append(f"SELECT path, '{fact}' AS fact, {name} AS name, {value(owner)} AS owner, {value(target)} AS target, {value(detail)} AS detail FROM s WHERE {where}")
+    own = f"@ s AS (SELECT f.path, s.name AS n, s.id % {len(pieces)} AS t, s.id = min(s.id) OVER (PARTITION BY f.path) AS first FROM symbols s JOIN files f ON f.id = s.file_id WHERE f.language = '{language}') "
+
+    @query(f"{language}_facts_extract", "symbols files", own + " UNION ALL ".join(parts))
+    def _(f: Facts) -> DataFrame:
+        own = f.symbols.join(f.files.filter(F.col("language") == language).select(F.col("id").alias("file_id"), "path"), "file_id")
+        template = F.element_at(F.array(*[F.lit(p) for p in pieces]), (F.col("id") % len(pieces) + 1).cast("int"))
+        grouped = own.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("id", F.replace(template, F.lit("{n}"), F.col("name")).alias("body")))).alias("b"))
+        content = F.concat_ws("\n", F.lit(head), F.array_join(F.transform("b", lambda x: x["body"]), "\n"), F.lit(tail))
+        return extract.extract(grouped.select("path", content.alias("content"))).select("path", "fact", "name", "owner", "target", "detail")
+
+
+for _language in _PIECES:
+    _register_facts(_language)
+
+
 # A diff for each order: a file with a hunk, a line removed and as many added as the order has lines.
 _DIFF = "SELECT CAST(l_orderkey AS BIGINT) AS diff_id, count(*) AS n FROM lineitem GROUP BY 1"
 

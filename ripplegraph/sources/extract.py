@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,17 +30,24 @@ def language_of(path) -> F.Column:
 def extract(files: DataFrame) -> DataFrame:
     """The facts of files (path, content)."""
     columns = [c.split()[0] for c in SCHEMA.split(", ")]
+    kinds = [pa.int32() if c.endswith(" int") else pa.string() for c in SCHEMA.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
         for batch in batches:
-            rows = []
-            for path, content, language in batch.itertuples(index=False):
+            for path, content, language in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if reader := READERS.get(language):
                     for fact in reader(content or ""):
-                        rows.append({"path": path, "language": language, "owner": None, "target": None, "detail": None, "end_line": fact.get("line")} | fact)
-            yield pd.DataFrame(rows, columns=columns).astype({"line": "Int32", "end_line": "Int32"})
+                        rows.append({"path": path, "language": language, "end_line": fact.get("line")} | fact)
+                        if len(rows) >= 10_000:
+                            yield out(rows)
+                            rows = []
+        yield out(rows)
 
-    return files.select("path", "content", language_of(F.col("path")).alias("language")).mapInPandas(run, SCHEMA)
+    def out(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], k) for c, k in zip(columns, kinds, strict=True)], names=columns)
+
+    return files.select("path", "content", language_of(F.col("path")).alias("language")).mapInArrow(run, SCHEMA)
 
 
 def unseen(files: DataFrame, cache: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -21,6 +22,7 @@ RELATION = re.compile(r"@(OneToOne|OneToMany|ManyToOne|ManyToMany)\b")
 COLUMN = re.compile(r"@(?:Column|JoinColumn)\s*\([^)]*?\bname\s*=\s*\"([^\"]*)\"")
 REPOSITORY = re.compile(r"\b(\w*Repository)\s*<\s*(\w+)")
 PLAIN = {"String", "Integer", "Long", "Short", "Byte", "Double", "Float", "Boolean", "Character", "Object"}
+BEFORE = re.compile(r"(?:@|new)\s*\Z")
 KEYWORDS = {"if", "for", "while", "switch", "catch", "return", "new", "throw", "else", "super", "this", "synchronized", "try", "do", "assert"}
 
 
@@ -44,6 +46,8 @@ def facts(source: str) -> Iterator[dict]:
         if re.search(r"@(Entity|Document|Table)\b", before):
             models.add(m[2])
             yield {"fact": "model", "name": m[2], "target": next(iter(re.findall(r"@Table\([^)]*name\s*=\s*\"([^\"]*)\"", text[max(0, m.start() - 200) : m.start()])), None), "line": line.of(m.start(1))}
+    marks = [m.start() for m in re.finditer("[};{]", code)]
+    after = lambda at: marks[k - 1] + 1 if (k := bisect.bisect_left(marks, at)) else 0  # noqa: E731  where what stands at a place begins
     starts = set()
     for m in METHOD.finditer(code):
         if m[1] in KEYWORDS or m[2] in KEYWORDS or m[1] in ("class", "new"):
@@ -53,8 +57,7 @@ def facts(source: str) -> Iterator[dict]:
         own = f"{cls}.{m[2]}" if cls else m[2]
         yield {"fact": "symbol", "name": m[2], "owner": cls, "detail": "method", "line": line.of(m.start(2)), "end_line": line.of(end)}
         scopes.add(m.end() - 1, end, "method", m[2])
-        first = max(code.rfind(c, 0, m.start()) for c in "};{") + 1
-        head = text[first : m.start(2)]
+        head = text[after(m.start()) : m.start(2)]
         for a in MAPPING.finditer(head):
             yield {"fact": "endpoint", "name": a[2] or "/", "owner": own, "target": m[2], "detail": "ANY" if a[1] == "Request" else a[1].upper(), "line": line.of(m.start(2))}
         for a in LISTENER.finditer(head):
@@ -65,8 +68,7 @@ def facts(source: str) -> Iterator[dict]:
         cls = scopes.owner(m.start(1), "class")
         if not cls or scopes.owner(m.start(1), "method"):
             continue
-        first = max(code.rfind(c, 0, m.start()) for c in "};{") + 1
-        head, target = text[first : m.start(1)], (m[2] or m[1]).rsplit(",", 1)[-1].strip()
+        head, target = text[after(m.start()) : m.start(1)], (m[2] or m[1]).rsplit(",", 1)[-1].strip()
         if target not in PLAIN:
             yield {"fact": "type", "name": cls, "target": target, "detail": "composes", "line": line.of(m.start(3))}
         if cls.rsplit(".", 1)[-1] in models:
@@ -75,7 +77,7 @@ def facts(source: str) -> Iterator[dict]:
     for m in CALL.finditer(code):
         owner = scopes.owner(m.start(2), "class", "method")
         inside = scopes.owner(m.start(2), "method")
-        if inside and m[2] not in KEYWORDS and m.start(2) not in starts and not code[: m.start()].rstrip().endswith(("@", "new")):
+        if inside and m[2] not in KEYWORDS and m.start(2) not in starts and not BEFORE.search(code, max(0, m.start() - 40), m.start()):
             yield {"fact": "call", "name": m[2], "owner": owner, "target": m[1], "line": line.of(m.start(2))}
     for m in PUBLISH.finditer(text):
         yield {"fact": "event", "name": m[2] or m[3], "owner": scopes.owner(m.start(), "class", "method"), "detail": "publish", "line": line.of(m.start())}

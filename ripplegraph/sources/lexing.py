@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 
 _TOKEN = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
@@ -39,20 +40,38 @@ class Lines:
         self.starts = [0] + [m.end() for m in re.finditer("\n", text)]
 
     def of(self, at: int) -> int:
-        import bisect
-
         return bisect.bisect_right(self.starts, at)
 
 
 class Scopes:
-    """Named blocks, innermost last."""
+    """Named blocks, innermost last.  Blocks nest; the blocks around a place are found from the last that starts before it."""
 
     def __init__(self):
         self.blocks: list[tuple[int, int, str, str]] = []
+        self.order: list[tuple[int, int, str, str]] | None = None
 
     def add(self, start: int, end: int, kind: str, name: str) -> None:
         self.blocks.append((start, end, kind, name))
+        self.order = None
+
+    def _index(self) -> None:
+        self.order = sorted(self.blocks)
+        self.starts = [b[0] for b in self.order]
+        # the nearest earlier block that has not ended where a block starts
+        self.outer, open_ = [], []
+        for k, block in enumerate(self.order):
+            while open_ and self.order[open_[-1]][1] < block[0]:
+                open_.pop()
+            self.outer.append(open_[-1] if open_ else -1)
+            open_.append(k)
 
     def owner(self, at: int, *kinds: str) -> str | None:
-        held = sorted((s, n) for s, e, k, n in self.blocks if s < at <= e and k in kinds)
-        return ".".join(n for _, n in held) or None
+        if self.order is None:
+            self._index()
+        names, k = [], bisect.bisect_left(self.starts, at) - 1
+        while k >= 0:
+            _, end, kind, name = self.order[k]
+            if at <= end and kind in kinds:
+                names.append(name)
+            k = self.outer[k]
+        return ".".join(reversed(names)) or None

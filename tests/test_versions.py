@@ -97,3 +97,84 @@ def test_versions_are_registered_once(spark, tmp_path):
     assert store.register("r", "a") == store.register("r", "a") == "r@a"
     store.register("r", "b", "a")
     assert sorted((r["id"], r["parent_version_id"]) for r in store.versions().collect()) == [("r@a", None), ("r@b", "r@a")]
+
+
+def broken(spark, schema):
+    """Rows whose job fails."""
+    from pyspark.sql import functions as F
+
+    return spark.createDataFrame([(1, "a.py", "python", "active")], FILES).withColumn("id", F.raise_error(F.lit("broken")).cast("long"))
+
+
+def test_a_failed_write_leaves_the_version_as_it_was(spark, tmp_path):
+    store = store_with_two_versions(spark, tmp_path)
+    try:
+        store.write("files", "r", "base", broken(spark, FILES))
+    except Exception as e:
+        assert "broken" in str(e)
+    else:
+        raise AssertionError
+    assert ids(store.read("files", "r", "base")) == [1, 2]
+
+
+def test_a_transaction_counts_as_a_whole(spark, tmp_path):
+    store = store_with_two_versions(spark, tmp_path)
+    rows = spark.createDataFrame([(7, "z.py", "python", "active")], FILES)
+    try:
+        with store.transaction("r", "base") as t:
+            t.write("files", rows)
+            t.delete_file(2)
+            assert ids(t.read("files")) == [7]
+            raise KeyError("stop")
+    except KeyError:
+        pass
+    assert ids(store.read("files", "r", "base")) == [1, 2] and store.read("calls", "r", "base").count() == 1
+    with store.transaction("r", "base") as t:
+        t.replace_file(2, {"symbols": spark.createDataFrame([(21, "new", 2)], "id long, name string, file_id long"), "calls": spark.createDataFrame([], "file_id long, caller_id long, callee_id long, call_type string")})
+        t.record_tree(spark.createDataFrame([("a.py", "blob", "s", 3)], "path string, type string, blob_sha string, size long"), complete=False)
+        t.set_flag("indexed_complete")
+    assert ids(store.read("symbols", "r", "base")) == [10, 21] and store.read("calls", "r", "base").count() == 0
+    assert store.flag("indexed_complete", "r", "base") and not store.flag("tree_complete", "r", "base") and store.next_id("symbols", "r", "base") == 22
+
+
+def test_of_two_writers_from_one_state_the_second_fails(spark, tmp_path):
+    import pytest
+
+    from ripplegraph.sources.commits import Conflict
+
+    store = store_with_two_versions(spark, tmp_path)
+    row = lambda i: spark.createDataFrame([(i, "x.py", "python", "active")], FILES)
+    first, second = store.transaction("r", "base"), store.transaction("r", "base")
+    a, b = first.__enter__(), second.__enter__()
+    a.write("files", row(1))
+    b.write("files", row(2))
+    first.__exit__(None, None, None)
+    with pytest.raises(Conflict):
+        second.__exit__(None, None, None)
+    assert ids(store.read("files", "r", "base")) == [1]
+
+
+def test_a_version_must_be_there(spark, tmp_path):
+    import pytest
+
+    store = store_with_two_versions(spark, tmp_path)
+    with pytest.raises(LookupError):
+        store.read("files", "r", "other")
+    assert store.read("refs", "r", "base").count() == 0
+
+
+def test_inconsistent_facts_abort(spark):
+    import pytest
+
+    calls, symbols = spark.createDataFrame([(1, 2)], "caller_id long, callee_id long"), spark.createDataFrame([(1,)], "id long")
+    with pytest.raises(change.Inconsistent, match="unknown symbol 2"):
+        change.require_consistent(change.referential_errors(calls, "callee_id", symbols, "unknown symbol %d"))
+    change.require_consistent(change.referential_errors(calls, "caller_id", symbols, "unknown symbol %d"))
+
+
+def test_scope_and_classification(spark):
+    files = lambda n: spark.createDataFrame([(k, "added", 1) for k in range(n)], "file_id long, change_type string, symbols long")
+    kinds = lambda *c: spark.createDataFrame([(x,) for x in c], "change string")
+    of = lambda n, *c: change.change_summary(files(n), files(0), kinds(*c)).select("scope", "classification").first()
+    assert [tuple(of(n, "ADDED")) for n in (0, 1, 2, 5, 6)] == [("local", "addition"), ("local", "addition"), ("multi_file", "addition"), ("multi_file", "addition"), ("wide", "addition")]
+    assert [of(1, *c)[1] for c in (("ADDED", "REMOVED"), ("ADDED", "MODIFIED"), ("REMOVED", "MODIFIED"), ("MODIFIED",))] == ["mixed", "modification", "removal", "modification"]
