@@ -1,11 +1,12 @@
 """Sharding by a two-pass external shuffle (native: DataFrame functions only).
 
-Pass one scatters the records with a seeded hash over buckets that fit in memory; pass two permutes each bucket by
-Fisher-Yates (Spark's ``shuffle`` of an array) and writes it.  The buckets in order form one long permutation, which
+Pass one scatters the records with a seeded hash over buckets that fit in memory, a task for each bucket, however many
+there are; pass two permutes each bucket by Fisher-Yates (Spark's ``shuffle`` of an array) and writes it.  The buckets in order form one long permutation, which
 is cut into shards whose row counts differ by one at most (the law ``rows``).
 
 Defined results: a null text has no bytes; a null or repeated id is a record like any other; an empty table gives an
-empty result.  Records are kept whole in ``record``, so clashing column names do not matter.
+empty result.  A record larger than a bucket is held by one task, as any record is.  Records are kept whole in
+``record``, so clashing column names do not matter.  One seed gives one order for the same files read in the same splits.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ def shuffled_shards(docs: DataFrame, shards: int = 40, seed: int = 20_11, bucket
     buckets = max(1, -(-total // bucket_bytes))
     scattered = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "_id", "_rid"), F.lit(buckets)))
     permuted = (
-        scattered.groupBy("bucket")
+        scattered.repartitionById(buckets, F.col("bucket").cast("int"))
+        .groupBy("bucket")
         .agg(F.array_sort(F.collect_list(F.struct("_rid", "size", "record"))).alias("rows"))
         .select("bucket", F.posexplode(F.shuffle("rows", seed)).alias("pos", "row"))
         .select("bucket", "pos", "row.size", "row.record")

@@ -38,3 +38,24 @@ def test_buckets_stay_small(make, spark):
     docs = make([(5, "same text")] * 2000)
     buckets = docs.select(F.pmod(F.xxhash64(F.lit(1), "doc_id", F.monotonically_increasing_id()), F.lit(50)).alias("b")).groupBy("b").count().agg(F.max("count")).first()[0]
     assert buckets < 90
+
+
+def test_against_plain_two_passes(make):
+    """Buckets as the seeded hash deals them, each in some order, one behind the other, cut into even shards."""
+    docs = make([(k % 900, f"text {k}") for k in range(1000)]).coalesce(1)
+    buckets, seed = -(-sum(len(f"text {k}") + 16 for k in range(1000)) // 512), 3
+    bucket = F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.monotonically_increasing_id()), F.lit(buckets))
+    of = {r["text"]: r["b"] for r in docs.select("text", bucket.alias("b")).collect()}
+    out = places(docs, shards=7, seed=seed, bucket_bytes=512).sort_values(["shard", "slot"])
+    dealt = out["text"].map(of).tolist()
+    assert dealt == sorted(dealt) and set(out["text"]) == set(of)
+    own = out["text"].str[5:].astype(int).groupby([*[dealt]]).apply(list)
+    assert sum(x == sorted(x) for x in own if len(x) > 3) <= 2
+    bounds = [-(-s * 1000 // 7) for s in range(8)]
+    assert out["shard"].tolist() == [s for s in range(7) for _ in range(bounds[s], bounds[s + 1])]
+
+
+def test_records_larger_than_a_bucket(make):
+    rows = [(k, "x" * 5000) for k in range(3)] + [(k, "y") for k in range(3, 300)]
+    out = places(make(rows), shards=4, bucket_bytes=1024)
+    assert sorted(out["doc_id"]) == list(range(300)) and out["size"].max() == 5016
