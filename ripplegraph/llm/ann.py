@@ -130,8 +130,11 @@ class Index:
 
 
 def fit_index(x: np.ndarray, rows: int, k: int, target: float, part_rows: int = 1000, most_parts: int = 256, graph_k: int = 10) -> Index:
-    """Learn on a sample x of ``rows`` points."""
-    parts = min(most_parts, rows // part_rows, len(x) // 32)
+    """Learn on a sample x of ``rows`` points: a part for each ``part_rows``, four at least, ``most_parts`` at most.
+
+    A part has 32 rows of the sample at least, so that fewer than 64 points make one part.
+    """
+    parts = min(most_parts, max(4, rows // part_rows), len(x) // 32)
     if parts < 2:
         return Index(None, 1, 1, 1.0)
     scale = float(np.sqrt((x**2).sum(axis=1).mean())) or 1.0

@@ -4,7 +4,8 @@ The trees are grown on the driver from a bounded sample of labelled rows (``max_
 into arrays, and traversed level by level with numpy for a whole batch at once.
 
 Defined results: a null or empty text has the statistics of an empty text and is scored like any other; rows without
-an id are scored and never learnt from; an id with several labels counts as its lowest; without labels, or with labels
+an id are scored and never learnt from; an id with several labels counts as its lowest, and with
+several texts as that of the least hash; without labels, or with labels
 of one class, the score is that class's smoothed share (0.5 without labels); an empty table gives an empty result.
 """
 
@@ -151,9 +152,10 @@ def train(docs: DataFrame, labels: DataFrame, keep, max_rows: int = 20_000, labe
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = matrix(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "key", "x"])
 
-    rows = sample.select("doc_id", "text", F.col("y").cast("double")).mapInArrow(released(features), "doc_id long, y double, x array<double>").orderBy("doc_id").limit(2 * max_rows).toPandas()
+    rows = sample.select("doc_id", "text", F.col("y").cast("double"), F.xxhash64("text").alias("key")).mapInArrow(released(features), "doc_id long, y double, key long, x array<double>")
+    rows = rows.groupBy("doc_id").agg(F.first("y").alias("y"), F.min_by("x", F.struct("key", "x")).alias("x")).toPandas().sort_values("doc_id")  # max_rows rows at most
     x = np.stack(rows["x"].to_list()) if len(rows) else np.zeros((0, len(FEATURES)))
     return fit(x, (rows["y"].to_numpy() > 0).astype(float) if len(rows) else np.zeros(0))
 

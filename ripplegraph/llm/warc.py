@@ -146,8 +146,13 @@ class RangeScanner:
         return None
 
 
+def _length(value: str | None, other: int) -> int:
+    """A length that a header states, or the other where it states none that is a number."""
+    return int(value) if value is not None and value.isascii() and value.isdigit() else other
+
+
 def parse_record(raw: bytes) -> dict | None:
-    """Header fields and payload of one record; None if its header does not end."""
+    """Header fields and payload of one record; None if its header does not end.  Lengths that are no numbers are left out."""
     head, sep, rest = raw.partition(b"\r\n\r\n")
     if not sep:
         return None
@@ -155,12 +160,12 @@ def parse_record(raw: bytes) -> dict | None:
     for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
         name, _, value = line.partition(":")
         fields[name.strip().lower()] = value.strip()
-    payload = rest[: int(fields.get("content-length", len(rest)))]
+    payload = rest[: _length(fields.get("content-length"), len(rest))]
     kind, digest = fields.get("warc-type"), fields.get("warc-payload-digest", "").partition(":")[2] or None
     urn = lambda v: None if v is None else v.strip("<>").removeprefix("urn:page:")
     return {
         "record_type": kind, "record_id": urn(fields.get("warc-record-id")), "target_uri": fields.get("warc-target-uri"), "refers_to": urn(fields.get("warc-refers-to")),
-        "payload_digest": digest, "payload_bytes": int(fields.get("x-payload-length", len(payload))), "payload": payload,
+        "payload_digest": digest, "payload_bytes": _length(fields.get("x-payload-length"), len(payload)), "payload": payload,
         "digest_ok": kind == "revisit" or digest is None or hashlib.sha256(payload).hexdigest() == digest,
     }
 

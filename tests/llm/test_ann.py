@@ -81,3 +81,10 @@ def test_many_different_vectors_tie_at_the_edge(spark):
     """60 different vectors of one score: the smallest ids are the nearest."""
     rows = [(0, [1.0] + [0.0] * 60)] + [(i, [0.5] + [float(j == i) for j in range(1, 61)]) for i in range(1, 61) if i != 20]
     assert [i for _, i, _ in results(spark, rows)[0]] == [1, 2, 3, 4, 5]
+
+
+def test_small_samples_have_partitions_too():
+    x = np.random.default_rng(5).normal(size=(500, 8))
+    index = ann.fit_index(x, 500, 20, 0.98)
+    assert index.parts == 4 and 1 <= index.visits <= 4 and set(index.assign(x, 1)[:, 0].tolist()) == {0, 1, 2, 3}
+    assert ann.fit_index(x[:63], 63, 20, 0.98).parts == 1

@@ -48,3 +48,10 @@ def test_false_magic_is_not_a_record(tmp_path):
 def test_empty(spark, tmp_path):
     warc.write_archives(pages(spark, [(1, "a")]).limit(0), f"file://{tmp_path}/a")
     assert read(spark, f"file://{tmp_path}/a", 100) == []
+
+
+def test_lengths_that_are_no_numbers():
+    for bad in (b"x", b"-3", b"", "１".encode()):
+        record = warc.parse_record(b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: " + bad + b"\r\nX-Payload-Length: " + bad + b"\r\n\r\nbody")
+        assert record["payload"] == b"body" and record["payload_bytes"] == 4
+    assert warc.parse_record(b"WARC/1.0\r\nContent-Length: 2\r\n\r\nbody")["payload"] == b"bo"
