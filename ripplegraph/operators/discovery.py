@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .review import numbered
+
 SUPPORT = ("fan_in", "fan_out", "execution_reach", "propagation_depth", "behaviors", "services", "validation")
 COLUMNS = ("pass_no", "row_no", "id", "kind", "statement", "importance", *SUPPORT)
 
@@ -117,16 +119,14 @@ def fill_support(discoveries: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def ranked(discoveries: DataFrame) -> DataFrame:
-    """Importance by the place in the order of the support, the largest first: 1 - i / (n - 1) in hundredths, half up.
-
-    The discoveries of one change are few; the window over all of them is one task.
-    """
+    """Importance by the place in the order of the support, the largest first: 1 - i / (n - 1) in hundredths, half up."""
     order = [F.desc(c) for c in SUPPORT] + [F.col("pass_no"), F.col("row_no"), F.col("id")]
     i, n = F.col("i"), F.col("n")
     # 100 - 100 i / (n - 1), half up: floor((200 (n - 1 - i) + (n - 1)) / (2 (n - 1)))
     value = F.when(n == 1, 100).otherwise(F.expr("(200 * (n - 1 - i) + (n - 1)) div (2 * (n - 1))"))
-    numbered = discoveries.withColumn("i", F.row_number().over(Window.orderBy(*order)) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))
-    return numbered.withColumn("importance", value.cast("long")).drop("i", "n").select(*COLUMNS)
+    places = numbered(discoveries.select(*COLUMNS), order, "i").withColumn("i", F.col("i") - 1)
+    places = places.crossJoin(discoveries.agg(F.count("*").alias("n")))  # one row
+    return places.withColumn("importance", value.cast("long")).select(*COLUMNS)
 
 
 def surprises(discoveries: DataFrame, least: int = 5, boost: int = 20) -> DataFrame:

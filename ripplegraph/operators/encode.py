@@ -62,3 +62,21 @@ def endpoint_rows(endpoints: DataFrame) -> DataFrame:
 def as_json(rows: DataFrame, columns: list[str]) -> DataFrame:
     """row, json: each row as a positional array."""
     return rows.select("row", F.concat(F.lit("["), F.concat_ws(",", *[F.col(c).cast("string") for c in columns]), F.lit("]")).alias("json"))
+
+
+def live_codes(tables: list[tuple[DataFrame, list[str]]]) -> DataFrame:
+    """old_code, new_code of the strings that encoded tables still use, numbered from 1 in the old order."""
+    from .review import live_strings
+
+    parts = [df.select(F.explode(F.array(*[F.col(c).cast("long") for c in columns])).alias("code")) for df, columns in tables]
+    used = reduce(DataFrame.unionByName, parts).filter("code > 0").distinct()
+    return live_strings(used, used)
+
+
+def remapped(rows: DataFrame, columns: list[str], live: DataFrame) -> DataFrame:
+    """Encoded rows with the new codes of their text columns; 0 stays 0."""
+    out = rows
+    for c in columns:
+        own = live.select(F.col("old_code").alias(f"_{c}"), F.col("new_code").alias(f"_{c}_new"))
+        out = out.join(own, F.col(c) == F.col(f"_{c}"), "left").withColumn(c, F.coalesce(F.col(f"_{c}_new"), F.lit(0)).cast("long")).drop(f"_{c}", f"_{c}_new")
+    return out

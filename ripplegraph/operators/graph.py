@@ -90,9 +90,12 @@ def _in_tasks(held: pa.Table, seeds: DataFrame, max_depth: int | None, keys: tup
         yield batch(held)
 
     def batch(held: list[tuple]) -> pa.RecordBatch:
-        columns = [[v for key, ids, _ in held for v in [key[k]] * len(ids)] for k in range(len(keys))]
-        columns += [[i for _, ids, _ in held for i in ids.tolist()], [d for _, ids, d in held for _ in range(len(ids))]]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+        count = [len(ids) for _, ids, _ in held]
+        each = pa.array(np.repeat(np.arange(len(held)), count))
+        columns = [pa.array([key[k] for key, _, _ in held], arrow.field(k).type).take(each) for k in range(len(keys))]
+        ids = np.concatenate([ids.to_numpy() for _, ids, _ in held]) if held else []
+        columns += [pa.array(ids, arrow.field(len(keys)).type), pa.array(np.repeat([d for *_, d in held], count), pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     seeds = tables.put(seeds, "seeds")
     if keys:

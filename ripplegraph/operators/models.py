@@ -80,9 +80,30 @@ def query_statistics(log: DataFrame) -> DataFrame:
     return out.withColumn("mean_ms", F.expr("total_ms div calls"))
 
 
-def tokens_by_section(sections: DataFrame) -> DataFrame:
-    """section, tokens: words and marks of the sections' text (section, text)."""
-    return sections.groupBy("section").agg(F.sum(F.regexp_count("text", F.lit(r"\w+|[^\w\s]"))).alias("tokens"))
+def tokens_by_section(sections: DataFrame, ranks: str | None = None) -> DataFrame:
+    """section, tokens of the sections' text (section, text).
+
+    With ``ranks``, the path of a byte-pair vocabulary in tiktoken's format that executors can read, its tokens; else words
+    and marks.
+    """
+    if ranks is None:
+        return sections.groupBy("section").agg(F.sum(F.regexp_count("text", F.lit(r"\w+|[^\w\s]"))).alias("tokens"))
+
+    def run(batches):
+        import base64
+
+        import pyarrow as pa
+        import tiktoken
+
+        pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+        with open(ranks) as lines:
+            table = {base64.b64decode(token): int(rank) for token, rank in map(str.split, lines)}
+        encoding = tiktoken.Encoding("sections", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(encoding.encode_ordinary(t or "")) for t in b.column(1).to_pylist()], pa.int64())], names=["section", "n"])
+
+    rows = sections.select("section", "text").mapInArrow(run, f"section {sections.schema['section'].dataType.simpleString()}, n long")
+    return rows.groupBy("section").agg(F.sum("n").alias("tokens"))
 
 
 def block_depths(lines: DataFrame) -> DataFrame:

@@ -61,20 +61,25 @@ def shortest_chains(chains: DataFrame) -> DataFrame:
     return chains.groupBy("method", "path").agg(F.min(F.struct("n", "behavior_id")).alias("m")).select("method", "path", "m.behavior_id", "m.n")
 
 
-def dense_codes(rows: DataFrame, column: str, order: list[str]) -> DataFrame:
-    """(column, code): distinct values numbered from 1 in the order of their first row, without a window over all rows.
+def numbered(rows: DataFrame, order: list, column: str = "number") -> DataFrame:
+    """The rows with their place in the order, from 1, without a window over all rows.
 
-    Values are ranked inside range partitions; the partitions' sizes give the offsets.
+    Rows are ranked inside range partitions; the partitions' sizes give the offsets.  The order should be total.
     """
     from ..scratch import Tables
 
-    tables = Tables(rows.sparkSession, "codes")
+    tables = Tables(rows.sparkSession, "numbered")
+    dealt = tables.put(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "dealt")
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each task
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return dealt.join(before, "_part").withColumn(column, F.col("_before") + own).drop("_part", "_before")
+
+
+def dense_codes(rows: DataFrame, column: str, order: list[str]) -> DataFrame:
+    """(column, code): distinct values numbered from 1 in the order of their first row."""
     first = rows.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min(F.struct(*order)).alias("first"))
-    dealt = tables.put(first.repartitionByRange("first", column).withColumn("part", F.spark_partition_id()), "dealt")
-    sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each task
-    own = F.row_number().over(Window.partitionBy("part").orderBy("first", column))
-    return dealt.join(before, "part").select(column, (F.col("before") + own).alias("code"))
+    return numbered(first, ["first", column], "code").select(column, "code")
 
 
 def split_path(value: Column) -> tuple[Column, Column]:

@@ -177,15 +177,16 @@ def materialization_stats(status: DataFrame) -> DataFrame:
 
 
 def materialization_coverage(tree: DataFrame, status: DataFrame) -> DataFrame:
-    """Files and bytes that are known and indexed, and the share, of the blobs of a tree."""
+    """Files and bytes that are known and indexed, their shares, and the files' in percent (one place, half up), of a tree's blobs."""
     done = status.filter("indexed_status = 'indexed'").select("path", F.lit(1).alias("done"))
     joined = tree.filter("type = 'blob'").join(done, "path", "left")
     out = joined.agg(
         F.count("*").alias("known_files"), F.coalesce(F.sum("size"), F.lit(0)).alias("known_bytes"),
         F.count("done").alias("indexed_files"), F.coalesce(F.sum(F.when(F.col("done") == 1, F.col("size"))), F.lit(0)).alias("indexed_bytes"),
     )
-    ratio = F.when(F.col("known_files") > 0, F.col("indexed_files") / F.col("known_files")).otherwise(0.0)
-    return out.withColumn("ratio", ratio)
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    tenths = F.when(F.col("known_files") > 0, F.expr("(2000 * indexed_files + known_files) div (2 * known_files)")).otherwise(0)
+    return out.withColumns({"ratio": share("indexed_files", "known_files"), "bytes_ratio": share("indexed_bytes", "known_bytes"), "percent": tenths / 10})
 
 
 def remaining_paths(tree: DataFrame, status: DataFrame) -> DataFrame:

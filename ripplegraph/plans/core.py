@@ -210,10 +210,12 @@ def _(f: Facts) -> DataFrame:
     return versions.repoint_unresolved(lost, f.symbols)
 
 
-@query("view_counts", "symbols base_symbols head_symbols changed refs", OVERLAY.split("be AS")[0].rstrip(", \n") + " SELECT (SELECT count(*) FROM view) AS symbols, (SELECT count(*) FROM refs WHERE source_id IN (SELECT id FROM view)) AS refs")
+@query("view_counts", "symbols base_symbols head_symbols changed refs calls", OVERLAY + "SELECT (SELECT count(*) FROM view) AS symbols, (SELECT count(*) FROM be WHERE file_id NOT IN (SELECT file_id FROM cf) AND dst IN (SELECT id FROM view)) + (SELECT count(*) FROM he WHERE file_id IN (SELECT file_id FROM cf)) AS calls, (SELECT count(*) FROM refs WHERE source_id IN (SELECT id FROM view)) AS refs")
 def _(f: Facts) -> DataFrame:
-    view = _overlay(f)[1]
-    return operational.metrics(symbols=view, refs=f.refs.join(view.select(F.col("id").alias("source_id")), "source_id", "left_semi"))
+    overlay, view = _overlay(f)
+    head = _edge_rows(f, 0).join(overlay.changed_files.select(F.col("id").alias("file_id")), "file_id", "left_semi")
+    calls = versions.edges_view(_edge_rows(f, 1), head, overlay, view)
+    return operational.metrics(symbols=view, calls=calls, refs=f.refs.join(view.select(F.col("id").alias("source_id")), "source_id", "left_semi"))
 
 
 # --- materialization --------------------------------------------------------------------------------------------------
@@ -224,7 +226,7 @@ def _(f: Facts) -> DataFrame:
     return versions.materialization_stats(f.materialization)
 
 
-@query("materialization_coverage", "tree materialization", "@ j AS (SELECT t.size, m.path AS done FROM tree t LEFT JOIN (SELECT * FROM materialization WHERE indexed_status = 'indexed') m USING (path) WHERE type = 'blob') SELECT count(*) AS known_files, CAST(sum(size) AS BIGINT) AS known_bytes, count(done) AS indexed_files, CAST(sum(size) FILTER (WHERE done IS NOT NULL) AS BIGINT) AS indexed_bytes, count(done) / count(*) AS ratio FROM j")
+@query("materialization_coverage", "tree materialization", "@ j AS (SELECT t.size, m.path AS done FROM tree t LEFT JOIN (SELECT * FROM materialization WHERE indexed_status = 'indexed') m USING (path) WHERE type = 'blob') SELECT count(*) AS known_files, CAST(sum(size) AS BIGINT) AS known_bytes, count(done) AS indexed_files, CAST(sum(size) FILTER (WHERE done IS NOT NULL) AS BIGINT) AS indexed_bytes, count(done) / count(*) AS ratio, sum(size) FILTER (WHERE done IS NOT NULL) / sum(size) AS bytes_ratio, ((2000 * count(done) + count(*)) // (2 * count(*))) / 10 AS percent FROM j")
 def _(f: Facts) -> DataFrame:
     return versions.materialization_coverage(f.tree, f.materialization)
 

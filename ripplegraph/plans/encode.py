@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes as C
-from ..operators import change, encode, planner, resolver
+from ..operators import change, context, encode, planner, resolver
 from ..sources.testdata import Facts
 from .core import CHANGES, _changes, query
 
@@ -63,6 +63,28 @@ def _(f: Facts) -> DataFrame:
     return encode.decoded(encode.encoded(sr, ["name"], strings), ["name"], strings)
 
 
+_LIVE = _CF + ", rm AS (SELECT s, row_number() OVER (ORDER BY code) AS code FROM st WHERE s IN (SELECT name FROM sr)) "
+
+
+@query("context_remapped", _CT, _LIVE + "SELECT row, rm.code AS name, file, kind, ct, start_line, end_line FROM sr JOIN rm ON rm.s = name")
+def _(f: Facts) -> DataFrame:
+    """The symbols alone, once the other tables and their strings have gone."""
+    _, sr, _, strings = _tables(f)
+    coded = encode.encoded(sr, ["name"], strings)
+    return encode.remapped(coded, ["name"], encode.live_codes([(coded, ["name"])]))
+
+
+_OBJECT = lambda *columns: "'{' || " + " || ',' || ".join(f"'\"{c}\":' || {v}" for c, v in columns) + " || '}'"
+
+
+@query("context_document", _CT, _CF + "SELECT 'files' AS section, " + _OBJECT(("row", "row"), ("folder", "a.code"), ("file", "b.code"), ("lang", "lang"), ("ct", "ct")) + " AS json FROM fr JOIN st a ON a.s = folder JOIN st b ON b.s = fr.file UNION ALL SELECT 'symbols', " + _OBJECT(("row", "row"), ("name", "st.code"), ("file", "file"), ("kind", "kind")) + " FROM sr JOIN st ON st.s = name UNION ALL SELECT 'strings', " + _OBJECT(("code", "code"), ("s", "'\"' || s || '\"'")) + " FROM st")
+def _(f: Facts) -> DataFrame:
+    fr, sr, _, strings = _tables(f)
+    files = encode.encoded(fr, ["folder", "file"], strings).select("row", "folder", "file", "lang", "ct")
+    symbols = encode.encoded(sr, ["name"], strings).select("row", "name", "file", "kind")
+    return context.document_rows(files=files, symbols=symbols, strings=strings.select("code", "s"))
+
+
 @query("framework_kinds", "files", "SELECT id, CASE id % 4 WHEN 0 THEN 'rest_endpoint' WHEN 1 THEN 'cli_command' WHEN 2 THEN 'worker_entry' ELSE 'unknown' END AS entry_kind FROM files")
 def _(f: Facts) -> DataFrame:
     framework = F.element_at(F.array(*[F.lit(x) for x in ("flask", "click", "celery", "none")]), (F.col("id") % 4 + 1).cast("int"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,22 +20,36 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_zips(spark: SparkSession, path: str) -> DataFrame:
-    """archive, path (without the archive's root folder), content of the files that are UTF-8."""
+    """archive, path (without the archive's root folder), content of the files that are UTF-8; broken archives have none."""
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for archive, content in batch.itertuples(index=False):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for entry in z.infolist():
+            for archive, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    files = zipfile.ZipFile(io.BytesIO(content.as_py()))
+                except zipfile.BadZipFile:
+                    continue
+                with files:
+                    rows, size = [], 0
+                    for entry in files.infolist():
                         inner = entry.filename.partition("/")[2]
-                        if inner and not entry.is_dir():
-                            try:
-                                yield pd.DataFrame([(archive, inner, z.read(entry).decode())], columns=["archive", "path", "content"])
-                            except UnicodeDecodeError:
-                                continue
+                        if not inner or entry.is_dir():
+                            continue
+                        try:
+                            rows.append((archive, inner, files.read(entry).decode()))
+                        except (UnicodeDecodeError, zipfile.BadZipFile, zlib.error):
+                            continue
+                        size += entry.file_size
+                        if size > 4 << 20:
+                            yield out(rows)
+                            rows, size = [], 0
+                    yield out(rows)
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["archive", "path", "content"])
 
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select(F.col("path").alias("archive"), "content")
-    return raw.mapInPandas(unpack, "archive string, path string, content string")
+    return raw.mapInArrow(unpack, "archive string, path string, content string")
 
 
 def tree_of(files: DataFrame) -> DataFrame:
