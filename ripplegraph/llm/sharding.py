@@ -1,7 +1,7 @@
 """Sharding by a two-pass external shuffle (native: DataFrame functions only).
 
-Pass one scatters the records with a seeded hash over buckets that fit in memory, a task for each bucket, however many
-there are; pass two permutes each bucket by Fisher-Yates (Spark's ``shuffle`` of an array) and writes it.  The buckets in order form one long permutation, which
+Pass one scatters the records with a seeded hash over buckets that fit in memory, dealt out evenly to as many tasks as
+their bytes ask for; pass two permutes each bucket by Fisher-Yates (Spark's ``shuffle`` of an array) and writes it.  The buckets in order form one long permutation, which
 is cut into shards whose row counts differ by one at most (the law ``rows``).
 
 Defined results: a null text has no bytes; a null or repeated id is a record like any other; an empty table gives an
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, shuffle_parts
 
 #: Buckets whose sizes are summed in one window partition.
 _SUPER = 4096
@@ -32,10 +32,12 @@ def shuffled_shards(docs: DataFrame, shards: int = 40, seed: int = 20_11, bucket
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("record"), size.alias("size"), F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_rid"))
     total = docs.agg(F.sum(size)).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
+    parts = min(buckets, shuffle_parts(spark, total, 64 << 20))
     scattered = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "_id", "_rid"), F.lit(buckets)))
     permuted = (
-        scattered.repartitionById(buckets, F.col("bucket").cast("int"))
-        .groupBy("bucket")
+        scattered.withColumn("part", F.pmod("bucket", F.lit(parts)).cast("int"))
+        .repartitionById(parts, F.col("part"))
+        .groupBy("part", "bucket")
         .agg(F.array_sort(F.collect_list(F.struct("_rid", "size", "record"))).alias("rows"))
         .select("bucket", F.posexplode(F.shuffle("rows", seed)).alias("pos", "row"))
         .select("bucket", "pos", "row.size", "row.record")

@@ -62,3 +62,19 @@ def test_odd_rows(make, odd_rows):
     assert kept.columns == make(rows).columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(d) for d, t in rows if d not in (31,) and not (d == 6))
     assert found(make(rows).limit(0)) == [] and near_dedup.keep_first(make(rows).limit(0)).count() == 0
+
+
+def test_regions_of_many_blocks(make, monkeypatch):
+    """One crowd of variants of a text, whose regions are dealt to many pairs of small blocks."""
+    import random
+
+    monkeypatch.setattr(N, "BLOCK", 4)
+    monkeypatch.setattr(N, "BLOCK_SHINGLES", 250)
+    monkeypatch.setattr(N, "BEST", 1)
+    base, rows = prose(77, 60).split(), []
+    for d in range(70):
+        r, words = random.Random(d), list(base)
+        for k in range(r.randrange(9)):
+            words[r.randrange(60)] = f"x{d}y{k}"
+        rows.append((d, " ".join(words)))
+    assert found(make(rows)) == brute(rows)
