@@ -1,7 +1,10 @@
 """A corpus pipeline: quality, near-duplicates, benchmark leaks, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's docs.  All but the last return the columns of documents.
+stage's docs.  All but the last return the columns of documents, whatever further columns there are.
+
+Defined results, in every stage: a null text is empty and stays null; rows that repeat an id and its text share one fate;
+rows without an id are never copies of another and are otherwise treated alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,23 +18,29 @@ from ripplegraph.llm.queries import tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores under 0.5 go; it learns from the labels of ids outside the held-out third."""
+    """Documents that the classifier scores under 0.5 go; it learns from the labels of ids outside the held-out third.
+
+    Null and empty texts are scored like any other; without labels every score is 0.5, and all stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.keep(docs, quality.train(docs, labels, lambda doc_id: ~quality.held_out(doc_id)))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
+    """Of each group of near-duplicates the document with the smallest id stays.
+
+    Texts without words are no copies of each other.  Rows that repeat the id that stays, with its text, all stay.
+    """
     return near_dedup.keep_first(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and empty texts hold none."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; n_chars follows the text."""
+    """Secrets are replaced by a mark; n_chars follows the text where that has changed, and null texts stay null."""
     columns, own = docs.columns, F.col("doc")
     keyed = docs.select(F.struct(*[docs[c] for c in columns]).alias("doc"), F.col("text"))
     found = secret_scan.scan_versions(keyed)
@@ -41,7 +50,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of token ids whose lengths are powers of two."""
+    """Sequences of token ids whose lengths are powers of two; a null or empty text is its end token."""
     return packing.pack(docs, tokenizer_path())
 
 
