@@ -66,11 +66,9 @@ def test_odd_rows(make, odd_rows):
 
 def test_regions_of_many_blocks(make, monkeypatch):
     """One crowd of variants of a text, whose regions are dealt to many pairs of small blocks."""
-    import random
-
-    monkeypatch.setattr(N, "BLOCK", 4)
-    monkeypatch.setattr(N, "BLOCK_SHINGLES", 250)
-    monkeypatch.setattr(N, "BEST", 1)
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 250)
+    monkeypatch.setattr(near_dedup, "BEST", 1)
     base, rows = prose(77, 60).split(), []
     for d in range(70):
         r, words = random.Random(d), list(base)
