@@ -174,10 +174,11 @@ def composed(**models: DataFrame | None) -> dict[str, DataFrame]:
 def discovery_projection(chains: DataFrame, models: dict[str, DataFrame]) -> DataFrame:
     """unit_id, symbol_id, behavior_id, place, and in which of the further models (tables with a symbol_id) the symbol occurs.
 
-    chains: behavior_id, symbol_id, place.
+    chains: behavior_id, symbol_id, place, and a column for each model whose symbols are marked already (null: not in it).
     """
-    out = chains.select(F.format_string("unit://%d#%d", "behavior_id", "symbol_id").alias("unit_id"), "symbol_id", "behavior_id", "place")
-    for name in sorted(models):
+    marked = [name for name in sorted(models) if name in chains.columns]
+    out = chains.select(F.concat(F.lit("unit://"), "behavior_id", F.lit("#"), "symbol_id").alias("unit_id"), "symbol_id", "behavior_id", "place", *[F.coalesce(name, F.lit(False)).alias(name) for name in marked])
+    for name in sorted(set(models) - set(marked)):
         marks = models[name].select("symbol_id").distinct().withColumn(name, F.lit(True))
         out = out.join(marks, "symbol_id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
-    return out
+    return out.select("unit_id", "symbol_id", "behavior_id", "place", *sorted(models))
