@@ -81,6 +81,7 @@ def test_text_ids_and_no_edges(spark, small):
     "discovery_projection",
     "context_entries",
     "context_deepest",
+    "context_compressed",
 ])
 def test_no_table_of_all_steps_on_the_way(spark, name, monkeypatch):
     """Neither written nor dealt out by a window; what is dealt out has been counted, filtered or folded before."""
