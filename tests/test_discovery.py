@@ -1,7 +1,11 @@
 """Discoveries, ranking, review and name resolution on literal rows."""
 
+from collections import Counter
+
+import pytest
 from pyspark.sql import functions as F
 
+from ripplegraph import plans
 from ripplegraph.operators import discovery, impact, models, operational, resolve, review
 
 
@@ -52,6 +56,41 @@ def test_async_chains_are_a_bag(spark):
     assert sorted(tuple(r) for r in operational.async_chains(graph).collect()) == [(1, "a", 2), (2, "b", 3), (2, "b", 3), (2, "b", 3), (9, "a", 2)]
 
 
+@pytest.mark.parametrize("block", [1, 2, 1024])
+def test_chains_of_events_are_those_of_their_graph(spark, block):
+    published = [(i, i % 3) for i in range(12)] + [(4, 2), (4, 2), (50, 7), (None, 0), (3, None)]
+    consumed = [(i, i % 2) for i in range(3, 15)] + [(4, 2), (4, 7), (60, 8), (None, 1), (3, None), (3, 0), (3, 0)]
+    graph = {(p, e, c) for p, e in published for c, f in consumed if e == f and None not in (p, e, c) and p != c}
+    expected = Counter(graph) + Counter(b for a in graph for b in graph if a[2] == b[0])
+    sides = [spark.createDataFrame(x, "id long, event long") for x in (published, consumed)]
+    assert Counter(map(tuple, operational.event_chains(*sides, block=block).collect())) == expected
+    assert Counter(map(tuple, operational.async_chains(operational.event_graph(*sides)).collect())) == expected
+
+
+def test_copies_beyond_one_array(spark):
+    rows = spark.createDataFrame([(1, 1), (2, 4), (3, 5), (4, 8), (5, 21)], "id long, times long")
+    assert Counter(r["id"] for r in operational._repeated(rows, most=4).collect()) == {1: 1, 2: 4, 3: 5, 4: 8, 5: 21}
+
+
+def test_edges_between_events_are_not_shuffled(spark):
+    """No exchange of async_chains carries as many rows as the event graph has edges."""
+    def exchanged(node):
+        own = [node.metrics().apply("shuffleRecordsWritten").value()] if node.nodeName() == "Exchange" else []
+        children = node.children()
+        return own + [x for k in range(children.size()) for x in exchanged(children.apply(k))]
+
+    sf = "/root/testdata/sf0.01"
+    edges = plans.queries()["event_graph"](spark, sf).count()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        chains = plans.queries()["async_chains"](spark, sf)
+        assert len(chains.collect()) > 10 * edges
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    carried = exchanged(chains._jdf.queryExecution().executedPlan())
+    assert 0 < max(carried) < edges / 2
+
+
 def test_callee_rules(spark):
     symbols = spark.createDataFrame([(1, "A", 1, None), (2, "run", 1, 1), (3, "B", 2, None), (4, "base", 2, 3), (5, "helper", 1, None), (6, "far", 3, None), (7, "helper", 3, None)], "id long, name string, file_id long, parent_symbol_id long")
     closure = resolve.ancestors(spark.createDataFrame([(1, 3)], "source_id long, target_id long"))
