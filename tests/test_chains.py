@@ -1,11 +1,12 @@
 """Chains of many roots: in tasks and by levels, against plain searches; and what their queries write on the way."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__
 from ripplegraph import scratch
-from ripplegraph.operators import behavior
+from ripplegraph.operators import behavior, graph
 from tests.test_graph import edges_of, plain_bfs, seeds_of
 
 SF = "/root/testdata/sf0.001"
@@ -90,3 +91,17 @@ def test_no_table_of_all_steps_on_the_way(spark, name, monkeypatch):
     plan = __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert not {"nodes", "found"} & set(written) or name.startswith("discovery_") and "nodes" not in written
     assert "Window [row_number() windowspecdefinition(behavior_id" not in plan
+
+
+@pytest.mark.parametrize("held", [1, 100, graph.HELD])
+def test_chains_come_from_64_roots_at_once(monkeypatch, held):
+    """Each chain is that of a search of its own, and what the roots reach is cut out once for all of them."""
+    monkeypatch.setattr(graph, "HELD", held)
+    rows, cut, levels = [(i, j) for i, j in ROWS if i < 40], [], graph.Adjacency.levels
+    monkeypatch.setattr(graph.Adjacency, "levels", lambda self, *a: cut.append(a) or levels(self, *a))
+    own = graph.Adjacency(pd.Series([a for a, _ in rows]), pd.Series([b for _, b in rows]))
+    roots = np.array([*range(49, -1, -1), 77, *range(50)])
+    codes, names = own.places(roots), own.names.to_numpy()
+    found = {int(k): list(zip(names[at].tolist(), depth.tolist(), strict=True)) for k, at, depth in graph._searched(own, codes, None, np.zeros(len(names), bool))}
+    assert found == {k: plain_chain(rows, r) for k, r in enumerate(roots.tolist()) if codes[k] >= 0}
+    assert len(cut) == 1
