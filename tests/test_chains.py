@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from ripplegraph import scratch
@@ -105,3 +106,13 @@ def test_chains_come_from_64_roots_at_once(monkeypatch, held):
     found = {int(k): list(zip(names[at].tolist(), depth.tolist(), strict=True)) for k, at, depth in graph._searched(own, codes, None, np.zeros(len(names), bool))}
     assert found == {k: plain_chain(rows, r) for k, r in enumerate(roots.tolist()) if codes[k] >= 0}
     assert len(cut) == 1
+
+
+def test_tasks_give_each_pair_of_neighbours_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(behavior, "chains", lambda *a: made.append(graph.chains(*a)) or made[-1])
+    line = [(i, i + 1) for i in range(300)]
+    found = behavior.adjacent_steps(edges_of(spark, line), seeds_of(spark, *range(300)))
+    assert sorted(map(tuple, found.collect())) == line
+    assert made[0].count() <= len(line) * made[0].rdd.getNumPartitions() < 300 * 301 / 2
+    assert made[0].groupBy(F.spark_partition_id(), "src", "dst").count().filter("count > 1").isEmpty()
