@@ -116,3 +116,11 @@ def test_tasks_give_each_pair_of_neighbours_once(spark, monkeypatch):
     assert sorted(map(tuple, found.collect())) == line
     assert made[0].count() <= len(line) * made[0].rdd.getNumPartitions() < 300 * 301 / 2
     assert made[0].groupBy(F.spark_partition_id(), "src", "dst").count().filter("count > 1").isEmpty()
+
+
+@pytest.mark.parametrize("name", ["context_compressed", "context_steps"])
+def test_steps_leave_the_tasks_as_they_are_written(spark, name):
+    """One search in the plan, what it takes from symbols written beforehand, and no projection of its rows afterwards."""
+    plan = __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert plan.startswith("MapInArrow")
