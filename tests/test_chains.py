@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +125,23 @@ def test_steps_leave_the_tasks_as_they_are_written(spark, name):
     plan = __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1
     assert plan.startswith("MapInArrow")
+
+
+@pytest.mark.parametrize("held", [1, 100, graph.HELD])
+@pytest.mark.parametrize("batch", [64, graph.BATCH])
+def test_whole_chains_come_node_by_node(monkeypatch, held, batch):
+    """What repeats for the roots that reach a node stands together, so that files of it are small; a bag of edges stays one."""
+    monkeypatch.setattr(graph, "HELD", held)
+    monkeypatch.setattr(graph, "BATCH", batch)
+    rows = [(i, j) for i, j in ROWS if i < 40] + [(0, 3), (5, 38)]
+    own, roots = graph.Adjacency(pd.Series([a for a, _ in rows]), pd.Series([b for _, b in rows])), np.array([*range(50), 77, 0])
+    carried = pa.table({"entry": np.arange(len(roots))})
+    part = graph.Part(own, roots, None, pa.table({}), np.zeros(len(own.names), bool))
+    parts = list(graph.Spread(part, roots, part.start, carried).parts())
+    steps = [(int(s.roots[r]), s.carried.column("entry")[int(r)].as_py(), int(part.ids[n]), int(d), int(p)) for s in parts for one in s.by_node() for n, r, d, p in zip(*one, strict=True)]
+    assert sorted(steps) == sorted((r, e, i, d, p) for e, r in enumerate(roots.tolist()) for p, (i, d) in enumerate(plain_chain(rows, r)))
+    bag = [(int(s.roots[r]), int(part.ids[a]), int(part.ids[b])) for s in [graph.Spread(part, roots, part.start)] for one in s.edges() for a, b, r in zip(*one, strict=True)]
+    assert sorted(bag) == sorted((r, a, b) for r in roots.tolist() for a, b in rows if a in dict(plain_chain(rows, r)))
+    runs = lambda found: sum(a != b for a, b in zip(found, found[1:], strict=False)) + 1
+    assert runs([x[1:] for x in bag]) <= len(rows)
+    assert runs([x[2] for x in steps]) <= len(parts) * len(part.ids)
