@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from ripplegraph import scratch
-from ripplegraph.operators import behavior, graph
+from ripplegraph.operators import behavior, context, graph
 from tests.test_graph import edges_of, plain_bfs, seeds_of
 
 SF = "/root/testdata/sf0.001"
@@ -145,3 +145,17 @@ def test_whole_chains_come_node_by_node(monkeypatch, held, batch):
     runs = lambda found: sum(a != b for a, b in zip(found, found[1:], strict=False)) + 1
     assert runs([x[1:] for x in bag]) <= len(rows)
     assert runs([x[2] for x in steps]) <= len(parts) * len(part.ids)
+
+
+def test_steps_carry_what_their_entries_have(spark):
+    """Two entries of one root, an entry without edges, and null attributes, node by node as root by root."""
+    edges = edges_of(spark, [(1, 2), (2, 3), (3, 1), (2, 9)])
+    entries = spark.createDataFrame([(1, "e1", "rest", "b1"), (1, "e2", "", "b1"), (3, "e3", None, "b3"), (77, "e4", "", "b77")], "id long, entry_id string, service string, module string")
+    attributes = spark.createDataFrame([(1, "one", "method", "f:1-2", True, None), (9, None, None, None, None, True), (77, "lone", None, None, True, False)], "id long, name string, kind string, location string, changed boolean, shared boolean")
+    rows = lambda small: sorted(map(tuple, context.steps_of(edges, entries, attributes, small=small).collect()))
+    assert rows(1000) == rows(0)
+    assert [r for r in rows(1000) if r[0] in ("e2", "e4")] == [
+        ("e2", 0, "1", "1", "one", "method", "f:1-2", 0, True, False, "", "b1"), ("e2", 1, "1", "2", "2", "", "", 1, False, False, "", "b1"),
+        ("e2", 2, "1", "3", "3", "", "", 2, False, False, "", "b1"), ("e2", 3, "1", "9", "9", "", "", 3, False, True, "", "b1"),
+        ("e4", 0, "77", "77", "lone", "", "", 0, True, False, "", "b77"),
+    ]
