@@ -159,3 +159,13 @@ def test_steps_carry_what_their_entries_have(spark):
         ("e2", 2, "1", "3", "3", "", "", 2, False, False, "", "b1"), ("e2", 3, "1", "9", "9", "", "", 3, False, True, "", "b1"),
         ("e4", 0, "77", "77", "lone", "", "", 0, True, False, "", "b77"),
     ]
+
+
+def test_nodes_of_a_task_come_node_by_node(spark):
+    """Roots of a task that reach the same symbols have each of them in one run of rows."""
+    line = [(i, i + 1) for i in range(600)]
+    found = behavior.graph_nodes(edges_of(spark, line), seeds_of(spark, *range(600)))
+    rows = found.withColumn("task", F.spark_partition_id()).toPandas()
+    assert len(rows) == 600 * 603 // 2 and (rows["place"] == rows["depth"]).all() and (rows["symbol_id"] == rows["behavior_id"] + rows["depth"]).all()
+    runs = (rows[["task", "symbol_id"]].diff() != 0).any(axis=1).sum()
+    assert runs < len(rows) / 4
