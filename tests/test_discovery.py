@@ -67,6 +67,20 @@ def test_chains_of_events_are_those_of_their_graph(spark, block):
     assert Counter(map(tuple, operational.async_chains(operational.event_graph(*sides)).collect())) == expected
 
 
+def test_one_event_is_dealt_to_many_tasks(spark):
+    """A thousand publishers and consumers of one event: no task writes most of its chains."""
+    sides = [spark.range(1000).selectExpr("id", "'a' AS event") for _ in range(2)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        chains = operational.event_chains(*sides)
+        plan = chains._jdf.queryExecution().executedPlan().toString()
+        ids = chains.filter("producer < 4").groupBy(F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "Cartesian" not in plan and sum(r["count"] for r in ids) == 4 * 999 * 1000
+    assert max(r["count"] for r in ids) < 0.75 * 4 * 999 * 1000
+
+
 def test_copies_beyond_one_array(spark):
     rows = spark.createDataFrame([(1, 1), (2, 4), (3, 5), (4, 8), (5, 21)], "id long, times long")
     assert Counter(r["id"] for r in operational._repeated(rows, most=4).collect()) == {1: 1, 2: 4, 3: 5, 4: 8, 5: 21}
