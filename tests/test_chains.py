@@ -169,3 +169,13 @@ def test_nodes_of_a_task_come_node_by_node(spark):
     assert len(rows) == 600 * 603 // 2 and (rows["place"] == rows["depth"]).all() and (rows["symbol_id"] == rows["behavior_id"] + rows["depth"]).all()
     runs = (rows[["task", "symbol_id"]].diff() != 0).any(axis=1).sum()
     assert runs < len(rows) / 4
+
+
+def test_steps_of_a_task_come_node_by_node(spark):
+    """As nodes do: entries of a task that reach the same symbols have each of them in one run of rows."""
+    line, n = [(i, i + 1) for i in range(200)], 200
+    entries = spark.range(n).selectExpr("id", "'e' || id AS entry_id", "'' AS service", "'m' AS module")
+    attributes = spark.createDataFrame([(5, "five", "method", "f:1-2", True, True)], "id long, name string, kind string, location string, changed boolean, shared boolean")
+    rows = context.steps_of(edges_of(spark, line), entries, attributes).select(F.spark_partition_id().alias("task"), F.col("symbol_id").cast("long").alias("symbol")).toPandas()
+    assert len(rows) == n * (n + 3) // 2
+    assert (rows.diff() != 0).any(axis=1).sum() < len(rows) / 4
